@@ -118,3 +118,29 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = np.asarray(lengths, dtype=np.int64)
     total = int(lengths.sum())
     return np.arange(total) + np.repeat(np.asarray(starts, dtype=np.int64) - (np.cumsum(lengths) - lengths), lengths)
+
+
+def rewrite_texts(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray | pa.Array]], text_col: str = "text") -> DataFrame:
+    """Filter rows or replace texts, with all columns of `df` kept as they are.
+
+    `make()`, called once a task, gives a function from texts to either a boolean array, of rows
+    to keep, or new texts.
+    """
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            names = batch.schema.names
+            at = names.index(text_col)
+            for piece in pieces(pa.RecordBatch.from_arrays([batch.column(at), *batch.columns], names=["text", *map(str, range(len(names)))])):
+                out = each(piece.column(0))
+                if isinstance(out, np.ndarray):
+                    kept = piece.filter(pa.array(out))
+                    yield pa.RecordBatch.from_arrays(kept.columns[1:], names=names)
+                else:
+                    columns = piece.columns[1:]
+                    columns[at] = out.cast(batch.schema.field(at).type)
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.mapInArrow(run, schema)

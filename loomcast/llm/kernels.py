@@ -25,6 +25,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: All ASCII but letters and digits separates; bytes of other characters belong to words.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII letters and for the Latin-1 letters of two UTF-8 bytes."""
+    out = LOWER[data]
+    if len(out) > 1:
+        latin = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][latin] += 32
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> U64(30))
@@ -106,12 +119,12 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> Words:
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return Words(data, offsets, empty, empty, np.zeros(len(offsets), np.int64))
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

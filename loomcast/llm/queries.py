@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import decontaminate, packing
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -25,8 +25,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), 2048)
 
 
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
