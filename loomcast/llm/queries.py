@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing
+from . import decontaminate, packing, quality, secrets
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), 2048)
 
@@ -32,6 +40,8 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
+        "op4_assignment_secrets": op4_assignment_secrets,
+        "op5_suffix_array_quality": op5_suffix_array_quality,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
