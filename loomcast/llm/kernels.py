@@ -119,7 +119,8 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR, cut: np.ndarray | None = None) -> Words:
+    """Words of each text; `cut` marks bytes before which a word ends and another begins."""
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
@@ -128,6 +129,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
+    if cut is not None:
+        begins |= cut & inside
+        ends[:-1] |= cut[1:] & inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[cuts] = inside[cuts]
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1

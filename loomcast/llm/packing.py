@@ -29,7 +29,9 @@ from .common import documents, id_array, ids, map_texts, materialize, partitions
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Distinct words whose ids a worker keeps; the memory of a worker's cache is bounded by it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+ASCII_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
 
 
 class WordTokenizer:
@@ -48,9 +50,10 @@ class WordTokenizer:
         self.clear()
 
     def check(self) -> None:
-        parts = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Ab cd\n\tef", "Ab", "cd", "ef")]
-        if parts[0] != parts[1] + parts[2] + parts[3]:
+        ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
+        if ids("Ab cd\n\tef") != ids("Ab") + ids("cd") + ids("ef"):
             raise ValueError("the tokenizer's ids depend on white space; words cannot be tokenised apart")
+        self.simple = ids("aB") == ids("ab") and all(ids(f"ab{m}cd") == ids("ab") + ids(f"{m}cd") for m in ",=-|")
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -71,12 +74,28 @@ class WordTokenizer:
         self.used += total
         self.known.update(zip(words, range(n, n + len(words))))
 
+    def _simplify(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """The same ids from fewer distinct words: lower case, and punctuation apart from the word it ends.
+
+        Upper case goes only where the next byte is ASCII, as a combining mark may make another
+        character with it; an apostrophe stays, as contractions are tokens; texts that may hold
+        special tokens stay as they are.
+        """
+        if not self.simple or len(data) < 2 or b"<|" in data.tobytes():
+            return data, None
+        plain = np.append(data[1:] < 128, True)
+        letter = ASCII_LETTER[data]
+        cut = np.zeros(len(data), dtype=bool)
+        cut[1:] = letter[:-1] & ASCII_MARK[data[1:]]
+        return np.where(plain, K.LOWER[data], data), cut
+
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids)."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
         data, offsets = K.text_buffer(column)
-        words = K.split_words(data, offsets)
+        data, cut = self._simplify(data)
+        words = K.split_words(data, offsets, cut=cut)
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         hashes = K.word_hashes(words)
