@@ -23,7 +23,7 @@ MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 #: Words of the shortest repeat that counts, the share of a text that repeats may cover, and the
 #: words of the longest repeat that a kept text may hold.
-MIN_REPEAT, MAX_COVER, MAX_REPEAT = 10, 0.3, 100
+MIN_REPEAT, MAX_COVER, MAX_REPEAT = 10, 0.4, 100
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
