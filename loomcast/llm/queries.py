@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, tokencount
+from . import decontaminate, packing, pii, quality, secrets, tokencount
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op5_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op6_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op7_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_VOCABULARY))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
         "op4_assignment_secrets": op4_assignment_secrets,
         "op5_suffix_array_quality": op5_suffix_array_quality,
+        "op6_surrogate_pii": op6_surrogate_pii,
         "op7_count_only_viterbi": op7_count_only_viterbi,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
