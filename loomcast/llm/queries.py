@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, secrets, tokencount
+from . import decontaminate, langid, packing, pii, quality, rlz, secrets, tokencount
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -42,6 +43,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), 2048)
 
 
+def op1_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = rlz.deduplicate(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+
+
 def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -53,6 +59,7 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rlz_substring_dedup": op1_rlz_substring_dedup,
         "op2_crf_language_id": op2_crf_language_id,
         "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
         "op4_assignment_secrets": op4_assignment_secrets,

@@ -64,3 +64,42 @@ def quality(text, least, max_cover, max_repeat):
         "repeat_cover": len(cover),
         "longest_repeat": longest,
     }
+
+
+def rlz(rows, width):
+    """(n_words, kept words) of each (id, text), from windows alone."""
+    first = {}
+    for i, text in rows:
+        w = words(text)
+        for p in range(len(w) - width + 1):
+            key = tuple(w[p : p + width])
+            first[key] = min(first.get(key, 1 << 63), (1 << 63) - 1 if i is None else i)
+    out = []
+    for i, text in rows:
+        w = words(text)
+        gone = set()
+        for p in range(len(w) - width + 1):
+            if first[tuple(w[p : p + width])] < ((1 << 63) - 1 if i is None else i):
+                gone |= set(range(p, p + width))
+        out.append((i, len(w), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def substrings(rows, width):
+    """(id, bytes, kept bytes, removed runs) of each (id, text)."""
+    first, big = {}, (1 << 63) - 1
+    for i, text in rows:
+        b = (text or "").encode()
+        for p in range(len(b) - width + 1):
+            key = b[p : p + width]
+            first[key] = min(first.get(key, big), big if i is None else i)
+    out = []
+    for i, text in rows:
+        b = (text or "").encode()
+        gone = [False] * (len(b) + 1)
+        for p in range(len(b) - width + 1):
+            if first[b[p : p + width]] < (big if i is None else i):
+                gone[p : p + width] = [True] * width
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b)))
+        out.append((i, len(b), bytes(x for x, g in zip(b, gone) if not g), spans))
+    return out
