@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, rlz, secrets, tokencount
+from . import decontaminate, langid, packing, pii, quality, rlz, secrets, suffix, tokencount
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -39,6 +39,11 @@ def op7_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_VOCABULARY))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = suffix.deduplicate(table(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), 2048)
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_array_quality": op5_suffix_array_quality,
         "op6_surrogate_pii": op6_surrogate_pii,
         "op7_count_only_viterbi": op7_count_only_viterbi,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
