@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, rlz, secrets, suffix, tokencount
+from . import decontaminate, langid, nearduplicates, packing, pii, quality, rlz, secrets, suffix, tokencount
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -44,6 +44,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.classify(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), 2048)
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_surrogate_pii": op6_surrogate_pii,
         "op7_count_only_viterbi": op7_count_only_viterbi,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
+        "op9_hyperminhash_near_dedup": op9_hyperminhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 

@@ -103,3 +103,33 @@ def substrings(rows, width):
         spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b)))
         out.append((i, len(b), bytes(x for x, g in zip(b, gone) if not g), spans))
     return out
+
+
+def shingles(text, size=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
+
+
+def near(rows, percent=75):
+    """(id, set size, component) of each (id, text), from all pairs."""
+    big = (1 << 63) - 1
+    sets = [shingles(t) for _, t in rows]
+    label = [big if i is None else i for i, _ in rows]
+    group = list(range(len(rows)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x, a in enumerate(sets):
+        for y in range(x):
+            b = sets[y]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                group[root(x)] = root(y)
+    least = {}
+    for x, i in enumerate(label):
+        least[root(x)] = min(least.get(root(x), big), i)
+    return [(i, len(s), None if least[root(x)] == big else least[root(x)]) for x, ((i, _), s) in enumerate(zip(rows, sets))]
