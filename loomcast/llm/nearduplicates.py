@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -230,26 +230,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of CLASSES for each document, with the text_key of its row beside them.
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component, component_id) of each row of (doc_id, text).
 
-    Shingles are SHINGLE words, with A-Z in lower case; a text of fewer words is one shingle. Linked
-    are documents with 100 * intersection >= PERCENT * union; component_id is the smallest id that
-    links lead to, the own one included. A text without words is linked with nothing. kept says that
-    the id is its component's; rows that repeat that id are all kept.
+    A null id is LAST_ID here. A text without shingles has no component.
     """
-    own = documents(docs, id_col, text_col)
-    made = materialize(sketch_documents(own), "sketches")
+    made = materialize(sketch_documents(docs), "sketches")
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    grouped = made.where("n_shingles > 0").groupBy("digest").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    nodes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "digest", "n_shingles", "sketch"), "nodes")
+    sets = made.where("n_shingles > 0").groupBy("digest").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = materialize(sets.select(F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "digest", "n_shingles", "sketch"), "nodes")
 
     bands = nodes.select("node", "sketch").mapInArrow(_keyed, "key long, node long")
     several = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     meeting = materialize(bands.join(several, "key"), "bands")
     pairs = meeting.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(estimate(pairs, nodes), "pairs")
-    links = materialize(confirm(tried, nodes, own), "links")
+    links = materialize(confirm(tried, nodes, docs), "links")
     labels = components(links)
 
     # closure: band keys that hold several components
@@ -260,14 +256,41 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spread = spread.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     crossing = spread.join(nodes.select("node", "sketch"), "node").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
     untried = crossing.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirm(materialize(untried, "crossing"), nodes, own), "links")
+    more = materialize(confirm(materialize(untried, "crossing"), nodes, docs), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
     named = nodes.select("node", "rep", "digest").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     oldest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = named.join(oldest, "component").select("digest", "component_id")
-    out = made.select("doc_id", "text_key", "n_shingles", "digest").join(classes, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    classes = named.join(oldest, "component").select("digest", "component", "component_id")
+    return made.select("doc_id", "text_key", "n_shingles", "digest").join(classes, "digest", "left").drop("digest")
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of CLASSES for each document.
+
+    Shingles are SHINGLE words, with A-Z in lower case; a text of fewer words is one shingle. Linked
+    are documents with 100 * intersection >= PERCENT * union; component_id is the smallest id that
+    links lead to, the own one included. A text without words is linked with nothing. kept says that
+    the id is its component's; rows that repeat that id are all kept.
+    """
+    component = F.coalesce("component_id", "doc_id")
     said = lambda c: F.when(c != LAST_ID, c)
-    return out.select(said(F.col("doc_id")).alias("doc_id"), "n_shingles", said(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_key")
+    return grouped(documents(docs, id_col, text_col)).select(said(F.col("doc_id")).alias("doc_id"), "n_shingles", said(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, but of each group of near duplicates only the one with
+    the smallest id. Texts without words all stay; of rows that repeat id and text one stays."""
+    rows = materialize(grouped(documents(docs, id_col, text_col)), "classes")
+    key = F.struct("doc_id", "text_key").alias("key")
+    winners = rows.where("component is not null").groupBy("component").agg(F.min(key).alias("key")).select("key.*")
+    stay = winners.unionByName(rows.where("component is null").select("doc_id", "text_key").distinct())
+    names = [f"__{c}" for c in ("doc_id", "text_key")]
+    tagged = docs.withColumns({names[0]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)), names[1]: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    kept = tagged.join(stay.toDF(*names), names, "left_semi")
+    repeats = rows.where("component is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    if repeats.limit(1).count():
+        first = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+        kept = kept.withColumn("__row", first).where((F.col("__row") == 1) | ~F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop("__row")
+    return kept.drop(*names)

@@ -45,7 +45,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearduplicates.classify(table(spark, sf_dir, "documents")).drop("text_key")
+    return nearduplicates.classify(table(spark, sf_dir, "documents"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
