@@ -1,0 +1,382 @@
+"""Column expressions of the engine; all stay within generated code."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# --------------------------------------------------------------------------- hashing
+
+
+def hash01(seed: int, purpose: str, *keys: Column) -> Column:
+    """A number in [0, 1) that depends on the seed, the purpose and the keys alone: 48 bits of md5."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
+def split_of(unit: Column, test: float, val: float) -> Column:
+    """test, val or train for a hash in [0, 1)."""
+    return F.when(unit < test, "test").when(unit < test + val, "val").otherwise("train")
+
+
+def split_with_hints(source: Column, hint: Column, unit: Column, official: Sequence[str], test: float, val: float) -> Column:
+    """The official split where its source is listed and names one, else that of the hash."""
+    listed = source.isin(list(official)) & F.coalesce(hint, F.lit("")).isin("train", "val", "test") if official else F.lit(False)
+    return F.when(listed, hint).otherwise(split_of(unit, test, val))
+
+
+# --------------------------------------------------------------------------- licences
+
+#: Id, commercial use, derivatives, share alike, attribution.
+LICENSES = (
+    ("CC0-1.0", True, True, False, False),
+    ("CC-BY-4.0", True, True, False, True),
+    ("CC-BY-3.0", True, True, False, True),
+    ("CC-BY-3.0-AU", True, True, False, True),
+    ("CC-BY-SA-4.0", True, True, True, True),
+    ("CC-BY-ND-4.0", True, False, False, True),
+    ("CC-BY-NC-4.0", False, True, False, True),
+    ("CC-BY-NC-SA-4.0", False, True, True, True),
+    ("CC-BY-NC-ND-4.0", False, False, False, True),
+    ("CDLA-Permissive-1.0", True, True, False, True),
+    ("public-domain-us-gov", True, True, False, False),
+    ("own", True, True, False, False),
+    ("synthetic", True, True, False, False),
+    ("unknown", False, False, False, True),
+)
+LICENSE_IDS = tuple(row[0] for row in LICENSES)
+COMMERCIAL_IDS = tuple(row[0] for row in LICENSES if row[1])
+
+
+def _known(candidate: Column) -> Column:
+    return F.when(candidate.isin(*LICENSE_IDS), candidate)
+
+
+def normalize_license(raw: Column) -> Column:
+    """The id of a licence told in free text or by URL; `unknown` where it tells none."""
+    text = F.trim(raw)
+    low = F.lower(text)
+    url = r"creativecommons\.org/licenses/([a-z-]+)/(\d\.\d)(?:/([a-z]{2}))?"
+    variant, version, land = (F.regexp_extract(low, url, i) for i in (1, 2, 3))
+    by_url = F.concat(F.lit("CC-"), F.upper(variant))
+    of_url = F.coalesce(_known(F.concat(by_url, F.lit("-"), version, F.lit("-"), F.upper(land))), _known(F.concat(by_url, F.lit("-"), version)), _known(F.concat(by_url, F.lit("-4.0"))), F.lit("unknown"))
+    words = F.translate(low, "_-", "  ")
+    close = F.replace(words, F.lit(" "), F.lit(""))
+    tells = lambda letters, *long: F.regexp_like(words, F.lit(rf"\b{letters}\b")) | _any(close, long)
+    base = F.concat(F.lit("CC-BY"), F.when(tells("nc", "noncommercial"), "-NC").otherwise(""), F.when(tells("sa", "sharealike"), "-SA").otherwise(""), F.when(tells("nd", "noderivatives", "noderivs"), "-ND").otherwise(""), F.lit("-"))
+    told = F.regexp_extract(words, r"(\d\.\d)", 1)
+    told = F.when(told == "", "4.0").otherwise(told)
+    australian = _any(words, (" au", "australia"))
+    of_words = F.coalesce(F.when(australian, _known(F.concat(base, told, F.lit("-AU")))), _known(F.concat(base, told)), _known(F.concat(base, F.lit("4.0"))), F.lit("unknown"))
+    return (
+        F.when(text.isNull() | (text == ""), "unknown")
+        .when(text.isin(*LICENSE_IDS), text)
+        .when(_any(low, ("publicdomain/zero", "cc0")) | F.regexp_like(low, F.lit(r"^cc[\s_-]*0(\s*1\.0)?$")), "CC0-1.0")
+        .when(_any(low, ("public domain", "public-domain")), "public-domain-us-gov")
+        .when(F.contains(low, F.lit("cdla")) & F.contains(low, F.lit("permissive")), "CDLA-Permissive-1.0")
+        .when(variant.isin("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"), of_url)
+        .when(F.contains(words, F.lit("attribution")) | F.regexp_like(words, F.lit(r"\bcc\b")), of_words)
+        .otherwise("unknown")
+    )
+
+
+def _any(text: Column, parts: Sequence[str]) -> Column:
+    out = F.contains(text, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def commercial_ok(license_id: Column, clause: Column | None = None) -> Column:
+    """Whether training for commercial use is allowed, by the licence or by a clause of the source."""
+    own = F.coalesce(license_id.isin(*COMMERCIAL_IDS), F.lit(False))
+    return own if clause is None else own | F.coalesce(clause, F.lit(False))
+
+
+# --------------------------------------------------------------------------- condition buckets
+
+#: Default thresholds.
+DARK, DIM, MURKY, CLEAR, EMPTY_GRADIENT, EMPTY_EDGES = 0.10, 0.25, 0.35, 0.55, 0.012, 0.01
+KEEP_DEFAULT = 0.15
+
+
+def light_bucket(luminance: Column, dark: float = DARK, dim: float = DIM) -> Column:
+    low = lambda t: (luminance < t) & ~F.isnan(luminance)
+    return F.when(low(dark), "dark").when(low(dim), "dim").otherwise("bright")
+
+
+def clarity_bucket(clarity: Column, murky: float = MURKY, clear: float = CLEAR) -> Column:
+    return F.when((clarity < murky) & ~F.isnan(clarity), "murky").when((clarity >= clear) & ~F.isnan(clarity), "clear").otherwise("moderate")
+
+
+def eval_slice(light: Column, clarity: Column) -> Column:
+    return F.when(light == "dark", "dark").when(clarity.isin("murky", "clear"), clarity).otherwise("other")
+
+
+def is_empty_scene(gradient: Column, edges: Column, gradient_below: float = EMPTY_GRADIENT, edges_below: float = EMPTY_EDGES) -> Column:
+    return (gradient < gradient_below) & (edges < edges_below)
+
+
+def keep_probability(slice_: Column, light: Column, fractions: Mapping[str, float]) -> Column:
+    """That of the slice, else of the light, else the default."""
+    table = F.create_map(*[F.lit(x) for pair in fractions.items() for x in pair]) if fractions else F.lit(None).cast("map<string,double>")
+    return F.coalesce(F.try_element_at(table, slice_), F.try_element_at(table, light), F.lit(fractions.get("default", KEEP_DEFAULT)))
+
+
+def unit_range(value: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value - low) / (high - low)))
+
+
+def clarity_score(contrast: Column, sharpness: Column, edges: Column, uciqe: Column) -> Column:
+    """0 (murky) to 1 (clear). Ranges and weights."""
+    return 0.40 * unit_range(contrast, 0.03, 0.30) + 0.30 * unit_range(sharpness, -4.0, -1.0) + 0.15 * unit_range(edges, 0.0, 0.05) + 0.15 * unit_range(uciqe, 0.18, 0.40)
+
+
+def has_text(value: Column) -> Column:
+    """Neither null nor empty: null, NaN read as text and '' all mean that a path is absent."""
+    return F.coalesce(F.length(value), F.lit(0)) > 0
+
+
+def richness(mask_path: Column, n_boxes: Column, frame_label: Column) -> Column:
+    """How much supervision a record has: 4 for a mask, 2 for boxes, 1 for a label."""
+    return F.when(has_text(mask_path), 4).otherwise(0) + F.when(n_boxes > 0, 2).otherwise(0) + F.when(frame_label != -1, 1).otherwise(0)
+
+
+def frame_label(any_animal: Column, exhaustive: Column) -> Column:
+    """1 with an animal box, 0 if the boxes are exhaustive, else -1 (unknown)."""
+    return F.when(any_animal, 1).when(exhaustive, 0).otherwise(-1)
+
+
+# --------------------------------------------------------------------------- names and paths
+
+
+def stem(name: Column) -> Column:
+    base = F.element_at(F.split(name, "/"), -1)
+    return F.when(F.regexp_like(base, F.lit(r"^.+\.[^.]+$")), F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
+
+
+def video_id(name: Column) -> Column:
+    """A frame's file name without its extension and trailing frame counter; never empty."""
+    own = stem(name)
+    base = F.regexp_replace(own, r"(?i)[_\-. ]?(frame|frm|f|img|image)?[_\-. ]?\d{1,7}$", "")
+    return F.when(base == "", own).otherwise(base)
+
+
+def cruise(name: Column) -> Column:
+    return F.upper(F.nullif(F.regexp_extract(stem(name), r"(?i)^(EX\d{4})", 1), F.lit("")))
+
+
+def dive(name: Column) -> Column:
+    number = F.nullif(F.regexp_extract(stem(name), r"(?i)DIVE[_-]?(\d+)", 1), F.lit(""))
+    short = F.regexp_replace(number, r"^0+(?=\d)", "")
+    return F.concat(F.lit("DIVE"), F.when(F.length(short) < 2, F.lpad(short, 2, "0")).otherwise(short))
+
+
+def capture_date(name: Column) -> Column:
+    return F.nullif(F.regexp_extract(stem(name), r"(20\d{6})", 1), F.lit(""))
+
+
+def split_from_path(path: Column) -> Column:
+    """The split that a file name or folder tells; train comes before val before test."""
+    low = F.lower(path)
+    base = stem(low)
+    told = lambda key: F.contains(base, F.lit(key)) | F.contains(low, F.lit(f"/{key}/"))
+    return F.when(told("train"), "train").when(told("val"), "val").when(told("valid"), "val").when(told("test"), "test")
+
+
+def url_basename(url: Column) -> Column:
+    """The last part of a URL's path, percent-decoded."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
+    return F.try_url_decode(F.element_at(F.split(path, "/"), -1))
+
+
+def safe_relative(path: Column) -> Column:
+    """Forward slashes, no leading slash, no parent folders."""
+    return F.replace(F.ltrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/")), F.lit(".."), F.lit("_"))
+
+
+def first_parts(path: Column, n: int) -> Column:
+    return F.substring_index(path, "/", n)
+
+
+def day_of(timestamp_text: Column) -> Column:
+    return F.substring(F.coalesce(timestamp_text, F.lit("")), 1, 10)
+
+
+def site_group(prefix: str, url: Column, timestamp_text: Column, latitude: Column, longitude: Column, contributor: Column) -> Column:
+    """The video an image is a frame of, else contributor, day and place rounded to a tenth of a degree."""
+    name = url_basename(url)
+    video = video_id(name)
+    place = lambda c: F.when(c.isNull(), "na").otherwise(F.format_string("%.1f", c))
+    where = F.concat(F.coalesce(contributor, F.lit("na")), F.lit(":"), day_of(timestamp_text), F.lit(":"), place(latitude), F.lit(","), place(longitude))
+    return F.concat(F.lit(f"{prefix}:"), F.when((video != stem(name)) | F.startswith(F.upper(name), F.lit("EX")), video).otherwise(where))
+
+
+# --------------------------------------------------------------------------- geometry and rates
+
+
+def wrap180(degrees: Column) -> Column:
+    return F.pmod(degrees + 180.0, F.lit(360.0)) - 180.0
+
+
+def hours_apart(a: Column, b: Column) -> Column:
+    """Distance of two times of day on the clock."""
+    d = F.abs(F.pmod(a - b, F.lit(24.0)))
+    return F.least(d, 24.0 - d)
+
+
+#: Field of view in degrees that normalised image coordinates span.
+HFOV, VFOV = 102.0, 67.0
+
+
+def angular_error(dx: Column, dy: Column, hfov: float = HFOV, vfov: float = VFOV) -> Column:
+    return F.hypot(dx * hfov, dy * vfov)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
+
+
+def logit(p: Column, eps: float = 1e-6) -> Column:
+    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    return F.log(q / (1.0 - q))
+
+
+def footage_value(weight: Column, good_s: Column, tau: float = 30.0) -> Column:
+    return weight * (1.0 - F.exp(-good_s / tau))
+
+
+def marginal_rate(framed: Column, weight: Column, good_s: Column, tau: float = 30.0) -> Column:
+    return framed * weight * F.exp(-good_s / tau) / tau
+
+
+def long_run_rate(value_done: Column, elapsed: Column, prior_rate: float = 1 / 300.0, prior_s: float = 1800.0) -> Column:
+    return (value_done + prior_rate * prior_s) / (F.greatest(F.lit(0.0), elapsed) + prior_s)
+
+
+def leave_reason(engaged: Column, good_s: Column, marginal: Column, long_run: Column, max_s: float = 180.0, giveup_s: float = 30.0, min_s: float = 10.0) -> Column:
+    """Why to leave an animal now; null to stay."""
+    shot = good_s >= 1.0
+    return (
+        F.when((engaged >= max_s) & F.lit(max_s > 0), "budget")
+        .when((engaged >= giveup_s) & ~shot, "no_shot")
+        .when((engaged >= min_s) & (marginal < long_run), F.when(shot, "enough").otherwise("no_shot"))
+    )
+
+
+def behaviour(seen: Column, crowded: Column, fled: Column, reason: Column, swarm_share: float = 0.3) -> Column:
+    return F.when((seen > 0) & (crowded >= swarm_share * seen), "swarm").when(fled | reason.isin("fled", "lost"), "mobile").otherwise("drifter")
+
+
+def end_reason(reason: Column, since_fled: Column, window_s: float = 10.0) -> Column:
+    """An animal lost soon after it fled got away."""
+    return F.when((reason == "lost") & F.coalesce(since_fled <= window_s, F.lit(False)), "fled").otherwise(reason)
+
+
+def leave_time(rate: Column, tau: float = 30.0) -> Column:
+    """Framed seconds after which the marginal rate falls to `rate`."""
+    return tau * F.log(1.0 / (tau * rate))
+
+
+def well_framed(found: Column, prob: Column, cx: Column, cy: Column, size: Column) -> Column:
+    """At least probability 0.5, within 0.2 of the centre, size at least 0.02."""
+    return found & (prob >= 0.5) & (F.abs(cx - 0.5) < 0.2) & (F.abs(cy - 0.5) < 0.2) & (size >= 0.02)
+
+
+def detected(prob: Column, peak: Column, found: Column, on: float = 0.6) -> Column:
+    return ((prob >= on) | (peak >= on)) & found
+
+
+def good_view(confidence: Column, distance: Column, dx: Column, dy: Column) -> Column:
+    """Confidence 0.5, 3 m, 0.2 off the centre."""
+    return (confidence >= 0.5) & (distance <= 3.0) & (F.abs(dx) < 0.2) & (F.abs(dy) < 0.2)
+
+
+def smoothstep(x: Column) -> Column:
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return u * u * (3.0 - 2.0 * u)
+
+
+def warmup_cosine(step: Column, warmup: int, total: int, peak: float, start: float, final: float) -> Column:
+    """A linear rise and then half a cosine down."""
+    up = start + (peak - start) * step / float(max(1, warmup))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / float(max(1, total - warmup))))
+    return F.when(step < warmup, up).otherwise(final + (peak - final) * 0.5 * (1.0 + F.cos(F.lit(3.141592653589793) * share)))
+
+
+def storage_hours(free_bytes: Column, bits_per_s: float) -> Column:
+    return free_bytes * 8.0 / bits_per_s / 3600.0
+
+
+def terminal_speed(force: Column, linear: float, quadratic: float) -> Column:
+    """The steady speed at which linear and quadratic drag balance a force."""
+    size = F.abs(force)
+    if quadratic <= 0:
+        return force / linear
+    return F.signum(force) * (-linear + F.sqrt(linear * linear + 4.0 * quadratic * size)) / (2.0 * quadratic)
+
+
+#: Bits of a power supply's status word.
+THROTTLE_BITS = ((0, "under_voltage"), (1, "freq_capped"), (2, "throttled"), (3, "soft_temp_limit"), (16, "under_voltage_occurred"), (17, "freq_capped_occurred"), (18, "throttled_occurred"), (19, "soft_temp_limit_occurred"))
+
+
+def throttle_flags(word: Column) -> Column:
+    """The names of the bits set in a status word, in order."""
+    return F.filter(F.array(*[F.when(word.bitwiseAND(F.lit(1 << b)) != 0, F.lit(n)) for b, n in THROTTLE_BITS]), lambda x: x.isNotNull())
+
+
+# --------------------------------------------------------------------------- arrays
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def xywh_to_corners(box: Column, width: Column, height: Column) -> Column:
+    """Pixel x, y, w, h to normalised corners in [0, 1], rounded to six digits."""
+    edge = lambda v, n: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / n)), 6)
+    x, y, w, h = (box[i] for i in range(4))
+    return F.array(edge(x, width), edge(y, height), edge(x + w, width), edge(y + h, height))
+
+
+def box_area(box: Column) -> Column:
+    side = lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), b - a))
+    return side(box[0], box[2]) * side(box[1], box[3])
+
+
+def centroid_and_size(boxes: Column) -> Column:
+    """Area-weighted centre and root of the area of normalised corner boxes; null without area."""
+    total = F.aggregate(boxes, F.lit(0.0), lambda s, b: s + box_area(b))
+    centre = lambda i: F.try_divide(F.aggregate(boxes, F.lit(0.0), lambda s, b: s + (b[i] + b[i + 2]) / 2.0 * box_area(b)), total)
+    return F.when(total > 0, F.struct(centre(0).alias("cx"), centre(1).alias("cy"), F.sqrt(F.least(total, F.lit(1.0))).alias("size")))
+
+
+def patch_targets(coverage: Column, positive: float = 0.3, negative: float = 0.0) -> Column:
+    return F.transform(coverage, lambda c: F.when(c >= positive, 1).when(c <= negative, 0).otherwise(-1))
+
+
+def pooled(tokens: Column) -> Column:
+    """Mean and maximum over tokens, one after the other."""
+    dims = F.sequence(F.lit(1), F.size(tokens[0]))
+    column = lambda i: F.transform(tokens, lambda t: F.element_at(t, i))
+    mean = F.transform(dims, lambda i: F.aggregate(column(i), F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(tokens))
+    most = F.transform(dims, lambda i: F.array_max(column(i)).cast("double"))
+    return F.concat(mean, most)
+
+
+def taxon_group(ancestors: Column, groups: Mapping[str, Sequence[str]], default: str = "other") -> Column:
+    """The first group that shares a name with the ancestors."""
+    out = F.lit(default)
+    for name, members in reversed(list(groups.items())):
+        out = F.when(F.arrays_overlap(ancestors, F.array(*map(F.lit, members))), name).otherwise(out)
+    return out
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
