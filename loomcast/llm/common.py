@@ -12,6 +12,7 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -113,6 +114,20 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def release(out: pa.Table) -> pa.Table:
+    """Give freed memory back to the system between the groups that a worker handles."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return out
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every (start, length), one after another."""
     lengths = np.asarray(lengths, dtype=np.int64)

@@ -10,6 +10,9 @@ anchor.
 1. Each chunk of documents says which anchor hashes it has, deduplicated, in 4 bytes each, dealt
    to buckets by hash. A bucket answers each chunk which of them another chunk has too. A false
    match of 4 bytes only makes work, it changes no result.
+   Where the caller asks for it, chunks then say which contents they have at these anchors, by
+   hash. Runs of an anchor with one content everywhere are settled: the smallest id is the source
+   of all others. Only runs at the other anchors go on.
 2. Each chunk sends its runs at shared anchors to the blocks of their hash, one of each content:
    that of its smallest id. A block holds every run that can match another, indexes them by the
    method of the caller and answers which windows of a run have an earlier source.
@@ -32,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, ids, partitions, ragged, texts
+from .common import documents, ids, partitions, ragged, release, texts
 
 #: Bytes of text in a chunk, and in a shuffle partition, that their numbers are chosen for.
-CHUNK_BYTES, PARTITION_BYTES = 6 << 20, 24 << 20
+CHUNK_BYTES, PARTITION_BYTES = 4 << 20, 24 << 20
+#: Bytes of text for each bucket of hashes, at least: a chunk sends a row to each bucket it has.
+BUCKET_BYTES = 1 << 20
 #: Bytes of text whose windows are hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 500_000
 LOW = K.U64(0xFFFFFFFF)
 
 
@@ -45,13 +50,17 @@ LOW = K.U64(0xFFFFFFFF)
 class Scheme:
     """What a window is and how blocks match runs.
 
-    values(data, offsets) gives the hashed units of texts and the first unit of each. `pack` gives the
-    bytes that describe the windows of runs to a block, and `match` finds in a block, for each run,
-    pieces (run, first window, windows, source id, source unit) with an earlier source.
+    values(data, offsets) gives the hashed units of texts and the first unit of each; `keep` says
+    whether a chunk keeps them. `settle` asks for a round before the second pass in which runs whose
+    anchor has one content everywhere are answered by hashes alone. `pack` gives the bytes that describe the windows of runs to a block, and
+    `match` finds in a block, for each run, pieces (run, first window, windows, source id, source unit)
+    with an earlier source.
     """
 
     width: int
     gram: int
+    keep: bool
+    settle: bool
     values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     pack: Callable[[Chunk, np.ndarray], tuple[np.ndarray, np.ndarray]]
     match: Callable[[Runs], tuple[np.ndarray, ...]]
@@ -94,39 +103,72 @@ class Runs:
 
 def read_chunk(part: pa.Table, scheme: Scheme) -> Chunk:
     data, offsets = K.text_buffer(texts(part))
-    values, first = scheme.values(data, offsets)
-    found = []
-    n = len(first) - 1
-    at = 0
+    found, kept, firsts = [], [], [np.zeros(1, np.int64)]
+    n = len(offsets) - 1
+    at = begin = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
-        to = min(to, n)
-        begin = first[at]
-        found.append([x if i else x + begin for i, x in enumerate(_runs(values[begin : first[to]], first[at : to + 1] - begin, scheme))])
+        to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
+        to = min(max(to, at + 1), n)
+        values, first = scheme.values(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        start, *rest = _runs(values, first, scheme)
+        found.append([start + begin, *rest])
+        firsts.append(first[1:] + begin)
+        begin += int(first[-1])
+        if scheme.keep:
+            kept.append(values)
         at = to
+    first = np.concatenate(firsts)
     start, count, anchor, content = (np.concatenate(x) for x in zip(_NO_RUNS, *found))
     doc = np.searchsorted(first, start, side="right") - 1
-    return Chunk(scheme, ids(part), data, offsets, values, first, start, count, anchor, content, doc)
+    return Chunk(scheme, ids(part), data, offsets, np.concatenate([np.zeros(0, K.U64), *kept]), first, start, count, anchor, content, doc)
 
 
 _NO_RUNS = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, K.U64), np.zeros(0, K.U64)]
+#: Low bits of a gram's hash that give way to its place while the smallest is sought.
+PLACE_BITS = 20
 
 
 def _runs(values: np.ndarray, first: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
-    windows = K.window_starts(first, scheme.width)
-    if not len(windows):
+    n, width, gram = len(values), scheme.width, scheme.gram
+    if n < width:
         return _NO_RUNS
-    prefix = K.prefix_hash(values, 0x8EBC6AF09C88C6E3)
-    place = np.arange(len(values) - scheme.gram + 1)
-    grams = K.mix(K.range_hash(prefix, place, place + scheme.gram))
-    lead = K.sliding_argmin(grams, scheme.width - scheme.gram + 1)[windows]
-    new = np.ones(len(windows), dtype=bool)
-    new[1:] = (lead[1:] != lead[:-1]) | (windows[1:] != windows[:-1] + 1)
-    at = np.flatnonzero(new)
-    start, count, lead = windows[at], np.diff(np.append(at, len(windows))), lead[at]
-    body = K.range_hash(prefix, start, start + count + scheme.width - 1)
+    sums, down = K.prefix_hash(values, 0x8EBC6AF09C88C6E3)
+    grams = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
+    grams ^= grams >> K.U64(32)
+    grams *= K.U64(0xD6E8FEB86659FD93)
+    grams ^= grams >> K.U64(29)
+    lead = leftmost_smallest(grams, width - gram + 1)
+    new = np.ones(len(lead), dtype=bool)
+    np.not_equal(lead[1:], lead[:-1], out=new[1:])
+    for cut in (first[:-1], first[1:] - width + 1):  # where a text's windows begin, and where they end
+        new[cut[(cut >= 0) & (cut < len(new))]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(new)))
+    inside = start + width <= first[np.searchsorted(first, start, side="right")]
+    start, count = start[inside], count[inside]
+    lead = lead[start]
+    end = start + count + width - 1
+    body = (sums[end] - sums[start]) * down[start]
     content = K.mix(body + K.mix(count.astype(K.U64) * K.U64(1 << 32) + (lead - start).astype(K.U64) + K.U64(1)))
-    return [start, count, grams[lead], content]
+    return [start, count, K.mix(grams[lead]), content]
+
+
+def leftmost_smallest(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest gram, the leftmost of equals, in every run of `width` grams.
+
+    The place takes the low bits of the hash, so that smallest values alone are compared. Equal grams
+    still compare by place; which of two grams that agree in the high bits wins is settled by place
+    too, alike wherever the same window stands.
+    """
+    if len(grams) >> PLACE_BITS:
+        return K.sliding_argmin(grams >> K.U64(PLACE_BITS), width)
+    low = K.U64((1 << PLACE_BITS) - 1)
+    best, size = (grams & ~low) | np.arange(len(grams), dtype=K.U64), 1
+    while size < width:
+        step = min(size, width - size)
+        best = np.minimum(best[:-step], best[step:])
+        size += step
+    return (best & low).astype(np.int64)
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +196,7 @@ def blob(values: np.ndarray) -> bytes:
 
 def unblob(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """All values of a column of blobs, and the row of each."""
-    parts = [np.frombuffer(x, dtype=dtype) for x in column.to_pylist()]
+    parts = [np.frombuffer(x or b"", dtype=dtype) for x in column.to_pylist()]
     if not parts:
         return np.zeros(0, dtype), np.zeros(0, np.int64)
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -170,6 +212,8 @@ def _rows(schema: pa.Schema) -> dict[str, list]:
 
 HAVE = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("low", pa.binary())])
 SHARED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("low", pa.binary())])
+CONTENTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("content", "low", "ids", "index")]])
+SETTLED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("low", pa.binary()), ("copies", pa.binary())])
 SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("content", "anchor", "ids", "at", "count", "payload", "sizes")]])
 ANSWER = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("content", "first", "windows", "source", "source_at")]])
 _DDL = {pa.int64(): "long", pa.binary(): "binary"}
@@ -221,16 +265,9 @@ def send_runs(part: pa.Table, shared: pa.Table, scheme: Scheme, buckets: int) ->
     rows = _rows(SENT)
     if not part.num_rows:
         return _said(rows, SENT)
-    chunk = read_chunk(part, scheme)
-    low, row = unblob(shared["low"], "<u4")
-    there = np.sort((np.asarray(shared["bucket"].to_pylist(), dtype=K.U64)[row] << K.U64(32)) | low.astype(K.U64)) if len(low) else np.zeros(0, K.U64)
-    keys = bucket_keys(chunk.anchor, buckets)
-    wanted = np.isin(keys, there)
+    chunk, wanted = told_of(part, shared, scheme, buckets)
     doc_ids = chunk.ids
-    # anchors that two documents of this chunk share
-    lead, number = smallest(keys, doc_ids)
-    wanted |= np.isin(number, number[doc_ids != doc_ids[lead][number]])
-    runs = np.flatnonzero(wanted)
+    runs = np.flatnonzero(wanted if scheme.settle else wanted | shared_within(chunk.anchor, doc_ids))
     once, _ = smallest(chunk.content[runs], doc_ids[runs], chunk.start[runs])
     runs = np.sort(runs[once])
     payload, sizes = scheme.pack(chunk, runs)
@@ -245,6 +282,57 @@ def send_runs(part: pa.Table, shared: pa.Table, scheme: Scheme, buckets: int) ->
     return _said(rows, SENT)
 
 
+def told_of(part: pa.Table, shared: pa.Table, scheme: Scheme, buckets: int) -> tuple[Chunk, np.ndarray]:
+    """A chunk and its runs at anchors that `shared` (SHARED rows) or two of its documents share."""
+    chunk = read_chunk(part, scheme)
+    low, row = unblob(shared["low"], "<u4")
+    there = np.sort((np.asarray(shared["bucket"].to_pylist(), dtype=K.U64)[row] << K.U64(32)) | low.astype(K.U64)) if len(low) else np.zeros(0, K.U64)
+    return chunk, np.isin(bucket_keys(chunk.anchor, buckets), there)
+
+
+def send_contents(part: pa.Table, shared: pa.Table, scheme: Scheme, buckets: int) -> pa.Table:
+    rows = _rows(CONTENTS)
+    if not part.num_rows:
+        return _said(rows, CONTENTS)
+    chunk, wanted = told_of(part, shared, scheme, buckets)
+    doc_ids = chunk.ids
+    runs = np.flatnonzero(wanted | shared_within(chunk.anchor, doc_ids))
+    once, _ = smallest(chunk.content[runs], doc_ids[runs])
+    runs = runs[once]
+    for b, (content, anchor, own) in by_group(bucket_of(chunk.anchor[runs], buckets), chunk.content[runs], chunk.anchor[runs], doc_ids[runs]):
+        table, index = np.unique(own, return_inverse=True)
+        for name, value in zip(CONTENTS.names, (b, part["chunk"][0].as_py(), blob(content), blob((anchor & LOW).astype("<u4")), blob(table), blob(index.astype("<u4" if len(table) >> 16 else "<u2")))):
+            rows[name].append(value)
+    return _said(rows, CONTENTS)
+
+
+def shared_within(anchor: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    """Which runs have an anchor that another document of the chunk has."""
+    lead, number = smallest(anchor, doc_ids)
+    return np.bincount(number, doc_ids != doc_ids[lead][number])[number] > 0 if len(anchor) else np.zeros(0, bool)
+
+
+def settle_block(part: pa.Table) -> pa.Table:
+    """Of anchors with one content: the copies. Of the others: that their windows must be compared."""
+    content, row = unblob(part["content"], "<u8")
+    low, _ = unblob(part["low"], "<u4")
+    own = []
+    for table, index in zip(part["ids"].to_pylist(), part["index"].to_pylist()):
+        table = np.frombuffer(table, "<i8")
+        own.append(table[np.frombuffer(index, "<u4" if len(table) >> 16 else "<u2")])
+    own = np.concatenate(own) if own else np.zeros(0, np.int64)
+    first, which = smallest(low, content)
+    mixed = np.bincount(which, content != content[first][which])[which] > 0 if len(low) else np.zeros(0, bool)
+    lead, number = smallest(content, own)
+    copy = ~mixed & (own > own[lead][number])
+    rows, chunks = _rows(SETTLED), part["chunk"].to_pylist()
+    some = copy | mixed
+    for r, (is_mixed, anchors, found) in by_group(row[some], mixed[some], low[some], content[some]):
+        for name, value in zip(SETTLED.names, (chunks[r], part["bucket"][0].as_py(), blob(np.unique(anchors[is_mixed])), blob(found[~is_mixed]))):
+            rows[name].append(value)
+    return _said(rows, SETTLED)
+
+
 def match_block(part: pa.Table, scheme: Scheme, payload: str) -> pa.Table:
     content, row = unblob(part["content"], "<u8")
     runs = Runs(row, content, unblob(part["anchor"], "<u8")[0], unblob(part["ids"], "<i8")[0], unblob(part["at"], "<u4")[0].astype(np.int64), unblob(part["count"], "<u2")[0].astype(np.int64), unblob(part["payload"], payload)[0], unblob(part["sizes"], "<u2")[0].astype(np.int64))
@@ -266,6 +354,10 @@ def repeated(chunk: Chunk, answer: pa.Table) -> tuple[np.ndarray, ...]:
     lead, number = smallest(chunk.content, doc_ids, chunk.start)
     later = np.flatnonzero(doc_ids > doc_ids[lead][number])
     found = [(chunk.start[later], chunk.count[later], doc_ids[lead][number[later]], within[lead][number[later]])]
+    if "copies" in answer.column_names:  # contents settled as copies
+        copies, _ = unblob(answer["copies"], "<u8")
+        whole = np.flatnonzero((doc_ids == doc_ids[lead][number]) & np.isin(chunk.content, copies))
+        found.append((chunk.start[whole], chunk.count[whole], np.full(len(whole), -1), np.zeros(len(whole), np.int64)))
     content, _ = unblob(answer["content"], "<u8")
     if len(content):
         order = np.argsort(content, kind="stable")
@@ -285,17 +377,21 @@ def find(docs: DataFrame, scheme: Scheme, payload: str, finish: Callable[[Chunk,
     own = documents(docs, id_col, text_col)
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(partitions(spark), -(-size // PARTITION_BYTES))
-    chunks = max(3 * parts, -(-size // CHUNK_BYTES))
+    chunks = max(parts, -(-size // CHUNK_BYTES))
+    buckets = max(1, min(parts, -(-size // BUCKET_BYTES)))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(parts, "chunk")
 
     def anchors(part: pa.Table) -> pa.Table:
-        return anchors_of(part, scheme, parts)
+        return release(anchors_of(part, scheme, buckets))
 
     def runs(part: pa.Table, shared: pa.Table) -> pa.Table:
-        return send_runs(part, shared, scheme, parts)
+        return release(send_runs(part, shared, scheme, buckets))
+
+    def contents(part: pa.Table, shared: pa.Table) -> pa.Table:
+        return release(send_contents(part, shared, scheme, buckets))
 
     def block(part: pa.Table) -> pa.Table:
-        return match_block(part, scheme, payload)
+        return release(match_block(part, scheme, payload))
 
     empty = finish(read_chunk(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), scheme), (np.zeros(0, np.int64),) * 4)
 
@@ -303,12 +399,19 @@ def find(docs: DataFrame, scheme: Scheme, payload: str, finish: Callable[[Chunk,
         if not part.num_rows:
             return empty
         chunk = read_chunk(part, scheme)
-        return finish(chunk, repeated(chunk, answer))
+        return release(finish(chunk, repeated(chunk, answer)))
 
     have = dealt.groupBy("chunk").applyInArrow(anchors, ddl(HAVE)).repartition(parts, "bucket")
     shared = have.groupBy("bucket").applyInArrow(shared_anchors, ddl(SHARED)).repartition(parts, "chunk")
+    settled = None
+    if scheme.settle:
+        held = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(contents, ddl(CONTENTS)).repartition(parts, "bucket")
+        settled = held.groupBy("bucket").applyInArrow(settle_block, ddl(SETTLED)).repartition(parts, "chunk")
+        shared = settled
     sent = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(runs, ddl(SENT)).repartition(parts, "bucket")
     answers = sent.groupBy("bucket").applyInArrow(block, ddl(ANSWER)).repartition(parts, "chunk")
+    if settled is not None:
+        answers = answers.unionByName(settled, allowMissingColumns=True)
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, schema)
 
 

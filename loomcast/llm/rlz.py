@@ -56,7 +56,7 @@ def _match(runs: overlap.Runs) -> tuple[np.ndarray, ...]:
     return run[begin], place[begin], np.diff(np.append(begin, len(hit))), source[begin], source_at[begin]
 
 
-SCHEME = overlap.Scheme(WIDTH, GRAM, _values, _pack, _match)
+SCHEME = overlap.Scheme(WIDTH, GRAM, True, False, _values, _pack, _match)
 
 
 def factors(start: np.ndarray, windows: np.ndarray, source: np.ndarray, source_at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -1,11 +1,12 @@
 """Substring deduplication over bytes with a suffix array, built block by block.
 
-Windows of WIDTH bytes are grouped to runs and dealt to blocks (see `overlap`), with the text of
-each run. In a block, copies of one run collapse to that of the smallest id; runs whose anchor
-then has a single text are settled. The windows of the others are sorted as suffixes:
+Windows of WIDTH bytes are grouped to runs and dealt to blocks (see `overlap`). Runs whose anchor
+has a single text are settled by their hashes; the text of the others goes to the blocks. In a
+block, copies of one run collapse to that of the smallest id, and the windows are sorted as
+suffixes:
 
-* the places of a block's text whose number modulo 7 is in a difference cover are ranked first;
-  for any two places some distance of at most six leads to a ranked place from both;
+* the places of a block's text whose number modulo 3 is in a difference cover are ranked first;
+  for any two places some distance of at most two leads to a ranked place from both;
 * the suffixes are sorted one bucket of leading bytes at a time. Those that tie in eight bytes
   are compared by the ranks at the distance that serves both their residues: each residue class
   is sorted by its own ranks, and the classes are merged by counting, for each suffix, the
@@ -26,11 +27,11 @@ from . import kernels as K
 from . import overlap
 from .common import id_array, ragged
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 22
 STRIPPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long, end:long>>"
 
-#: A difference cover modulo 7.
-COVER, MODULUS = (0, 1, 3), 7
+#: A difference cover modulo 3.
+COVER, MODULUS = (0, 1), 3
 #: Suffixes sorted at once, but for more that share eight bytes.
 BUCKET = 1 << 20
 
@@ -177,7 +178,7 @@ def _match(runs: overlap.Runs) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-SCHEME = overlap.Scheme(WIDTH, GRAM, _values, _pack, _match)
+SCHEME = overlap.Scheme(WIDTH, GRAM, False, True, _values, _pack, _match)
 
 
 def _finish(chunk: overlap.Chunk, stretches: tuple[np.ndarray, ...]) -> pa.Table:
