@@ -10,9 +10,10 @@ Candidates. Documents with equal shingle sets, told by a 128-bit digest of the w
 node. Within the nodes of a band key, all are paired with the oldest one alone. Pairs whose
 similarity, estimated from all registers and corrected for chance collisions, is five standard
 errors below the threshold are left out; the others are confirmed on their full sets. Confirmed
-links give components. Then a closure: wherever a band key holds nodes of several components, all
-pairs across components are estimated, block by block, and confirmed. So a link between
-components is not lost, while a group of copies costs work in proportion to its size.
+links give components. Then a closure: wherever a band key holds nodes of several components,
+those likely linked across components are compared on their full sets, block by block, and of the
+links that join the same components one is kept. So no link between components is lost, no pairs
+are written out, and a group of copies that agree costs work in proportion to its size.
 
 Everything is a distributed join or aggregate; groups are pre-aggregated, hot pivots salted and
 oversize band keys split to blocks. Only counts come to the driver.
@@ -39,8 +40,8 @@ COLLISION = 2.0**-MANTISSA / 3
 SIGMAS = 5.0
 #: Members that one task confirms against a pivot, and nodes of a band key compared at once.
 SALT, BLOCK = 512, 1024
-#: Shingles hashed at once, for the cache.
-STRIDE = 1 << 15
+#: Shingles hashed at once, for the cache, and columns of an incidence matrix.
+STRIDE, COLUMNS = 1 << 15, 4096
 
 SKETCHES = "doc_id long, text_key long, n_shingles long, digest binary, sketch binary"
 CLASSES = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -152,19 +153,64 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(part: pa.Table) -> pa.Table:
-    """Likely pairs across components between two blocks of a band key (or within one)."""
+    """The rows of two blocks of a band key (or one) that are likely linked across components."""
     i, j = part["i"][0].as_py(), part["j"][0].as_py()
-    node, component, block = (part[c].to_numpy() for c in ("node", "component", "block"))
+    component, block = part["component"].to_numpy(), part["block"].to_numpy()
     sketch = unpack(part["sketch"])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    found = []
+    wanted = np.zeros(len(block), dtype=bool)
     for x in left.tolist():
-        others = right[(component[right] != component[x]) & ((node[right] > node[x]) if i == j else True)]
+        others = right[component[right] != component[x]]
         if len(others):
             others = others[likely(sketch[x][None], sketch[others])]
-            found.append((np.full(len(others), node[x]), node[others]))
-    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            wanted[others] = True
+            wanted[x] |= len(others) > 0
+    return part.drop_columns(["sketch"]).filter(pa.array(wanted))
+
+
+def _compare(part: pa.Table) -> pa.Table:
+    """Links across components between two blocks of a band key (or within one), confirmed on full
+    sets: all intersections at once, as products of incidence matrices over a stretch of shingles.
+    Of links that join the same components one is returned."""
+    i, j = part["i"][0].as_py(), part["j"][0].as_py()
+    node, component, block = (part[c].to_numpy() for c in ("node", "component", "block"))
+    values, first = shingle_sets(texts(part))
+    sizes, owner = np.diff(first), np.repeat(np.arange(len(node)), np.diff(first))
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    _, which, many = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(many > 1) - 1
+    shared = many[which] > 1
+    which, owner = column[which[shared]], owner[shared]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    row = [np.full(len(node), -1), np.full(len(node), -1)]
+    row[0][left], row[1][right] = np.arange(len(left)), np.arange(len(right))
+    for lo in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
+        a, b = np.searchsorted(which, [lo, lo + COLUMNS])
+        sides = []
+        for at, n in zip(row, (len(left), len(right))):
+            here = at[owner[a:b]]
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[here[here >= 0], which[a:b][here >= 0] - lo] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    linked = 100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)
+    linked &= component[left][:, None] != component[right][None, :]
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in group:
+            x = group[x]
+        return x
+
+    found = []
+    for x, y in np.argwhere(linked).tolist():
+        a, b = root(int(component[left[x]])), root(int(component[right[y]]))
+        if a != b:
+            group[max(a, b)] = min(a, b)
+            found.append((node[left[x]], node[right[y]]))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,16 +242,14 @@ def estimate(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a long, b long")
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def confirm(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; `held` is (node, text)."""
     parts = partitions(pairs.sparkSession)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     pivots = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("a", F.col("a").alias("b"), "salt", F.lit(0).alias("role"))
     members = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    where = nodes.select(F.col("node").alias("b"), F.col("rep").alias("doc_id"), "text_key")
-    wanted = pivots.unionByName(members).join(where, "b")
-    held = docs.withColumns({"doc_id": F.coalesce("doc_id", F.lit(LAST_ID)), "text_key": F.xxhash64("text")})
-    rows = held.join(wanted, ["doc_id", "text_key"]).select("a", "b", "salt", "role", "text")
+    wanted = pivots.unionByName(members)
+    rows = wanted.join(held.select(F.col("node").alias("b"), "text"), "b").select("a", "b", "salt", "role", "text")
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm, "a long, b long").distinct()
 
 
@@ -244,8 +288,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     several = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     meeting = materialize(bands.join(several, "key"), "bands")
     pairs = meeting.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialize(estimate(pairs, nodes), "pairs")
-    links = materialize(confirm(tried, nodes, docs), "links")
+    # the texts that can have a partner, once, for both rounds of confirmation
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rep"), F.xxhash64("text").alias("text_key"), "text")
+    partnered = nodes.select("node", "rep", "text_key").join(meeting.select("node").distinct(), "node", "left_semi")
+    held = materialize(keyed.join(partnered, ["rep", "text_key"]).select("node", "text"), "texts")
+    links = materialize(confirm(materialize(estimate(pairs, nodes), "pairs"), held), "links")
     labels = components(links)
 
     # closure: band keys that hold several components
@@ -254,9 +301,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     spread = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    crossing = spread.join(nodes.select("node", "sketch"), "node").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-    untried = crossing.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirm(materialize(untried, "crossing"), nodes, docs), "links")
+    likely_ = spread.join(nodes.select("node", "sketch"), "node").groupBy("key", "i", "j").applyInArrow(_across, "node long, key long, component long, block int, i int, j int")
+    more = materialize(likely_.join(held, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 

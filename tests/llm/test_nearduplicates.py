@@ -30,6 +30,7 @@ def corpus(seed, n=150):
 def test_equal_to_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
     monkeypatch.setattr(N, "SALT", 3)
+    monkeypatch.setattr(N, "COLUMNS", 16)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, n_shingles int, digest string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in N.classify(docs).collect())
