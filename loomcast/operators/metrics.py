@@ -23,10 +23,10 @@ def _or_nan(condition: Column, value: Column) -> Column:
 
 def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, n_pos, auc): area under the ROC curve with ties counted half."""
-    counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("q"))
+    counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("__q"))
     below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("won", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2.0))
-    out = won.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("won").alias("won"))
+    won = counts.withColumn("won", F.col("__p") * (F.coalesce(F.sum("__q").over(below), F.lit(0)) + F.col("__q") / 2.0))
+    out = won.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"), F.sum("won").alias("won"))
     return out.select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", _or_nan((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.try_divide("won", F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
@@ -41,15 +41,15 @@ def average_precision(df: DataFrame, y: str, score: str, tie: str, by: Sequence[
 def tpr_at_fpr(df: DataFrame, y: str, score: str, fpr: float, by: Sequence[str] = ()) -> DataFrame:
     """(by, threshold, tpr): the share of positives strictly above the k-th largest negative, with
     k = floor(fpr * negatives) and the largest for k = 0."""
-    counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("q"))
+    counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("__q"))
     part = Window.partitionBy(*(by or [F.lit(0)]))
     above = part.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    told = counts.withColumns({"__above": F.sum("q").over(above), "__neg": F.sum("q").over(part)})
+    told = counts.withColumns({"__above": F.sum("__q").over(above), "__neg": F.sum("__q").over(part)})
     k = F.floor(F.lit(float(fpr)) * F.col("__neg"))
-    at = told.withColumn("__threshold", F.max(F.when((F.col("__above") > k) & (F.col("q") > 0), F.col(score))).over(part))
-    out = at.groupBy(*by).agg(F.max("__threshold").alias("threshold"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.when(F.col(score) > F.col("__threshold"), F.col("p")).otherwise(0)).alias("hit"))
-    both = (F.col("p") > 0) & (F.col("q") > 0)
-    return out.select(*by, _or_nan(both, F.col("threshold")).alias("threshold"), _or_nan(both, F.try_divide("hit", "p")).alias("tpr"))
+    at = told.withColumn("__threshold", F.max(F.when((F.col("__above") > k) & (F.col("__q") > 0), F.col(score))).over(part))
+    out = at.groupBy(*by).agg(F.max("__threshold").alias("threshold"), F.sum("__p").alias("__p"), F.sum("__q").alias("__q"), F.sum(F.when(F.col(score) > F.col("__threshold"), F.col("__p")).otherwise(0)).alias("hit"))
+    both = (F.col("__p") > 0) & (F.col("__q") > 0)
+    return out.select(*by, _or_nan(both, F.col("threshold")).alias("threshold"), _or_nan(both, F.try_divide("hit", "__p")).alias("tpr"))
 
 
 def balanced_accuracy(y: Column, predicted: Column) -> Column:

@@ -125,11 +125,11 @@ def smoothed(df: DataFrame, key: str, time: str, tie: str, value: str, tau: floa
     a bounded stretch of 40 tau, beyond which a change weighs less than 1e-17.
     """
     w = _order(key, time, tie)
-    steps = df.withColumns({"__next_t": F.col(time), "__jump": F.col(value) - F.lag(value).over(w), "__from": F.lag(time).over(w)})
-    near = Window.partitionBy(key).orderBy(time).rangeBetween(-40.0 * tau, 0)
-    jumps = F.collect_list(F.when(F.col("__jump").isNotNull(), F.struct(F.col("__from").alias("t"), F.col("__next_t").alias("u"), F.col("__jump").alias("j")))).over(near)
+    steps = df.withColumns({"__jump": F.col(value) - F.lag(value).over(w), "__from": F.lag(time).over(w)})
+    jump = "CASE WHEN __jump IS NOT NULL THEN struct(__from AS t, __jump AS j) END"
+    jumps = F.expr(f"collect_list({jump}) OVER (PARTITION BY `{key}` ORDER BY `{time}` RANGE BETWEEN {40.0 * tau}D PRECEDING AND CURRENT ROW)")
     lag = F.aggregate(F.col("__jumps"), F.lit(0.0), lambda s, x: s + x["j"] * F.exp(-(F.col(time) - x["t"]) / F.lit(float(tau))))
-    return steps.withColumn("__jumps", jumps).withColumn("ema", F.col(value) - lag).drop("__next_t", "__jump", "__from", "__jumps")
+    return steps.withColumn("__jumps", jumps).withColumn("ema", F.col(value) - lag).drop("__jump", "__from", "__jumps")
 
 
 def rolling_percentiles(df: DataFrame, key: str, time: str, tie: str, value: str, rows: int, quantiles: Sequence[float]) -> DataFrame:

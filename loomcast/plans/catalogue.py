@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation
+from . import curation, evaluation, ordered, streams
 
-ALL = {**curation.QUERIES}
+ALL = {**curation.QUERIES, **ordered.QUERIES, **evaluation.QUERIES, **streams.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
