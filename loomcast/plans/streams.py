@@ -46,7 +46,7 @@ def stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same machine over the stream of events."""
     k = F.get_json_object("props", "$.k").cast("long")
     rows = _events(spark, sf_dir).select(F.col("user_id").alias("vehicle"), "event_id", ((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 36e9).alias("t"), F.col("value").alias("depth"), k.alias("k"))
-    out = run.stateful(_frames(rows), "vehicle", "long", ["t", "event_id"], machines.Phases, SAID, FRAMES)
+    out = run.stateful(_frames(rows), "vehicle", ["t", "event_id"], machines.Phases, SAID, FRAMES)
     return run.drain(out, "phases").select("event_id", "state", F.array_join("events", ",").alias("events"), "recording", "reason")
 
 

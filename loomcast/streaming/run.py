@@ -93,8 +93,11 @@ def replay(df: DataFrame, key: str, order: Sequence[str], make: Callable[[], Any
     return sorted_.mapInArrow(run, kind)
 
 
-def stateful(df: DataFrame, key: str, key_type: str, order: Sequence[str], make: Callable[[], Any], schema: str, keep: Sequence[str], idle_ms: int = 300_000) -> DataFrame:
-    """The same machine over a stream; the state of a key lives `idle_ms` after its last batch."""
+def stateful(df: DataFrame, key: str, order: Sequence[str], make: Callable[[], Any], schema: str, keep: Sequence[str], time: str | None = None, late: str = "10 minutes", idle_s: int = 300) -> DataFrame:
+    """The same machine over a stream. With an event time, the state of a key goes `idle_s` after its
+    last row, once the watermark has passed; without, it stays."""
+    names = T._parse_datatype_string(schema).names
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -102,13 +105,16 @@ def stateful(df: DataFrame, key: str, key_type: str, order: Sequence[str], make:
             return
         machine = pickle.loads(state.get[0]) if state.exists else make()
         rows = pd.concat(parts, ignore_index=True).sort_values(list(order), kind="stable")
+        if time:
+            last = int(pd.to_datetime(rows[time]).max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * idle_s)
         rows = rows.astype(object).where(rows.notna(), None)
         out = _rows(machine, rows.to_dict("records"), keep)
         state.update((pickle.dumps(machine),))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=T._parse_datatype_string(schema).names)
+        yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    stamped = df.withWatermark(time, late) if time else df
+    return stamped.groupBy(key).applyInPandasWithState(run, schema, "machine binary", "append", timeout)
 
 
 def rotate(df: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
