@@ -100,7 +100,7 @@ def metric_blocks(df: DataFrame, y: str, score: str, groupings: Sequence[Sequenc
 def bootstrap_ci(df: DataFrame, by: Sequence[str], columns: Sequence[str], statistic: Callable[[np.ndarray], float], reps: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(by, low, high): the percentile interval of `statistic` over resamples of each block's rows.
 
-    Resamples without a value are skipped. A resample needs the block in one place; blocks are
+    Resamples without a value are skipped; without any, the interval is null. A resample needs the block in one place; blocks are
     evaluation sets, whose size their caller bounds.
     """
     names = list(by)

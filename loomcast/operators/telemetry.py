@@ -19,7 +19,7 @@ def _order(key: str, *order: str) -> Window:
 def step_seconds(key: str, time: str, tie: str, most: float = 1.0) -> Column:
     """Seconds to the next row of the key, at most `most`; 0 at the last."""
     ahead = F.lead(time).over(_order(key, time, tie))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), ahead - F.col(time))), F.lit(0.0))
+    return F.when(ahead.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), ahead - F.col(time))))
 
 
 def state_seconds(df: DataFrame, state: str, dt: str) -> DataFrame:

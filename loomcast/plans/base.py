@@ -113,7 +113,8 @@ telemetry AS (
   FROM events
 ),
 timed AS (
-  SELECT *, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, lead(t) OVER (PARTITION BY vehicle ORDER BY t, event_id) - t)), 0.0::DOUBLE) AS dt FROM telemetry
+  SELECT * EXCLUDE (ahead), CASE WHEN ahead IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ahead - t)) END AS dt
+  FROM (SELECT *, lead(t) OVER (PARTITION BY vehicle ORDER BY t, event_id) AS ahead FROM telemetry)
 )"""
 
 

@@ -192,8 +192,9 @@ def read_camera_traps(spark: SparkSession, path: str, source: str, license: str,
 
 def read_yolo(spark: SparkSession, folder: str, source: str, license: str, names: Mapping[int, str], animals: Sequence[str] | None = None, exhaustive: bool = True) -> DataFrame:
     """Label files of `class cx cy w h` lines beside images of the same name. Shorter lines are skipped;
-    a class without a name is told by its number. Boxes are cut to the image."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    a class without a name is told by its number. Boxes are cut to the image. Spark does not read
+    files of no bytes; an image without objects needs a line feed."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     tokens = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.split(F.trim(x), r"\s+")), lambda t: F.size(t) >= 5)
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in (str(pair[0]), pair[1])]) if names else F.create_map().cast("map<string,string>")
     name = lambda t: F.coalesce(F.try_element_at(table, t[0]), t[0])
