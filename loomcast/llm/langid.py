@@ -38,6 +38,8 @@ BITS = 15
 LEXICON = 20_000
 MAX_RUN = 256
 UNKNOWN = "und"
+#: Bytes of text labelled at once, which bounds the features held.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -283,7 +285,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return each
 
     held = documents(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held_out")), "doc_id", "text", "held_out")
-    return map_texts(held, make, PREDICTIONS)
+    return map_texts(held, make, PREDICTIONS, size=SLICE_BYTES)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.4) -> DataFrame:
@@ -300,4 +302,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
         return each
 
-    return rewrite_texts(docs, make, text_col)
+    return rewrite_texts(docs, make, text_col, SLICE_BYTES)
