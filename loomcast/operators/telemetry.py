@@ -164,3 +164,30 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def mission(key: str, time: str, tie: str, start: Column) -> Column:
     """The number of the mission a row belongs to: starts up to it."""
     return F.sum(start.cast("int")).over(_order(key, time, tie).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def stalled(df: DataFrame, key: str, time: str, tie: str, distance: str, step: float = 1.0, seconds: float = 60.0) -> DataFrame:
+    """`df` with stalled: no new best distance, by at least `step`, for more than `seconds`. A best counts
+    in whole steps from the first distance on."""
+    w = _order(key, time, tie)
+    level = F.floor((F.first(distance).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.min(distance).over(w.rowsBetween(Window.unboundedPreceding, 0))) / step)
+    leveled = df.withColumn("__level", level)
+    since = F.min(time).over(Window.partitionBy(key, "__level"))
+    return leveled.withColumn("__since", since).withColumn("stalled", F.col(time) - F.col("__since") > seconds).drop("__level", "__since")
+
+
+def repeated_near(df: DataFrame, key: str, time: str, tie: str, x: str, y: str, rows: int = 3, need: int = 2, near: float = 0.15) -> DataFrame:
+    """`df` with repeated: of this and the rows before, `rows` in all, at least `need` have a place within
+    `near` of this one's."""
+    w = _order(key, time, tie).rowsBetween(-(rows - 1), 0)
+    places = F.collect_list(F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).over(w)
+    close = F.size(F.filter("__places", lambda p: F.hypot(p["x"] - F.col(x), p["y"] - F.col(y)) <= near))
+    return df.withColumn("__places", places).withColumn("repeated", F.col(x).isNotNull() & (close >= need)).drop("__places")
+
+
+def sampled_mean(df: DataFrame, key: str, time: str, tie: str, value: str, rows: int = 50, every: float = 5.0) -> DataFrame:
+    """(key, time, mean): the mean of the last `rows` values at the first row of each stretch of `every`."""
+    w = _order(key, time, tie)
+    slot = F.floor(F.col(time) / every)
+    out = df.withColumns({"mean": F.avg(value).over(w.rowsBetween(-(rows - 1), 0)), "__new": F.coalesce(slot != F.lag(slot).over(w), F.lit(True))})
+    return out.where("__new").select(key, time, "mean")
