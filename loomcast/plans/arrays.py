@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import images
+from ..operators import images, patches
 from .base import Query, table
 
 
@@ -34,6 +34,23 @@ def array_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.col("p")[0], 5).alias("mean0"), F.round(F.col("p")[7], 5).alias("mean7"), F.round(F.col("p")[8], 5).alias("max0"), F.round(F.col("p")[15], 5).alias("max7"))
 
 
+def math_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where image points look through a flat port."""
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    out = table(spark, sf_dir, "embeddings").select("vec_id", C.ray_angles(e(1) + 0.5, e(2) + 0.5).alias("a"))
+    return out.select("vec_id", F.round("a.yaw", 5).alias("yaw"), F.round("a.pitch", 5).alias("pitch"))
+
+
+def metric_patch_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat maps against a box in the middle, by label."""
+    cover = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when((F.floor(i / 8).between(2, 5)) & ((i % 8).between(2, 5)), 1.0).otherwise(0.0))
+    rows = _heat(spark, sf_dir).withColumn("cover", cover)
+    cells = patches.labelled(rows, "heat", "cover", F.lit(True))
+    truth = rows.select("vec_id", F.lit(0.5).alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.5).alias("size"))
+    out = patches.block(cells, truth, "vec_id", 8, 8, ["label"])
+    return out.select("label", *[F.round(c, 5).alias(c) for c in out.columns if c != "label"])
+
+
 def array_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.find_blobs(_heat(spark, sf_dir), "vec_id", "heat", 8, 8, 0.65, 0.55)
 
@@ -65,6 +82,13 @@ QUERIES = {
         """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1) % 8 AS d FROM embeddings)
         SELECT vec_id, round(avg(v) FILTER (d = 0), 5) AS mean0, round(avg(v) FILTER (d = 7), 5) AS mean7, round(max(v) FILTER (d = 0), 5) AS max0, round(max(v) FILTER (d = 7), 5) AS max7 FROM c GROUP BY 1""",
     ),
+    "math_rays": Query(
+        math_rays,
+        """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 2 * tan(radians(51.0::DOUBLE)) AS x, embedding[2]::DOUBLE * 2 * tan(radians(33.5::DOUBLE)) AS y FROM embeddings),
+        b AS (SELECT *, CASE WHEN sqrt(x * x + y * y) > 1e-12 THEN tan(asin(sin(atan(sqrt(x * x + y * y))) / 1.333::DOUBLE)) / sqrt(x * x + y * y) ELSE 1 END AS s FROM p)
+        SELECT vec_id, round(degrees(atan(x * s)), 5) AS yaw, round(degrees(atan2(-y * s, sqrt(1 + x * s * x * s))), 5) AS pitch FROM b""",
+    ),
+    "metric_patch_block": Query(metric_patch_block, None),
     "array_blobs": Query(array_blobs, None),
     "array_coverage": Query(array_coverage, None),
     "image_metrics": Query(image_metrics, None),

@@ -100,6 +100,20 @@ def win_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("vehicle", "mission").agg(F.count("*").alias("n"), F.round(F.sum("dt"), 4).alias("seconds"), F.round(F.max("depth"), 2).alias("deepest"))
 
 
+def win_stalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.stalled(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 5.0, 8.0).select("event_id", "stalled")
+
+
+def win_repeated_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = telemetry(spark, sf_dir).withColumns({"x": F.when(F.col("k") % 6 > 0, F.col("k") / 100.0), "y": F.col("depth") / 400.0})
+    return T.repeated_near(rows, "vehicle", "t", "event_id", "x", "y").select("event_id", "repeated")
+
+
+def win_sampled_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.sampled_mean(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 10, 5.0)
+    return out.select("vehicle", F.round("t", 6).alias("t"), F.round("mean", 5).alias("mean"))
+
+
 def agg_duty_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = timed(spark, sf_dir).groupBy("state").agg(T.weighted_mean(F.col("k") / 100.0, F.col("dt")).alias("lamp"), T.weighted_mean((F.col("k") > 70).cast("double"), F.col("dt")).alias("dark"))
     return out.select("state", F.round("lamp", 6).alias("lamp"), F.round("dark", 6).alias("dark"))
@@ -255,6 +269,21 @@ QUERIES = {
         f"""WITH {TELEMETRY}, m AS (SELECT *, sum((state = 'SEARCH' AND k < 10)::INTEGER) OVER (PARTITION BY vehicle ORDER BY t, event_id) AS mission FROM timed)
         SELECT vehicle, mission::BIGINT AS mission, count(*) AS n, round(sum(dt), 4) AS seconds, round(max(depth), 2) AS deepest FROM m GROUP BY 1, 2""",
     ),
+    "win_stalled": Query(
+        win_stalled,
+        f"""WITH {TELEMETRY}, l AS (SELECT *, floor((first_value(depth) OVER w - min(depth) OVER w) / 5) AS level FROM telemetry WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT event_id, t - min(t) OVER (PARTITION BY vehicle, level) > 8 AS stalled FROM l""",
+    ),
+    "win_repeated_near": Query(
+        win_repeated_near,
+        f"""WITH {TELEMETRY}, p AS (SELECT event_id, vehicle, CASE WHEN k % 6 > 0 THEN k / 100.0::DOUBLE END AS x, depth / 400.0::DOUBLE AS y, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry)
+        SELECT a.event_id, a.x IS NOT NULL AND count(*) FILTER (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.15::DOUBLE) >= 2 AS repeated FROM p a JOIN p b ON a.vehicle = b.vehicle AND b.rn BETWEEN a.rn - 2 AND a.rn GROUP BY a.event_id, a.x""",
+    ),
+    "win_sampled_mean": Query(
+        win_sampled_mean,
+        f"""WITH {TELEMETRY}, m AS (SELECT vehicle, t, avg(depth) OVER (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean, floor(t / 5) AS slot, lag(floor(t / 5)) OVER (PARTITION BY vehicle ORDER BY t, event_id) AS before FROM telemetry)
+        SELECT vehicle, round(t, 6) AS t, round(mean, 5) AS mean FROM m WHERE before IS NULL OR slot <> before""",
+    ),
     "agg_duty_weighted": Query(agg_duty_weighted, f"WITH {TELEMETRY} SELECT state, round(sum(k / 100.0::DOUBLE * dt) / sum(dt), 6) AS lamp, round(sum((k > 70)::INTEGER * dt) / sum(dt), 6) AS dark FROM timed GROUP BY 1"),
     "join_asof_last_value": Query(
         join_asof_last_value,
