@@ -342,7 +342,16 @@ def terminal_speed(force: Column, linear: float, quadratic: float) -> Column:
 
 
 #: Bits of a power supply's status word.
-THROTTLE_BITS = ((0, "under_voltage"), (1, "freq_capped"), (2, "throttled"), (3, "soft_temp_limit"), (16, "under_voltage_occurred"), (17, "freq_capped_occurred"), (18, "throttled_occurred"), (19, "soft_temp_limit_occurred"))
+THROTTLE_BITS = (
+    (0, "under-voltage now"),
+    (1, "arm frequency capped now"),
+    (2, "throttled now"),
+    (3, "soft temperature limit now"),
+    (16, "under-voltage occurred"),
+    (17, "arm frequency capping occurred"),
+    (18, "throttling occurred"),
+    (19, "soft temperature limit occurred"),
+)
 
 
 def throttle_flags(word: Column) -> Column:
@@ -401,5 +410,25 @@ def taxon_group(ancestors: Column, groups: Mapping[str, Sequence[str]], default:
     return out
 
 
+#: Groups of midwater animals by names among their ancestors, the first that fits.
+TAXON_GROUPS = {
+    "fish": ("Actinopterygii", "Actinopteri", "Teleostei", "Chondrichthyes", "Elasmobranchii", "Myxini"),
+    "squid": ("Cephalopoda",),
+    "siphonophore": ("Siphonophorae",),
+    "ctenophore": ("Ctenophora",),
+    "medusa": ("Scyphozoa", "Cubozoa", "Hydrozoa"),
+    "shrimp": ("Euphausiacea", "Mysida", "Lophogastrida"),
+}
+#: Decapods of the sea floor, which are no shrimps.
+BENTHIC_DECAPODS = ("Brachyura", "Anomura", "Astacidea", "Achelata")
+
+
+def sprite_group(ancestors: Column) -> Column:
+    """The group of a midwater animal by the names of its ancestors; null for others."""
+    swims = F.array_contains(ancestors, "Decapoda") & ~F.arrays_overlap(ancestors, F.array(*map(F.lit, BENTHIC_DECAPODS)))
+    known = taxon_group(ancestors, TAXON_GROUPS, "")
+    return F.when(known != "", known).when(swims, "shrimp")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

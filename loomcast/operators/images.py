@@ -71,7 +71,7 @@ def coverage(df: DataFrame, id_col: str, boxes: str, height: int, width: int) ->
     return rows_to_rows(df.select(F.col(id_col).alias("id"), F.col(boxes).alias("boxes")), lambda r: [{"id": r["id"], "coverage": N.box_coverage(r["boxes"] or [], height, width).ravel().tolist()}], f"id {kind}, coverage array<double>")
 
 
-def find_blobs(df: DataFrame, id_col: str, heat: str, height: int, width: int, high: float = 0.6, low: float = 0.35) -> DataFrame:
+def find_blobs(df: DataFrame, id_col: str, heat: str, height: int, width: int, high: float = 0.5, low: float | None = None) -> DataFrame:
     """A row (id, rank, cx, cy, size, mass, peak) for each blob of each heat map."""
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -152,12 +152,12 @@ def collapse(df: DataFrame, vector: str, dims: int) -> DataFrame:
     unit = df.select(F.transform(vector, lambda x: x / F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))).alias("unit"))
     n, total, outer = gram(unit, "unit", dims)
     _, _, raw = gram(df, vector, dims)
-    variance = np.maximum(np.diag(outer) / max(n, 1) - (total / max(n, 1)) ** 2, 0)
+    variance = np.maximum(np.diag(outer) - total**2 / max(n, 1), 0) / max(n - 1, 1)
     spread = float(np.sqrt(variance).mean() * np.sqrt(dims))
     values = np.sqrt(np.maximum(np.linalg.eigvalsh(raw), 0))
-    p = values / max(values.sum(), 1e-12) + 1e-12
+    p = values / (values.sum() + 1e-7) + 1e-7
     rank = float(np.exp(-(p * np.log(p)).sum()))
-    return df.sparkSession.createDataFrame([(n, spread, rank, bool(spread < 0.05 or rank < 2))], "n long, mean_std double, rankme double, collapsed boolean")
+    return df.sparkSession.createDataFrame([(n, spread, rank, bool(spread < 0.1 or rank / max(1, min(n, dims)) < 0.1))], "n long, mean_std double, rankme double, collapsed boolean")
 
 
 def fit_probe(df: DataFrame, features: str, label: Column, weight_decay: float):

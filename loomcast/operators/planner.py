@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.seeds import derive_seed
 
 #: Hours of the crossings around sunset and sunrise, and the corridor's depths.
-SUNSET, SUNRISE, DUSK, DAWN, CORRIDOR, NIGHT_DEPTH = 18.5, 6.0, (-0.5, 1.5), (-1.5, 0.5), (60.0, 120.0), 40.0
+SUNSET, SUNRISE, DUSK, DAWN, CORRIDOR, NIGHT_DEPTH = 18.5, 6.5, (-1.0, 1.5), (-2.5, 0.5), (100.0, 200.0), 60.0
+#: The rate expected of a band before anything is seen, and its weight in seconds.
+PRIOR_PER_MIN, PRIOR_S = 0.05, 60.0
 
 
 def after(hour: Column, mark: float) -> Column:
@@ -30,12 +32,12 @@ def diel_prior(band: Column, hour: Column) -> Column:
     return F.when(crossing(hour), F.when(band.between(*CORRIDOR), 3.0).otherwise(1.0)).when(night, shallow).otherwise(1.0)
 
 
-def posterior_rate(events: Column, exposure: Column, prior_per_min: float = 0.1, prior_s: float = 600.0) -> Column:
+def posterior_rate(events: Column, exposure: Column, prior_per_min: float = PRIOR_PER_MIN, prior_s: float = PRIOR_S) -> Column:
     """Detections a minute, with a prior."""
     return 60.0 * (events + prior_per_min / 60.0 * prior_s) / (exposure + prior_s)
 
 
-def choose_bands(df: DataFrame, key: str, seed: int, prior_per_min: float = 0.1, prior_s: float = 600.0) -> DataFrame:
+def choose_bands(df: DataFrame, key: str, seed: int, prior_per_min: float = PRIOR_PER_MIN, prior_s: float = PRIOR_S) -> DataFrame:
     """(key, band): a draw from the posterior of each reachable band's rate, the largest wins. Rows are
     (key, band, events, exposure, prior, reachable); where no band is reachable, all are. A key has a
     few dozen bands."""

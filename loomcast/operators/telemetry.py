@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .planner import posterior_rate
+
 
 def _order(key: str, *order: str) -> Window:
     return Window.partitionBy(key).orderBy(*order)
@@ -94,14 +96,14 @@ def onset(key: str, time: str, tie: str, hit: Column, quiet: float) -> Column:
     return hit & F.coalesce(F.col(time) - last > quiet, F.lit(True))
 
 
-def decayed_rates(df: DataFrame, key: str, time: str, dt: str, find: Column, group: Column, half_life: float, prior_finds: float = 1.0, prior_s: float = 600.0) -> DataFrame:
+def decayed_rates(df: DataFrame, key: str, time: str, dt: str, find: Column, group: Column, half_life: float) -> DataFrame:
     """(key, band, exposure, events, per_minute): sums that halve every `half_life`, at the last time of
     the key, in closed form, and the rate with a prior."""
     last = df.groupBy(key).agg(F.max(time).alias("__last"))
     fade = F.pow(F.lit(0.5), (F.col("__last") - F.col(time)) / F.lit(float(half_life)))
     rows = df.join(last, key).withColumns({"band": group, "__fade": fade, "__find": find.cast("int")})
     out = rows.groupBy(key, "band").agg(F.sum(F.col(dt) * F.col("__fade")).alias("exposure"), F.sum(F.col("__find") * F.col("__fade")).alias("events"))
-    return out.withColumn("per_minute", 60.0 * (F.col("events") + prior_finds) / (F.col("exposure") + prior_s))
+    return out.withColumn("per_minute", posterior_rate(F.col("events"), F.col("exposure")))
 
 
 def debounced(df: DataFrame, key: str, time: str, tie: str, raw: str, hold: float) -> DataFrame:

@@ -232,7 +232,7 @@ QUERIES = {
         win_decay_rates,
         f"""WITH {TELEMETRY}, m AS (SELECT *, pow(0.5::DOUBLE, (max(t) OVER (PARTITION BY vehicle) - t) / 20.0::DOUBLE) AS fade FROM timed),
         s AS (SELECT vehicle, floor(depth / 20) * 20.0::DOUBLE AS band, sum(dt * fade) AS exposure, sum(found::INTEGER * fade) AS events FROM m GROUP BY 1, 2)
-        SELECT vehicle, band, round(exposure, 5) AS exposure, round(events, 5) AS events, round(60 * (events + 1) / (exposure + 600), 6) AS per_minute FROM s""",
+        SELECT vehicle, band, round(exposure, 5) AS exposure, round(events, 5) AS events, round(60 * (events + 0.05::DOUBLE) / (exposure + 60), 6) AS per_minute FROM s""",
     ),
     "win_sorted_neighbourhood": Query(
         win_sorted_neighbourhood,

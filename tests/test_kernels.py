@@ -25,7 +25,7 @@ def test_centroid_and_blobs():
     heat = np.zeros((12, 12))
     heat[1:4, 1:4], heat[7:12, 7:12] = 1, 1
     found = N.blobs(heat)
-    assert len(found) == 2 and found[0]["cx"] > 0.7 and N.preferred(found, (0.2, 0.2))["cx"] < 0.3 and N.preferred(found, None)["cx"] > 0.7 and N.preferred([], None) is None
+    assert len(found) == 2 and found[0]["cx"] > 0.7 and N.preferred(found, (0.2, 0.2))["cx"] < 0.3 and not N.blobs(np.full((4, 4), 0.1)) and len(N.blobs(heat * 0.55, least_mass=6)) == 1 and N.preferred(found, None)["cx"] > 0.7 and N.preferred([], None) is None
 
 
 def test_components():
@@ -64,9 +64,11 @@ def test_descriptor_and_overlay():
     tokens[0, 0] = [3, 0, 0]
     prob = np.array([[1.0, 0], [0, 0]])
     assert N.blob_descriptor(tokens, prob, None).tolist() == [1, 0, 0] and N.blob_descriptor(tokens, prob * 0, None) is None
-    frames = np.random.default_rng(0).normal(100, 20, (8, 50, 40))
-    frames[:, 2:5] = np.tile([0.0, 255.0], 20)
-    assert N.overlay_rows(frames) == (5, 50) and N.overlay_rows(frames[:, 10:]) == (0, 40)
+    frames = np.random.default_rng(0).normal(0.4, 0.1, (8, 50, 40))
+    frames[:, 2:6] = np.repeat(np.tile([0.0, 1.0], 10), 2)
+    top, bottom = N.overlay_bands(frames)
+    assert 0.1 <= top <= 0.16 and bottom == 0 and N.overlay_bands(frames[:, ::-1])[1] > 0.1
+    assert N.overlay_bands(frames[:, 10:]) == (0, 0) == N.overlay_bands(frames[:3])
 
 
 def test_conditions_on_scenes(spark):

@@ -78,9 +78,9 @@ def test_planner(spark):
     df = spark.createDataFrame(rows, "k int, band double, events double, exposure double, prior double, reachable boolean")
     picks = [r.band for r in planner.choose_bands(df, "k", 0).collect()]
     assert len(picks) == 60 and sum(p == 125.0 for p in picks) > 48 and 5.0 not in picks
-    hours = spark.createDataFrame([(12.0, 25.0), (19.0, 85.0), (19.0, 25.0), (0.0, 45.0)], "h double, b double")
+    hours = spark.createDataFrame([(12.0, 25.0), (19.0, 105.0), (19.0, 25.0), (0.0, 60.0)], "h double, b double")
     assert [round(r.w, 1) for r in hours.select(planner.diel_prior(F.col("b"), F.col("h")).alias("w")).collect()] == [1.0, 3.0, 1.0, 2.5]
-    assert hours.select(planner.posterior_rate(F.lit(5.0), F.lit(0.0)).alias("r")).first().r == pytest.approx(0.6)
+    assert hours.select(planner.posterior_rate(F.lit(5.0), F.lit(0.0)).alias("r")).first().r == pytest.approx(5.05)
 
 
 def test_seeds(spark):
