@@ -24,12 +24,26 @@ def _or_nan(condition: Column, value: Column) -> Column:
 def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, n_pos, auc): area under the ROC curve with ties counted half."""
     counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("__q"))
-    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("won", F.col("__p") * (F.coalesce(F.sum("__q").over(below), F.lit(0)) + F.col("__q") / 2.0))
+    won = _negatives_below(counts, score, by).withColumn("won", F.col("__p") * (F.col("__below") + F.col("__q") / 2.0))
     out = won.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"), F.sum("won").alias("won"))
     return out.select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", _or_nan((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.try_divide("won", F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
+def _negatives_below(counts: DataFrame, score: str, by: Sequence[str], bins: int = 1024) -> DataFrame:
+    """`counts` with __below, the sum of __q over smaller scores. Scores are dealt to bins of equal width,
+    so sums run within a bin and over the bins of a block, and no task orders all scores of a block."""
+    keys = list(by)
+    span = counts.groupBy(*keys).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    both = counts.join(span, keys) if keys else counts.crossJoin(F.broadcast(span))
+    place = F.coalesce(F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    binned = both.withColumn("__bin", F.floor(place * bins).cast("int")).drop("__lo", "__hi")
+    before = lambda parts, order: Window.partitionBy(*(parts or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy(*keys, "__bin").agg(F.sum("__q").alias("__all"))
+    totals = totals.withColumn("__lower", F.coalesce(F.sum("__all").over(before(keys, "__bin")), F.lit(0))).drop("__all")
+    own = binned.withColumn("__own", F.coalesce(F.sum("__q").over(before([*keys, "__bin"], score)), F.lit(0)))
+    return own.join(totals, [*keys, "__bin"]).withColumn("__below", F.col("__own") + F.col("__lower")).drop("__own", "__lower", "__bin")
+
+
 def average_precision(df: DataFrame, y: str, score: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_pos, ap): mean precision at the positives, ties in the order of `tie`."""
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(score).desc(), tie)
