@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomcast.llm import decontaminate, langid, nearduplicates, packing, pii
-from loomcast.llm.common import materialize
+from loomcast.llm.common import materialize, small_batches
 from loomcast.llm.queries import WORD_TOKENIZER, table, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mostly in one of the languages learned from them."""
+    small_batches(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 

@@ -36,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most `rows` documents, as whole texts are far larger than the rows that
+    the default of 10000 is made for. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that later steps neither recompute it
     nor depend on the executors that made it."""
@@ -65,6 +73,17 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in more])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `df` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ids(batch: pa.RecordBatch | pa.Table, name: str = "doc_id") -> np.ndarray:
     """Ids as int64, nulls as the last id."""
     col = batch.column(name)
@@ -109,13 +128,13 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for piece in pieces(batch, rows, size):
                 out = each(piece)
                 if out is not None:
-                    yield out
+                    yield release(out)
 
     return df.mapInArrow(run, schema)
 
 
-def release(out: pa.Table) -> pa.Table:
-    """Give freed memory back to the system between the groups that a worker handles."""
+def release(out):
+    """`out`, once freed memory has gone back to the system: between the slices that a worker handles."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
@@ -135,7 +154,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, dtype=np.int64) - (np.cumsum(lengths) - lengths), lengths)
 
 
-def rewrite_texts(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray | pa.Array]], text_col: str = "text") -> DataFrame:
+def rewrite_texts(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray | pa.Array]], text_col: str = "text", size: int = BATCH_BYTES) -> DataFrame:
     """Filter rows or replace texts, with all columns of `df` kept as they are.
 
     `make()`, called once a task, gives a function from texts to either a boolean array, of rows
@@ -148,14 +167,14 @@ def rewrite_texts(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndar
         for batch in batches:
             names = batch.schema.names
             at = names.index(text_col)
-            for piece in pieces(pa.RecordBatch.from_arrays([batch.column(at), *batch.columns], names=["text", *map(str, range(len(names)))])):
+            for piece in pieces(pa.RecordBatch.from_arrays([batch.column(at), *batch.columns], names=["text", *map(str, range(len(names)))]), size=size):
                 out = each(piece.column(0))
                 if isinstance(out, np.ndarray):
                     kept = piece.filter(pa.array(out))
-                    yield pa.RecordBatch.from_arrays(kept.columns[1:], names=names)
+                    yield release(pa.RecordBatch.from_arrays(kept.columns[1:], names=names))
                 else:
                     columns = piece.columns[1:]
                     columns[at] = out.cast(batch.schema.field(at).type)
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    yield release(pa.RecordBatch.from_arrays(columns, names=names))
 
     return df.mapInArrow(run, schema)

@@ -29,7 +29,9 @@ from .common import documents, id_array, ids, map_texts, materialize, partitions
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Distinct words whose ids a worker keeps; the memory of a worker's cache is bounded by it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: Words tokenised at once, and bytes of text.
+LEARN, SLICE_BYTES = 4096, 2 << 20
 ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 ASCII_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
 
@@ -61,7 +63,10 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        made = [x.ids for x in self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        made: list[list[int]] = []
+        for at in range(0, len(words), LEARN):  # what the tokenizer tells of a word is far larger than its ids
+            part = [w.decode("utf-8", "replace") for w in words[at : at + LEARN]]
+            made += [x.ids for x in self.tok.encode_batch_fast(part, add_special_tokens=False)]
         n, sizes = len(self.known), np.fromiter(map(len, made), np.int64, len(made))
         total = int(sizes.sum())
         for name, need in (("offset", n + len(words)), ("length", n + len(words)), ("flat", self.used + total)):
@@ -150,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
         return each
 
-    return map_texts(documents(docs, id_col, text_col), make, PIECES)
+    return map_texts(documents(docs, id_col, text_col), make, PIECES, size=SLICE_BYTES)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
