@@ -21,9 +21,9 @@ from .common import documents, id_array, ids, map_texts, ragged, texts
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, repeat_cover long, longest_repeat long"
 
-#: Words of the shortest repeat that counts, the share of a text that repeats may cover, and the
-#: words of the longest repeat that a kept text may hold.
-MIN_REPEAT, MAX_COVER, MAX_REPEAT = 10, 0.4, 100
+#: Words of the shortest repeat that counts, the percentage of a text that repeats may cover, and
+#: the words of the longest repeat that a kept text may hold.
+MIN_REPEAT, MAX_COVER, MAX_REPEAT = 10, 40, 100
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -136,7 +136,7 @@ def measure_batch(column: pa.Array) -> dict[str, np.ndarray]:
     np.maximum.at(longest, np.searchsorted(words.first, suffix, side="right") - 1, shared)
     out["longest_repeat"] = longest
     out["base_failed"] = (n_words < 50) | (100 * out["n_repeat_words"] > 50 * n_words)
-    out["kept"] = ~out["base_failed"] & (out["repeat_cover"] <= MAX_COVER * n_words) & (longest <= MAX_REPEAT)
+    out["kept"] = ~out["base_failed"] & (100 * out["repeat_cover"] <= MAX_COVER * n_words) & (longest <= MAX_REPEAT)
     return out
 
 

@@ -60,7 +60,7 @@ def quality(text, least, max_cover, max_repeat):
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len(repeat),
         "base_failed": failed,
-        "kept": not failed and len(cover) <= max_cover * n and longest <= max_repeat,
+        "kept": not failed and 100 * len(cover) <= max_cover * n and longest <= max_repeat,
         "repeat_cover": len(cover),
         "longest_repeat": longest,
     }
