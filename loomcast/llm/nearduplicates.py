@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import LAST_ID, discard, documents, ids, map_texts, materialize, partitions, pieces, texts
+from .common import LAST_ID, discard, documents, ids, map_texts, materialize, partitions, pieces, texts, unused
 
 SHINGLE, PERCENT = 5, 75
 REPEATS, BUCKETS, MANTISSA = 40, 4, 10
@@ -332,11 +332,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = F.struct("doc_id", "text_key").alias("key")
     winners = rows.where("component is not null").groupBy("component").agg(F.min(key).alias("key")).select("key.*")
     stay = winners.unionByName(rows.where("component is null").select("doc_id", "text_key").distinct())
-    names = [f"__{c}" for c in ("doc_id", "text_key")]
+    *names, row = unused(docs, "doc_id", "text_key", "row")
     tagged = docs.withColumns({names[0]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)), names[1]: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
     kept = tagged.join(stay.toDF(*names), names, "left_semi")
     repeats = rows.where("component is not null").groupBy("doc_id", "text_key").count().where("count > 1")
     if repeats.limit(1).count():
         first = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
-        kept = kept.withColumn("__row", first).where((F.col("__row") == 1) | ~F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop("__row")
+        kept = kept.withColumn(row, first).where((F.col(row) == 1) | ~F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop(row)
     return kept.drop(*names)

@@ -37,6 +37,21 @@ def test_equal_to_all_pairs(spark, seed, monkeypatch):
     assert got == sorted((str(i), n, str(c), i == c) for i, n, c in brute.near(rows))
 
 
+def test_keep_one(spark):
+    rows = corpus(5, 60)
+    rows += [rows[3], (None, None), (None, None), rows[3]]
+    docs = spark.createDataFrame([(i, t, "r", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, ROW string, text_key int")
+    out = N.keep_one(docs)
+    assert out.schema == docs.schema
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    component = [c for _, _, c in brute.near(rows)]
+    sets = [bool(brute.shingles(t)) for _, t in rows]
+    assert sorted(map(str, [x for x in kept if not brute.shingles(x[1])])) == sorted(map(str, [x for x, s in zip(rows, sets) if not s]))
+    texts = {t: c for (_, t), c, s in zip(rows, component, sets) if s and c is not None}
+    named = [texts[t] for i, t in kept if t in texts]
+    assert len(named) == len(set(named)) and set(named) == set(texts.values())
+
+
 def test_chain_joins_across_pivots(spark):
     # neighbours are similar, the ends are not, and ids fall along the chain
     base = [f"w{i}" for i in range(60)]
