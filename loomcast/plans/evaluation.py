@@ -137,7 +137,7 @@ def math_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = C.xywh_to_corners(box, F.lit(100.0), F.lit(80.0))
     place = C.centroid_and_size(F.array(corners))
     out = table(spark, sf_dir, "embeddings").select("vec_id", F.round(C.clarity_score(F.abs(e(1)), e(2) * 10 - 2, F.abs(e(3)) / 5, F.abs(e(4))), 6).alias("clarity"), corners.alias("c"), place.alias("p"))
-    return out.select("vec_id", "clarity", *[F.col("c")[i].alias(f"c{i}") for i in range(4)], F.round(F.col("p.cx") / 3, 5).alias("cx_third"), F.round("p.size", 5).alias("size"))
+    return out.select("vec_id", "clarity", *[F.col("c")[i].alias(f"c{i}") for i in range(4)], F.round(F.sqrt("p.cx"), 5).alias("cx_root"), F.round("p.size", 5).alias("size"))
 
 
 def str_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ QUERIES = {
     ),
     "math_scores": Query(
         math_scores,
-        f"""SELECT vec_id, clarity, c0, c1, c2, c3, CASE WHEN area > 0 THEN round((c0 + c2) / 6, 5) END AS cx_third, CASE WHEN area > 0 THEN round(sqrt(least(area, 1.0::DOUBLE)), 5) END AS size FROM (
+        f"""SELECT vec_id, clarity, c0, c1, c2, c3, CASE WHEN area > 0 THEN round(sqrt((c0 + c2) / 2), 5) END AS cx_root, CASE WHEN area > 0 THEN round(sqrt(least(area, 1.0::DOUBLE)), 5) END AS size FROM (
         SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c2 - c0)) * greatest(0.0::DOUBLE, least(1.0::DOUBLE, c3 - c1)) AS area FROM (SELECT vec_id, {', '.join(f'{c} AS c{i}' for i, c in enumerate(_C))},
         round(0.40 * {_UNIT(f'abs({_E(1)})', '0.03::DOUBLE', '0.30::DOUBLE')} + 0.30 * {_UNIT(f'{_E(2)} * 10 - 2', '-4.0::DOUBLE', '-1.0::DOUBLE')} + 0.15 * {_UNIT(f'abs({_E(3)}) / 5', '0.0::DOUBLE', '0.05::DOUBLE')} + 0.15 * {_UNIT(f'abs({_E(4)})', '0.18::DOUBLE', '0.40::DOUBLE')}, 6) AS clarity FROM embeddings))""",
     ),
