@@ -29,9 +29,9 @@ from .common import documents, id_array, ids, map_texts, materialize, partitions
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Distinct words whose ids a worker keeps; the memory of a worker's cache is bounded by it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Words tokenised at once, and bytes of text.
-LEARN, SLICE_BYTES = 4096, 2 << 20
+LEARN, SLICE_BYTES = 4096, 4 << 20
 ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 ASCII_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
 
