@@ -39,7 +39,7 @@ REGISTERS = REPEATS * BUCKETS
 COLLISION = 2.0**-MANTISSA / 3
 SIGMAS = 5.0
 #: Members that one task confirms against a pivot, and nodes of a band key compared at once.
-SALT, BLOCK = 512, 512
+SALT, BLOCK = 64, 512
 #: Shingles hashed at once, for the cache, and columns of an incidence matrix.
 STRIDE, COLUMNS = 1 << 15, 4096
 
