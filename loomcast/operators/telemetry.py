@@ -124,14 +124,15 @@ def smoothed(df: DataFrame, key: str, time: str, tie: str, value: str, tau: floa
     """`df` with ema, x += (1 - exp(-dt / tau)) (value - x), from the first value on.
 
     The fold is x_n = v_n - sum over k of (v_k+1 - v_k) exp(-(t_n - t_k) / tau), up to n; taken over
-    a bounded stretch of 40 tau, beyond which a change weighs less than 1e-17.
+    a bounded stretch of 40 tau, beyond which a change weighs less than 1e-17. Of rows of one time,
+    those up to this one count.
     """
     w = _order(key, time, tie)
-    steps = df.withColumns({"__jump": F.col(value) - F.lag(value).over(w), "__from": F.lag(time).over(w)})
-    jump = "CASE WHEN __jump IS NOT NULL THEN struct(__from AS t, __jump AS j) END"
+    steps = df.withColumns({"__jump": F.col(value) - F.lag(value).over(w), "__from": F.lag(time).over(w), "__n": F.row_number().over(w)})
+    jump = "CASE WHEN __jump IS NOT NULL THEN struct(__from AS t, __jump AS j, __n AS n) END"
     jumps = F.expr(f"collect_list({jump}) OVER (PARTITION BY `{key}` ORDER BY `{time}` RANGE BETWEEN {40.0 * tau}D PRECEDING AND CURRENT ROW)")
-    lag = F.aggregate(F.col("__jumps"), F.lit(0.0), lambda s, x: s + x["j"] * F.exp(-(F.col(time) - x["t"]) / F.lit(float(tau))))
-    return steps.withColumn("__jumps", jumps).withColumn("ema", F.col(value) - lag).drop("__jump", "__from", "__jumps")
+    lag = F.aggregate(F.col("__jumps"), F.lit(0.0), lambda s, x: s + F.when(x["n"] <= F.col("__n"), x["j"] * F.exp(-(F.col(time) - x["t"]) / F.lit(float(tau)))).otherwise(0.0))
+    return steps.withColumn("__jumps", jumps).withColumn("ema", F.col(value) - lag).drop("__jump", "__from", "__n", "__jumps")
 
 
 def rolling_percentiles(df: DataFrame, key: str, time: str, tie: str, value: str, rows: int, quantiles: Sequence[float]) -> DataFrame:
