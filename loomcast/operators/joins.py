@@ -38,6 +38,45 @@ def overlap_offset(left_start: Column, right_start: Column) -> Column:
     return F.greatest(F.lit(0.0), left_start - right_start)
 
 
+def _upto(values: DataFrame, asked: DataFrame, sums: Sequence[str], width: float, strict: bool) -> DataFrame:
+    """(x, sums): for each distinct x of `asked`, the sums of `values` up to x, without x if `strict`.
+
+    Sums are taken within bins of `width` and over bins, so only a row for each bin meets in one task.
+    """
+    side = F.lit(-1 if strict else 1)
+    stacked = values.select("x", *sums, F.lit(0).alias("__side")).unionByName(asked.select("x").distinct().select("x", *[F.lit(0).cast(values.schema[c].dataType).alias(c) for c in sums], side.alias("__side")))
+    stacked = stacked.withColumn("__bin", F.floor(F.col("x") / F.lit(float(width))).cast("long"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = stacked.groupBy("__bin").agg(*[F.sum(c).alias(c) for c in sums])
+    bins = bins.select("__bin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy("__bin").orderBy("x", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    own = stacked.withColumns({c: F.sum(c).over(within) for c in sums}).where("__side <> 0")
+    return own.join(bins, "__bin").select("x", *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums])
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], value: str, width: float) -> DataFrame:
+    """`left` with n, total and offset over the right rows that interval_overlap pairs it with: how many,
+    the sum of `value`, and the sum of overlap_offset. Left rows without any are left out.
+
+    Right rows that began by the left end, less those that ended before the left start; no pairs are
+    made, so open ranges that meet every later row cost no more than others.
+    """
+    a, b = left_range
+    c, d = right_range
+    lefts = left.where(F.col(a) <= F.col(b))
+    rights = right.where(F.col(c) <= F.coalesce(F.col(d), F.col(c)))
+    sums = ["n", "total", "start"]
+    at = lambda df, x: df.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col(c)).alias("start"))
+    began, ended = at(rights, c), at(rights.where(F.col(d).isNotNull()), d)
+    ends, starts = lefts.select(F.col(b).alias("x")), lefts.select(F.col(a).alias("x"))
+    told = lambda df, tag, key: df.select(F.col("x").alias(key), *[F.col(s).alias(f"__{tag}_{s}") for s in sums])
+    out = lefts.join(told(_upto(began, ends, sums, width, False), "b", b), b)
+    out = out.join(told(_upto(began, starts, sums, width, False), "a", a), a).join(told(_upto(ended, starts, sums, width, True), "e", a), a)
+    offset = F.col(a) * (F.col("__a_n") - F.col("__e_n")) - (F.col("__a_start") - F.col("__e_start"))
+    out = out.withColumns({"n": F.col("__b_n") - F.col("__e_n"), "total": F.col("__b_total") - F.col("__e_total"), "offset": offset})
+    return out.where("n > 0").select(*left.columns, "n", "total", "offset")
+
+
 # --------------------------------------------------------------------------- latest values
 
 

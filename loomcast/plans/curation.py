@@ -85,6 +85,15 @@ def join_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("sum_keys"), F.round(F.sum(joins.overlap_offset(F.col("a"), F.col("c"))), 3).alias("offset_days"))
 
 
+def join_interval_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_interval_overlap of all orders and all lines, by totals and not by pairs."""
+    day = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) / 86400.0
+    left = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("a")).withColumn("b", F.col("a") + 3.0)
+    right = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", day("l_shipdate").alias("c")).withColumn("d", F.when(F.col("l_linenumber") < 7, F.col("c") + F.col("l_linenumber")))
+    out = joins.overlap_totals(left, right, ("a", "b"), ("c", "d"), "l_orderkey", 8.0)
+    return out.select("o_orderkey", "n", F.col("total").alias("sum_keys"), F.round("offset", 3).alias("offset_days"))
+
+
 def join_nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     out = joins.nearest_remembered(rows, rows.where("vec_id < 64"), "vec_id", "embedding")
@@ -317,6 +326,12 @@ QUERIES = {
         r AS (SELECT l_orderkey, epoch(l_shipdate) / 86400.0::DOUBLE AS c, CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE + l_linenumber END AS d FROM lineitem WHERE l_quantity >= 48)
         SELECT o_orderkey, count(*) AS n, sum(l_orderkey)::BIGINT AS sum_keys, round(sum(greatest(0.0::DOUBLE, a - c)), 3) AS offset_days FROM l JOIN r ON c <= b AND (d IS NULL OR d >= a) GROUP BY 1""",
     ),
+    "join_interval_overlap_all": Query(
+        join_interval_overlap_all,
+        """WITH l AS (SELECT o_orderkey, epoch(o_orderdate) / 86400.0::DOUBLE AS a, epoch(o_orderdate) / 86400.0::DOUBLE + 3 AS b FROM orders),
+        r AS (SELECT l_orderkey, epoch(l_shipdate) / 86400.0::DOUBLE AS c, CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE + l_linenumber END AS d FROM lineitem)
+        SELECT o_orderkey, count(*) AS n, sum(l_orderkey)::BIGINT AS sum_keys, round(sum(greatest(0.0::DOUBLE, a - c)), 3) AS offset_days FROM l JOIN r ON c <= b AND (d IS NULL OR d >= a) GROUP BY 1""",
+    ),
     "join_nearest_cosine": Query(
         join_nearest_cosine,
         """SELECT vec_id, nearest_id, round(s, 5) AS similarity FROM (

@@ -185,6 +185,14 @@ def retention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.retention(rows, "l_suppkey", "t0", "bytes", "t1", F.col("animal"), 100.0, 1500.0, 11000.0).select("l_suppkey", "t0", "delete")
 
 
+def retention_policy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """retention_policy of all segments."""
+    day = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400.0
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t0"), (F.col("l_quantity") * 10).cast("long").alias("bytes"), F.when(F.col("l_linenumber") < 7, day).alias("t1"), (F.col("l_returnflag") == "R").alias("animal"))
+    rows = rows.groupBy("l_suppkey", "t0").agg(F.max("bytes").alias("bytes"), F.max("t1").alias("t1"), F.max("animal").alias("animal"))
+    return T.retention(rows, "l_suppkey", "t0", "bytes", "t1", F.col("animal"), 100.0, 1500.0, 11000.0).select("l_suppkey", "t0", "delete")
+
+
 def sequence_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"), F.lag("role").over(w).alias("before"))
@@ -328,6 +336,12 @@ QUERIES = {
         o AS (SELECT *, coalesce(t1 < 11000 AND NOT animal, FALSE) AS open FROM s)
         SELECT l_suppkey, t0, open AND 100 + coalesce(sum(CASE WHEN open THEN bytes ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY t0, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1500 AS delete FROM o""",
     ),
+    "retention_policy_all": Query(
+        retention_policy_all,
+        """WITH s AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS t0, max((l_quantity * 10)::BIGINT) AS bytes, max(CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE END) AS t1, bool_or(l_returnflag = 'R') AS animal FROM lineitem GROUP BY 1, 2),
+        o AS (SELECT *, coalesce(t1 < 11000 AND NOT animal, FALSE) AS open FROM s)
+        SELECT l_suppkey, t0, open AND 100 + coalesce(sum(CASE WHEN open THEN bytes ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY t0, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1500 AS delete FROM o""",
+    ),
     "sequence_turns": Query(
         sequence_turns,
         """SELECT conv_id, count(*) AS turns, sum(n)::BIGINT AS chars, count(*) FILTER (role = before) AS repeats

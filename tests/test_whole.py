@@ -40,3 +40,28 @@ def test_smoothed_all_vehicles(spark):
     rows = [tuple(r) for r in telemetry(spark, SF).select("vehicle", "t", "event_id", "depth").collect()]
     got = {r.event_id: r.ema for r in catalogue.queries()["win_smoothed_all"](spark, SF).collect()}
     assert len(got) == 10000 and got == pytest.approx(folded(rows, 0.8), abs=2e-5)
+
+
+def test_overlap_totals(spark):
+    from loomcast.operators import joins
+
+    left = [(i, a, a + w) for i, (a, w) in enumerate([(0.0, 3.0), (5.5, 0.0), (8.0, 20.0), (-9.25, 1.0), (40.0, 3.0), (7.0, -1.0)])]
+    right = [(1, 0.5, 2.0), (2, 3.0, 3.0), (3, 3.1, 5.5), (4, 8.0, None), (5, -20.0, None), (6, 27.9, 30.0), (7, 6.0, 5.0), (8, -11.0, -9.5), (9, 1.5, 7.9), (10, None, 4.0)]
+    meets = lambda a, b, c, d: a <= b and c is not None and (d is None or c <= d) and c <= b and (d is None or d >= a)
+    want = {}
+    for i, a, b in left:
+        hit = [(k, c) for k, c, d in right if meets(a, b, c, d)]
+        if hit:
+            want[i] = (len(hit), sum(k for k, _ in hit), pytest.approx(sum(max(0.0, a - c) for _, c in hit)))
+    lefts = spark.createDataFrame(left, "i long, a double, b double")
+    rights = spark.createDataFrame(right, "k long, c double, d double")
+    got = joins.overlap_totals(lefts, rights, ("a", "b"), ("c", "d"), "k", 4.0).collect()
+    assert {r.i: (r.n, r.total, r.offset) for r in got} == want
+
+
+@needs_tables
+@pytest.mark.parametrize("name, rows", [("join_interval_overlap_all", 15000), ("retention_policy_all", 60000)])
+def test_all_rows(spark, name, rows):
+    from .oracle import compare, connect
+
+    assert compare(catalogue.queries()[name](spark, SF), connect(SF), catalogue.oracle_sql()[name]) > 0.9 * rows
