@@ -132,6 +132,12 @@ def components_min_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.components(edges)
 
 
+def components_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """components_min_label over every line; a recursive CTE is too slow for that, so a test has a union-find."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b"))
+    return dedup.components(edges)
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bucketed(spark, sf_dir).withColumn("dup_cluster", F.min("doc_id").over(Window.partitionBy("text_md5")))
     return rows
@@ -357,6 +363,7 @@ QUERIES = {
         s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
         SELECT node, min(seen) AS component FROM r GROUP BY 1""",
     ),
+    "components_all_edges": Query(components_all_edges, None),
     "dedup_survivor_leakage": Query(dedup_survivor_leakage, f"WITH {_SURVIVORS} SELECT doc_id, dup_cluster, split, removed_reason FROM survivors"),
     "split_grouped_hash": Query(split_grouped_hash, f"WITH {BUCKETED} SELECT doc_id, group_id, split FROM bucketed"),
     "split_official": Query(split_official, f"WITH {_OFFICIAL} SELECT doc_id, split FROM official"),

@@ -65,3 +65,38 @@ def test_all_rows(spark, name, rows):
     from .oracle import compare, connect
 
     assert compare(catalogue.queries()[name](spark, SF), connect(SF), catalogue.oracle_sql()[name]) > 0.9 * rows
+
+
+def union_find(edges):
+    """{node: the smallest node of its component}."""
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def test_components_hard(spark):
+    from loomcast.operators import dedup
+
+    chain = [(i * 7919 % 211, (i + 1) * 7919 % 211) for i in range(200)]
+    star = [(1000, 1001 + i) for i in range(300)]
+    edges = chain + star + [(5000, 5000), (6001, 6000), (6000, 6001)]
+    got = dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == union_find(edges)
+
+
+@needs_tables
+def test_components_all_edges(spark):
+    small = SF.replace("sf0.01", "sf0.001")
+    edges = [(r.l_orderkey, r.l_partkey + 10000000) for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    got = catalogue.queries()["components_all_edges"](spark, small).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == union_find(edges)
