@@ -11,7 +11,8 @@ entity written in another way keeps its identity.
 
 Entities: e-mail addresses, IPv4 addresses, payment card numbers with a valid check digit, phone
 numbers, social security numbers, IBANs with valid check digits, and names after a form of
-address. A surname found so is replaced wherever the document repeats it.
+address. A given name or surname found so, of whatever length, is replaced by one surrogate wherever
+the document repeats it as a whole word; a word found as both keeps the kind it was found as first.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ GIVEN = {
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
 LETTER_CLASS = {c: letters for letters in LETTERS for c in letters}
 WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
-NAMED = re.compile(rf"(?<!\w)({'|'.join(ADDRESS)})\.?[ \t]({WORD})(?:[ \t]({WORD}))?")
+NAMED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(ADDRESS)})\.?[ \t])+({WORD})(?:[ \t]({WORD}))?")
+POSSESSIVE = re.compile(r"['’]s$")
 NAMED_BYTES = re.compile("|".join(rf"{a}\.?[ \t]" for a in ADDRESS).encode())
 _ANY = "0123456789abcdefghijklmnopqrstuvwxyz"
 
@@ -260,18 +262,18 @@ def detect(text: str) -> list[Entity]:
     found += [Entity("card", *m.span()) for m in CARD.finditer(text) if luhn(re.sub(r"\D", "", m[0])) % 10 == 0 and len(set(m[0])) > 2]
     found += [Entity("ssn", *m.span()) for m in SSN.finditer(text)]
     found += [Entity("phone", *m.span()) for m in PHONE.finditer(text)]
-    surnames = set()
+    known: dict[str, str] = {}
     for m in NAMED.finditer(text):
-        names = [i for i in (2, 3) if m[i] and m[i][0].isupper()]
-        if not names or names[0] != 2:
+        names = [i for i in (1, 2) if m[i] and m[i][0].isupper()]
+        if not names or names[0] != 1 or m[1] in ADDRESS:
             continue
-        if len(names) == 2:
-            found.append(Entity("given", *m.span(2)))
-        found.append(Entity("surname", *m.span(names[-1])))
-        if len(m[names[-1]]) > 2:
-            surnames.add(m[names[-1]])
-    if surnames:
-        found += [Entity("surname", *m.span()) for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames)))})(?!\w)", text)]
+        for i in names:
+            name = POSSESSIVE.sub("", m[i])
+            kind = known.setdefault(name, "surname" if i == names[-1] else "given")
+            found.append(Entity(kind, m.start(i), m.start(i) + len(name)))
+    if known:
+        longest = sorted(known, key=lambda name: (-len(name), name))
+        found += [Entity(known[m[0]], *m.span()) for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest))})(?!\w)", text)]
     taken: list[Entity] = []
     for e in found:
         i = bisect_left(taken, e.start, key=lambda t: t.start)

@@ -72,3 +72,27 @@ def test_query(spark):
     kept = pii.replace_texts(docs)
     assert kept.schema == docs.schema and {r.text for r in kept.collect()} == {r.text for r in got}
     assert pii.replace(docs.limit(0)).collect() == [] == pii.replace_texts(docs.limit(0)).collect()
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Dr Li called. Li said so, but Lion and Julia did not.", ["Li"]),
+        ("Ms Alice Smith left. Alice came back; Smith's car, Alice's hat.", ["Alice", "Smith"]),
+        ("Господин Иван Ли пришёл. Ли и Иван ушли.", ["Иван", "Ли"]),
+        ("Dr Li's car, which Li drove.", ["Li"]),
+        ("Herr Li-Wei saw Dr Li. Li-Wei and Li left.", ["Li-Wei", "Li"]),
+        ("Herr Dr. Müller, dann Dr. Weiß. Müller ging.", ["Müller", "Weiß"]),
+        ("Dr Alice spoke to Ms Alice Smith. Alice and Smith agreed.", ["Alice", "Smith"]),
+    ],
+)
+def test_repeated_names(text, names):
+    import re
+
+    new, entities, distinct = pii.redact(text, S)
+    said = [text[e.start : e.end] for e in entities]
+    assert set(said) == set(names) and distinct == len(names)
+    for name in names:
+        assert not re.search(rf"(?<!\w){re.escape(name)}(?!\w)", new)
+        assert len({e.kind for e in entities if text[e.start : e.end] == name}) == 1
+    assert "Lion and Julia" not in text or "Lion and Julia" in new
