@@ -107,6 +107,14 @@ def join_grid_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("animal").alias("sum_ids"), F.round(F.max("distance"), 4).alias("farthest"))
 
 
+def join_grid_radius_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_grid_radius of all points."""
+    points = table(spark, sf_dir, "embeddings").select("vec_id", (F.element_at("embedding", 1).cast("double") * 100).alias("x"), (F.element_at("embedding", 2).cast("double") * 100).alias("y"))
+    cars, animals = points, points.select(F.col("vec_id").alias("animal"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    both = joins.within_radius(cars, animals, ("x", "y"), ("ax", "ay"), 6.0)
+    return both.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("animal").alias("sum_ids"), F.round(F.max("distance"), 4).alias("farthest"))
+
+
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
     return dedup.keep_first(rows, ["text_md5"], ["doc_id"])
@@ -260,6 +268,14 @@ def agg_array_explode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.groupBy("input").agg(F.count("*").alias("n"), F.round(F.avg((F.col("patches") < 1).cast("int")), 6).alias("below_patch"), F.round(F.median("patches"), 5).alias("median_patches"))
 
 
+def agg_array_explode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agg_array_explode_sizes of whole arrays."""
+    sizes = F.explode(F.array(*map(F.lit, (112, 160, 224, 448)))).alias("input")
+    boxes = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("v"))
+    sides = boxes.select("label", (F.abs(F.col("v").cast("double")) * 4).alias("side"), sizes).withColumn("patches", F.col("side") * F.col("input") / 16.0)
+    return sides.groupBy("input").agg(F.count("*").alias("n"), F.round(F.avg((F.col("patches") < 1).cast("int")), 6).alias("below_patch"), F.round(F.median("patches"), 5).alias("median_patches"))
+
+
 def agg_threshold_count_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clear rows if there are at least 50, else all; at most 80 of them by hash."""
     rows = bucketed(spark, sf_dir).select("doc_id", "slice")
@@ -350,6 +366,12 @@ QUERIES = {
         SELECT a.vec_id, count(*) AS n, sum(b.vec_id)::BIGINT AS sum_ids, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS farthest
         FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6.0 WHERE a.vec_id % 10 = 0 GROUP BY 1""",
     ),
+    "join_grid_radius_all": Query(
+        join_grid_radius_all,
+        """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings)
+        SELECT a.vec_id, count(*) AS n, sum(b.vec_id)::BIGINT AS sum_ids, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS farthest
+        FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6.0 GROUP BY 1""",
+    ),
     "dedup_exact": Query(dedup_exact, "SELECT doc_id, source, text_md5 FROM (SELECT doc_id, source, md5(text) AS text_md5, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"),
     "dedup_keep_latest": Query(dedup_keep_latest, "SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "dedup_near_bands": Query(
@@ -425,6 +447,11 @@ QUERIES = {
         """WITH s AS (SELECT abs(unnest(embedding[1:8])::DOUBLE) * 4 AS side FROM embeddings), i AS (SELECT unnest([112, 160, 224, 448])::INTEGER AS input)
         SELECT input, count(*) AS n, round(avg((side * input / 16.0::DOUBLE < 1)::INTEGER), 6) AS below_patch, round(median(side * input / 16.0::DOUBLE), 5) AS median_patches FROM s, i GROUP BY 1""",
     ),
+    "agg_array_explode_all": Query(
+        agg_array_explode_all,
+        """WITH s AS (SELECT abs(unnest(embedding)::DOUBLE) * 4 AS side FROM embeddings), i AS (SELECT unnest([112, 160, 224, 448])::INTEGER AS input)
+        SELECT input, count(*) AS n, round(avg((side * input / 16.0::DOUBLE < 1)::INTEGER), 6) AS below_patch, round(median(side * input / 16.0::DOUBLE), 5) AS median_patches FROM s, i GROUP BY 1""",
+    ),
     "agg_threshold_count_switch": Query(
         agg_threshold_count_switch,
         f"""WITH {BUCKETED}, c AS (SELECT count(*) FILTER (slice = 'clear') AS n FROM bucketed)

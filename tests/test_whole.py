@@ -100,3 +100,15 @@ def test_components_all_edges(spark):
     edges = [(r.l_orderkey, r.l_partkey + 10000000) for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
     got = catalogue.queries()["components_all_edges"](spark, small).collect()
     assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == union_find(edges)
+
+
+@needs_tables
+def test_whole_arrays_and_points(spark):
+    from .oracle import compare, connect
+
+    con, rows = connect(SF), spark.read.parquet(f"{SF}/embeddings.parquet")
+    n, components = rows.count(), rows.selectExpr("sum(size(embedding))").first()[0]
+    queries, sql = catalogue.queries(), catalogue.oracle_sql()
+    assert {r.n for r in queries["agg_array_explode_all"](spark, SF).collect()} == {components}
+    assert compare(queries["agg_array_explode_all"](spark, SF), con, sql["agg_array_explode_all"]) == 4
+    assert compare(queries["join_grid_radius_all"](spark, SF), con, sql["join_grid_radius_all"]) == n
