@@ -219,3 +219,22 @@ def within_tolerance(delta_auc: Column, delta_degrees: Column, auc: float = 0.01
     """Whether a variant passes; an unknown delta passes."""
     ok = lambda d, most: F.isnan(d) | (F.abs(d) <= most)
     return F.coalesce(ok(delta_auc, auc), F.lit(True)) & F.coalesce(ok(delta_degrees, degrees), F.lit(True))
+
+
+def threshold_search(df: DataFrame, value: str, label: str, names: Sequence[str], quantiles: Sequence[float], least: int = 5) -> DataFrame:
+    """(a, b, agreement): of all pairs a <= b of the quantiles of `value`, the one whose three classes
+    `names` (below a, below b, the rest) agree most with `label`; of equals the smallest a, then b.
+
+    Rows without a label do not count; fewer than `least` labelled rows give no row. Rows are counted
+    by class between neighbouring quantiles, so pairs meet at most a hundred counts each and no rows.
+    """
+    rows = df.where(F.col(label).isNotNull()).select(F.col(value).alias("v"), F.col(label).alias("label"))
+    whole = rows.agg(F.percentile("v", [float(q) for q in quantiles]).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
+    whole = whole.select(F.array_sort(F.array_distinct("q")).alias("q"), "n")
+    place = F.size(F.filter("q", lambda x: x <= F.col("v")))
+    counts = rows.join(F.broadcast(whole)).groupBy(place.alias("place")).agg(*[F.count_if(F.col("label") == name).alias(f"n{i}") for i, name in enumerate(names)])
+    grid = whole.select("n", F.posexplode("q").alias("i", "x"))
+    pairs = grid.select("n", F.col("i").alias("ia"), F.col("x").alias("a")).join(grid.select(F.col("i").alias("ib"), F.col("x").alias("b")), F.col("ia") <= F.col("ib"))
+    right = F.when(F.col("place") <= F.col("ia"), F.col("n0")).when(F.col("place") <= F.col("ib"), F.col("n1")).otherwise(F.col("n2"))
+    found = F.broadcast(pairs).join(counts).groupBy("a", "b", "n").agg(F.sum(right).alias("right"))
+    return found.orderBy(F.desc("right"), "a", "b").limit(1).select("a", "b", (F.col("right") / F.col("n")).alias("agreement"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import dedup, joins, sampling
+from ..operators import dedup, joins, metrics, sampling
 from ..sources import readers
 from .base import BUCKETED, RECORDS, Query, bucketed, hash_sql, records, table
 
@@ -260,6 +260,17 @@ def agg_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("a", "b").agg(F.avg(right.cast("int")).alias("agreement")).orderBy(F.desc("agreement"), "a", "b").limit(1).select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("agreement", 6).alias("agreement"))
 
 
+def agg_threshold_search_99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of thresholds of 99 quantiles that tell light and clarity best."""
+    rows = records(spark, sf_dir).where("labeled")
+    out = []
+    for measure, names in (("lum_mean", LIGHTS), ("clarity", CLARITIES)):
+        told = rows.withColumn("label", F.when(F.col("toxic") == 1, names[0]).when(F.col("frame_label") == 0, names[1]).otherwise(names[2]))
+        found = metrics.threshold_search(told, measure, "label", names, [i / 100 for i in range(1, 100)])
+        out.append(found.select(F.lit(measure).alias("measure"), *[F.round(c, 6).alias(c) for c in ("a", "b", "agreement")]))
+    return out[0].unionByName(out[1])
+
+
 def agg_array_explode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides in patches of boxes at several input sizes; a box is a pair of neighbouring components."""
     sizes = F.explode(F.array(*map(F.lit, (112, 160, 224, 448)))).alias("input")
@@ -442,6 +453,14 @@ QUERIES = {
         SELECT round(a, 6) AS a, round(b, 6) AS b, round(agreement, 6) AS agreement FROM (SELECT x.v AS a, y.v AS b, avg((CASE WHEN lum_mean < x.v THEN 'dark' WHEN lum_mean < y.v THEN 'dim' ELSE 'bright' END = label)::INTEGER) AS agreement
         FROM r, g x, g y WHERE x.v <= y.v GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1)""",
     ),
+    "agg_threshold_search_99": Query(
+        agg_threshold_search_99,
+        f"""WITH {RECORDS}, m AS (SELECT 'lum_mean' AS measure, lum_mean AS v, toxic, frame_label FROM records WHERE labeled UNION ALL SELECT 'clarity', clarity, toxic, frame_label FROM records WHERE labeled),
+        r AS (SELECT measure, v, CASE WHEN toxic = 1 THEN 0 WHEN frame_label = 0 THEN 1 ELSE 2 END AS label FROM m),
+        g AS (SELECT DISTINCT measure, unnest(quantile_cont(v, [{', '.join(f'{i / 100}' for i in range(1, 100))}])) AS v FROM r GROUP BY measure),
+        p AS (SELECT measure, x.v AS a, y.v AS b, avg((CASE WHEN r.v < x.v THEN 0 WHEN r.v < y.v THEN 1 ELSE 2 END = label)::INTEGER) AS agreement FROM r JOIN g x USING (measure) JOIN g y USING (measure) WHERE x.v <= y.v GROUP BY 1, 2, 3)
+        SELECT measure, round(a, 6) AS a, round(b, 6) AS b, round(agreement, 6) AS agreement FROM (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY agreement DESC, a, b) AS rn FROM p) WHERE rn = 1""",
+    ),
     "agg_array_explode_sizes": Query(
         agg_array_explode_sizes,
         """WITH s AS (SELECT abs(unnest(embedding[1:8])::DOUBLE) * 4 AS side FROM embeddings), i AS (SELECT unnest([112, 160, 224, 448])::INTEGER AS input)

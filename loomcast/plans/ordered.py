@@ -63,6 +63,13 @@ def win_sorted_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def win_sorted_neighbourhood_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours up to 64 places apart."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h"))
+    out = T.sorted_neighbourhood(rows, "source", "h", "doc_id", 64)
+    return out
+
+
 def win_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = telemetry(spark, sf_dir).withColumn("raw", F.when(F.col("depth") > 30, 1).otherwise(0))
     return T.debounced(rows, "vehicle", "t", "event_id", "raw", 0.5).select("event_id", "raw", "stable")
@@ -89,6 +96,12 @@ def win_rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round(F.col("rolling")[0], 5).alias("p50"), F.round(F.col("rolling")[1], 5).alias("p95"))
 
 
+def win_rolling_latency_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the last 200 rows."""
+    rows = T.rolling_percentiles(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 200, (0.5, 0.95))
+    return rows.select("event_id", F.round(F.col("rolling")[0], 5).alias("p50"), F.round(F.col("rolling")[1], 5).alias("p95"))
+
+
 def win_running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each score over the median of the scores before it, once there are 10."""
     w = Window.partitionBy("vehicle").orderBy("t", "event_id").rowsBetween(-30, -1)
@@ -96,6 +109,13 @@ def win_running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n >= 10 and m > 0").select("event_id", F.round(F.col("depth") / F.col("m"), 5).alias("novelty"))
 
 
+def win_running_median_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each score over the median of up to 200 scores before it, once there are 10."""
+    w = Window.partitionBy("vehicle").orderBy("t", "event_id").rowsBetween(-200, -1)
+    rows = telemetry(spark, sf_dir).withColumns({"m": F.percentile("depth", 0.5).over(w), "n": F.count("*").over(w)})
+    return rows.where("n >= 10 and m > 0").select("event_id", F.round(F.col("depth") / F.col("m"), 5).alias("novelty"))
+
+
 def win_prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("offset"))
@@ -253,6 +273,11 @@ QUERIES = {
         """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS rn FROM documents)
         SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.source = b.source AND b.rn - a.rn BETWEEN 1 AND 3""",
     ),
+    "win_sorted_neighbourhood_64": Query(
+        win_sorted_neighbourhood_64,
+        """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS rn FROM documents)
+        SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.source = b.source AND b.rn - a.rn BETWEEN 1 AND 64""",
+    ),
     "win_debounce": Query(
         win_debounce,
         f"""WITH {TELEMETRY}, r AS (SELECT *, (depth > 30)::INTEGER AS raw FROM telemetry), c AS (SELECT *, coalesce((lag(raw) OVER (PARTITION BY vehicle ORDER BY t, event_id) <> raw)::INTEGER, 1) AS ch FROM r),
@@ -273,11 +298,21 @@ QUERIES = {
         f"""WITH {TELEMETRY} SELECT event_id, round(quantile_cont(depth, 0.5) OVER w, 5) AS p50, round(quantile_cont(depth, 0.95) OVER w, 5) AS p95 FROM telemetry
         WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     ),
+    "win_rolling_latency_200": Query(
+        win_rolling_latency_200,
+        f"""WITH {TELEMETRY} SELECT event_id, round(quantile_cont(depth, 0.5) OVER w, 5) AS p50, round(quantile_cont(depth, 0.95) OVER w, 5) AS p95 FROM telemetry
+        WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
+    ),
     "win_running_median": Query(
         win_running_median,
         f"""WITH {TELEMETRY}, m AS (SELECT event_id, depth, median(depth) OVER w AS m, count(*) OVER w AS n FROM telemetry WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
         SELECT event_id, round(depth / m, 5) AS novelty FROM m WHERE n >= 10 AND m > 0""",
     ),
+    "win_running_median_200": Query(
+        win_running_median_200,
+        f"""WITH {TELEMETRY}, m AS (SELECT event_id, depth, median(depth) OVER w AS m, count(*) OVER w AS n FROM telemetry WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))
+        SELECT event_id, round(depth / m, 5) AS novelty FROM m WHERE n >= 10 AND m > 0""",
+    ),
     "win_prefix_offsets": Query(win_prefix_offsets, 'SELECT doc_id, source, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents'),
     "win_missions": Query(
         win_missions,

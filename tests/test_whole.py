@@ -112,3 +112,31 @@ def test_whole_arrays_and_points(spark):
     assert {r.n for r in queries["agg_array_explode_all"](spark, SF).collect()} == {components}
     assert compare(queries["agg_array_explode_all"](spark, SF), con, sql["agg_array_explode_all"]) == 4
     assert compare(queries["join_grid_radius_all"](spark, SF), con, sql["join_grid_radius_all"]) == n
+
+
+def test_threshold_search(spark):
+    import numpy as np
+
+    from loomcast.operators import metrics
+
+    names = ("dark", "dim", "bright")
+    rows = [(round(i * 37 % 101 / 101, 6), None if i % 10 == 0 else names[(i * 37 % 101 > 33) + (i * 37 % 101 > 77)] if i % 7 else "dim") for i in range(300)]
+    v, labels = np.array([x for x, y in rows if y]), np.array([y for _, y in rows if y])
+    grid, best = np.unique(np.quantile(v, np.linspace(0.01, 0.99, 99))), (-1.0,)
+    for i, a in enumerate(grid):
+        for b in grid[i:]:
+            agreement = float((np.where(v < a, names[0], np.where(v < b, names[1], names[2])) == labels).mean())
+            if agreement > best[0]:
+                best = agreement, float(a), float(b)
+    df, quantiles = spark.createDataFrame(rows, "v double, label string"), [i / 100 for i in range(1, 100)]
+    (got,) = metrics.threshold_search(df, "v", "label", names, quantiles).collect()
+    assert (got.agreement, got.a, got.b) == pytest.approx(best)
+    assert metrics.threshold_search(df.limit(4), "v", "label", names, quantiles).collect() == []
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["agg_threshold_search_99", "win_sorted_neighbourhood_64", "win_rolling_latency_200", "win_running_median_200"])
+def test_reference_sizes(spark, name):
+    from .oracle import compare, connect
+
+    assert compare(catalogue.queries()[name](spark, SF), connect(SF), catalogue.oracle_sql()[name]) > 1
