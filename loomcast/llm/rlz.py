@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by looking up the hash of each window, in place of a relative Lempel-Ziv parse.
 
 The reference is all documents; its blocks are the runs of words that share an anchor's hash
 bucket (see `overlap`), so every phrase of WIDTH words is indexed in exactly one block and a
 document is parsed against just the blocks that can hold its phrases. A block's index maps each
-phrase to its first occurrence, by id and place. Parsing is greedy from left to right: a factor
-begins at a phrase with an earlier source and extends while the next phrases follow at the next
-places of that source. Factors are cut at the borders of runs and where the source changes;
+phrase to its first occurrence, by id and place. A factor begins at a phrase with an earlier first
+occurrence and goes on while those of the next phrases are at the next places of that source; no
+match is extended or chosen by length. Factors are cut at the borders of runs and where the source changes;
 there every phrase that straddles the border is looked up by itself, so that what factors cover
 is exactly the words of phrases with an earlier source. Factors that meet with one source are
 joined again in the document.
@@ -39,7 +39,7 @@ def _pack(chunk: overlap.Chunk, runs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _match(runs: overlap.Runs) -> tuple[np.ndarray, ...]:
-    """Parse the runs of a block against its index."""
+    """Look the phrases of a block's runs up in its index, and join hits that go on in one source."""
     n = len(runs.payload)
     run = np.repeat(np.arange(len(runs.count)), runs.count)
     place = ragged(np.zeros(len(runs.count), np.int64), runs.count)
