@@ -28,9 +28,12 @@ BATCH_ROWS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage: spark.checkpoint.dir, or a temporary one where unset."""
+    """The folder for tables that cut lineage: spark.checkpoint.dir. Where it is unset, a session on this
+    machine alone gets a temporary one; a cluster must name a folder that all its machines share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="loomcast-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

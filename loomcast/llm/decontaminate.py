@@ -11,12 +11,18 @@ Items shorter than a window are matched as a whole: with one substitution from s
 
 Tokens are lower-cased runs of letters, digits and non-ASCII characters.
 
-The benchmark is the stated query set: it is split into blocks of bounded size, each block is
-broadcast, and the documents pass all blocks within one narrow stage. No row is shuffled.
+Each distinct window of the benchmark is indexed once, with the list of its items apart, and seeds
+that lie alike in the same windows are one seed. So a prompt that thousands of items share is
+compared once. Verification goes in steps of a bounded number of comparisons.
+
+The benchmark is the stated query set. It is split into blocks of a bounded size, each of which is
+broadcast. One block is searched for in one narrow pass over the documents. More blocks mean a pass
+each, so that a worker holds one block at a time; only the documents that leak are then joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, id_array, ids, map_texts, ragged, rewrite_texts, texts
+from .common import documents, id_array, ids, map_texts, materialize, ragged, rewrite_texts, texts, unused
+from .overlap import merge
 
 WINDOW, ALLOWED = 13, 2
 #: Places of the masks that together survive any two substitutions in a window.
@@ -33,6 +40,8 @@ MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 2, 3, 6, 9, 10), (0, 2, 3, 4, 5, 6, 7))
 #: Bytes of benchmark text that one broadcast block holds at most, but for a longer single item.
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
+#: Hits that are verified at once.
+STEP = 1 << 17
 
 SPANS = "doc_id long, n_tokens long, n_leaked long, item_ids array<long>, spans array<int>, contaminated boolean"
 
@@ -44,19 +53,22 @@ class Seeds:
     mask: tuple[int, ...]
     window: int
     allowed: int
+    numbers: tuple[int, int]
     hashes: np.ndarray
-    item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
 
 
 @dataclass
 class Block:
-    """A block of benchmark items, indexed."""
+    """A block of benchmark items, indexed. `whole[p]` is the distinct window that begins at token p,
+    or -1; the items of window x are items[first_item[x]:first_item[x + 1]]."""
 
     item_ids: np.ndarray
     tokens: np.ndarray
-    first: np.ndarray
+    whole: np.ndarray
+    items: np.ndarray
+    first_item: np.ndarray
     seeds: list[Seeds]
 
 
@@ -90,26 +102,62 @@ def plan(length: int) -> list[tuple[tuple[int, ...], int, int]]:
 def index(item_ids: np.ndarray, column: pa.Array) -> Block:
     words = tokens(column)
     hashes = K.word_hashes(words)
+    codes, _ = K.span_codes(words.data, words.start, words.end)
     wanted: dict[tuple[tuple[int, ...], int, int], list[int]] = {}
     for item, n in enumerate(words.counts.tolist()):
         for key in plan(n):
             wanted.setdefault(key, []).append(item)
+    whole, items, sizes, numbers = np.full(len(hashes) + 1, -1, np.int32), [], [np.zeros(1, np.int64)], {}
+    known = 0
+    for window in sorted({w for _, w, _ in wanted}):  # the windows of an item have one length
+        own = np.asarray(sorted({i for (_, w, _), x in wanted.items() if w == window for i in x}))
+        counts = words.counts[own] - window + 1
+        at, number = ragged(words.first[:-1][own], counts), _window_numbers(codes, words.first, own, window)
+        pair = np.unique(number * len(item_ids) + np.repeat(own, counts))  # an item has a window once
+        n = int(number.max()) + 1
+        items.append(pair % len(item_ids))
+        sizes.append(np.bincount(pair // len(item_ids), minlength=n))
+        whole[at] = number + known
+        numbers[window] = (known, known + n)
+        known += n
     seeds = []
-    for (mask, window, allowed), items in wanted.items():
-        at = words.first[:-1][items]
-        counts = np.diff(words.first)[items] - mask[-1]
-        place = ragged(at, counts)
-        item = np.repeat(np.asarray(items), counts)
+    for (mask, window, allowed), own in wanted.items():
+        own = np.asarray(own)
+        counts = words.counts[own] - mask[-1]
+        place = ragged(words.first[:-1][own], counts)
+        within = ragged(np.zeros(len(own), np.int64), counts)
+        # of places that the mask has in the same windows, one
+        windows = [np.where(within >= shift, whole[np.maximum(place - shift, 0)], -1) for shift in range(window - mask[-1])]
+        order = np.lexsort(windows)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in windows], axis=0)
+        place = place[order[new]]
         made = masked_hashes(hashes, mask)[place]
         order = np.argsort(made, kind="stable")
         maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
         maybe[made & K.U64((1 << FILTER_BITS) - 1)] = True
-        seeds.append(Seeds(mask, window, allowed, made[order], item[order], place[order], maybe))
-    return Block(item_ids, hashes, words.first, seeds)
+        seeds.append(Seeds(mask, window, allowed, numbers[window], made[order], place[order], maybe))
+    return Block(item_ids, hashes, whole, np.concatenate([np.zeros(0, np.int64), *items]), np.cumsum(np.concatenate(sizes)), seeds)
+
+
+def _window_numbers(codes: np.ndarray, first: np.ndarray, own: np.ndarray, window: int) -> np.ndarray:
+    """A number for the tokens of each window of the items `own`, equal for equal tokens."""
+    counts = first[own + 1] - first[own]
+    words = ragged(first[own], counts)
+    return K.window_codes(codes[words], np.concatenate([[0], np.cumsum(counts)]), window)[1]
 
 
 def leaks(hashes: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first token, tokens, item) of each window of the texts that an item of the block leaks into."""
+    start, size, window = leaking_windows(hashes, first, block)
+    many = block.first_item[window + 1] - block.first_item[window]
+    start, size, item = np.repeat(start, many), np.repeat(size, many), block.items[ragged(block.first_item[window], many)]
+    _, once = np.unique(np.stack([start, size, item]), axis=1, return_index=True)
+    return start[once], size[once], item[once]
+
+
+def leaking_windows(hashes: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, tokens, distinct window) of each window of the texts that is in the block, in order."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     low = K.U64((1 << FILTER_BITS) - 1)
     for s in block.seeds:
@@ -123,32 +171,57 @@ def leaks(hashes: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarr
         doc = np.searchsorted(first, at, side="right") - 1
         inside = at + s.mask[-1] < first[doc + 1]
         at, hits, left, doc = at[inside], hits[inside], left[inside], doc[inside]
-        for lo in range(0, len(at), 1 << 15):  # bounds the memory of verification
-            part = slice(lo, lo + (1 << 15))
-            seed = ragged(left[part], hits[part])
-            found.append(_verified(hashes, first, block, s, np.repeat(at[part], hits[part]), np.repeat(doc[part], hits[part]), s.item[seed], s.place[seed]))
+        ends = np.cumsum(hits)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, STEP):  # bounds the memory of verification
+            one = np.arange(lo, min(lo + STEP, int(ends[-1])))
+            row = np.searchsorted(ends, one, side="right")
+            place = s.place[left[row] + one - (ends - hits)[row]]
+            found.append(_verified(hashes, first, block, s, at[row], doc[row], place))
     if not found:
         return (np.zeros(0, np.int64),) * 3
-    start, size, item = (np.concatenate(x) for x in zip(*found))
-    _, once = np.unique(np.stack([start, size, item]), axis=1, return_index=True)
-    return start[once], size[once], item[once]
+    start, size, window = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((window, start))
+    once = np.ones(len(order), dtype=bool)
+    once[1:] = (start[order[1:]] != start[order[:-1]]) | (window[order[1:]] != window[order[:-1]])
+    once = order[once]
+    return start[once], size[once], window[once]
 
 
-def _verified(hashes, first, block, s, at, doc, item, place):
+def _verified(hashes, first, block, s, at, doc, place):
     """Compare the windows around each hit: those that hold the seed and lie within text and item."""
-    starts, sizes, items = [], [], []
+    starts, windows = [], []
     for shift in range(s.window - s.mask[-1]):
         a, p = at - shift, place - shift
-        fits = (a >= first[doc]) & (a + s.window <= first[doc + 1]) & (p >= block.first[item]) & (p + s.window <= block.first[item + 1])
-        a, p, it = a[fits], p[fits], item[fits]
-        differ = np.zeros(len(a), np.int64)
+        number = np.where(p >= 0, block.whole[p], -1)
+        fits = (a >= first[doc]) & (a + s.window <= first[doc + 1]) & (number >= s.numbers[0]) & (number < s.numbers[1])
+        a, p, number = a[fits], p[fits], number[fits]
+        differ = np.zeros(len(a), np.int8)
         for i in range(s.window):
             differ += hashes[a + i] != block.tokens[p + i]
         good = differ <= s.allowed
-        starts.append(a[good])
-        sizes.append(np.full(int(good.sum()), s.window))
-        items.append(it[good])
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(items)
+        pair = np.unique(np.stack([a[good], number[good]]), axis=1)
+        starts.append(pair[0])
+        windows.append(pair[1])
+    start = np.concatenate(starts)
+    return start, np.full(len(start), s.window), np.concatenate(windows)
+
+
+class Items:
+    """The item ids of sets of windows. Documents that hold the same passage have the same set."""
+
+    def __init__(self, block: Block):
+        self.block, self.known = block, {}
+
+    def of(self, windows: np.ndarray) -> list[int]:
+        windows = np.unique(windows)
+        key = windows.tobytes()
+        if key not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            first = self.block.first_item
+            rows = np.unique(self.block.items[ragged(first[windows], first[windows + 1] - first[windows])])
+            self.known[key] = np.unique(self.block.item_ids[rows]).tolist()
+        return self.known[key]
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
@@ -168,7 +241,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row of SPANS for each document.
 
     n_leaked counts tokens within leaked windows, `spans` lists their ranges as first, end, first,
@@ -176,13 +249,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     any window leaks. Null and empty texts and an empty benchmark give no leak; items without
     tokens match nothing.
     """
-    shared = blocks(benchmark)
+    shared = blocks(benchmark, block_bytes=block_bytes)
+    own = documents(docs, id_col, text_col)
+    if len(shared) < 2:
+        return map_texts(own, _scanner(shared[0] if shared else None), SPANS)
+    keyed = own.withColumn("text_key", F.xxhash64("text"))
+    said = [map_texts(keyed, _scanner(b, True), f"{SPANS}, text_key long") for b in shared]
+    found = said[0]
+    for x in said[1:]:
+        found = found.unionByName(x)
+    # copies of a row say the same; the spans of blocks are united
+    found = materialize(found.distinct(), "leaks").groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    found = found.mapInArrow(_united, "doc_id long, text_key long, n_leaked long, spans array<int>, item_ids array<long>")
+    counted = map_texts(keyed, _counter, "doc_id long, text_key long, n_tokens long").alias("d")
+    both = counted.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key")), "left")
+    none = lambda t: F.array().cast(f"array<{t}>")
+    return both.select("d.doc_id", "n_tokens", F.coalesce("n_leaked", F.lit(0)).cast("long").alias("n_leaked"), F.coalesce("item_ids", none("long")).alias("item_ids"), F.coalesce("spans", none("int")).alias("spans"), F.col("n_leaked").isNotNull().alias("contaminated"))
+
+
+def _scanner(shared, keyed: bool = False):
+    """A function that searches texts for a block; `keyed`: it says only what leaks, with text_key."""
 
     def make():
+        block = shared.value if shared is not None else None
+        items = Items(block) if block is not None else None
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = tokens(texts(batch))
             hashes = K.word_hashes(words)
-            start, size, item = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *[(s, z, b.value.item_ids[i]) for b in shared for s, z, i in [leaks(hashes, words.first, b.value)]]))
+            start, size, window = leaking_windows(hashes, words.first, block) if block is not None else (np.zeros(0, np.int64),) * 3
             change = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(change, start, 1)
             np.add.at(change, start + size, -1)
@@ -191,14 +286,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             leaked = sums[words.first[1:]] - sums[words.first[:-1]]
             doc = np.searchsorted(words.first, start, side="right") - 1
             found: dict[int, list] = {}
-            order = np.argsort(doc, kind="stable")
-            with_leaks, at = np.unique(doc[order], return_index=True)
-            for d, own in zip(with_leaks.tolist(), np.split(item[order], at[1:])):
+            with_leaks, at = np.unique(doc, return_index=True)  # starts are sorted
+            for d, own in zip(with_leaks.tolist(), np.split(window, at[1:])):
                 inside = covered[words.first[d] : words.first[d + 1]].astype(np.int8)
-                edges = np.flatnonzero(np.diff(inside, prepend=0, append=0))
-                found[d] = [np.unique(own).tolist(), edges.tolist()]
+                found[d] = [items.of(own), np.flatnonzero(np.diff(inside, prepend=0, append=0)).tolist()]
             n = batch.num_rows
-            return pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     id_array(ids(batch)),
                     pa.array(words.counts, pa.int64()),
@@ -209,23 +302,51 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 ],
                 names=["doc_id", "n_tokens", "n_leaked", "item_ids", "spans", "contaminated"],
             )
+            return out.append_column("text_key", batch.column("text_key")).filter(pa.array(leaked > 0)) if keyed else out
 
         return each
 
-    return map_texts(documents(docs, id_col, text_col), make, SPANS)
+    return make
+
+
+def _counter():
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([id_array(ids(batch)), batch.column("text_key"), pa.array(tokens(texts(batch)).counts, pa.int64())], names=["doc_id", "text_key", "n_tokens"])
 
+    return each
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        merged = []
+        for lists in batch.column("spans").to_pylist():
+            pairs = np.array([x for one in lists for x in one], np.int64).reshape(-1, 2)
+            begin, end = merge(pairs[:, 0], pairs[:, 1] - pairs[:, 0])
+            merged.append(np.stack([begin, end], axis=1).ravel())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"), pa.array([int((m[1::2] - m[::2]).sum()) for m in merged], pa.int64()), pa.array([m.tolist() for m in merged], pa.list_(pa.int32())), batch.column("item_ids")],
+            names=["doc_id", "text_key", "n_leaked", "spans", "item_ids"],
+        )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, into which no benchmark item leaks."""
-    shared = blocks(benchmark)
+    shared = blocks(benchmark, block_bytes=block_bytes)
+    if len(shared) > 1:
+        name, row = unused(docs, "text_key", "doc_id")
+        key = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+        found = scan(docs.select(key.alias(row), F.col(f"`{text_col}`").alias("text")), benchmark, row, "text", block_bytes)
+        leaking = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+        return docs.withColumn(name, key).join(leaking, name, "left_anti").drop(name)
 
     def make():
+        block = shared[0].value if shared else None
+
         def each(column: pa.Array) -> np.ndarray:
-            words = tokens(column)
-            hashes = K.word_hashes(words)
             keep = np.ones(len(column), dtype=bool)
-            for b in shared:
-                start, _, _ = leaks(hashes, words.first, b.value)
+            if block is not None:
+                words = tokens(column)
+                start, _, _ = leaking_windows(K.word_hashes(words), words.first, block)
                 keep[np.searchsorted(words.first, start, side="right") - 1] = False
             return keep
 

@@ -9,6 +9,7 @@ splitting bytes and splitting characters agree.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,7 +49,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_ODD))
-_BYTE2 = mix(np.arange(1001, 1257, dtype=U64) * U64(_ODD))
 _powers: dict[int, list[np.ndarray]] = {}
 
 
@@ -140,12 +140,83 @@ def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _
     return Words(data, offsets, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets))
 
 
+#: Where hashes of words start, for the first and the second hash.
+_STARTS = (0x9AE16A3B2F90404F, 0xC949C7DEFB2C1D57)
+#: Bytes up to which a word is hashed eight bytes at a time; longer ones go through BLAKE2.
+LANED = 256
+_LANE_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each range of bytes; `second` gives an independent one.
+
+    Eight bytes at a time go through `mix`, which is no polynomial: sequences that polynomials modulo
+    2**64 confuse whatever their base, such as the Thue-Morse sequence and its complement, differ here.
+    """
+    begin = U64(_STARTS[second])
+    size = end - start
+    out = mix(size.astype(U64) * U64(_ODD) ^ begin)
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    long = np.flatnonzero(size > LANED)
+    short = np.flatnonzero(size <= LANED) if len(long) else None
+    at, left, h = (start, size, out) if short is None else (start[short], size[short], out[short])
+    rows = np.arange(len(at))
+    done = 0
+    while len(rows):
+        lane = eights[at[rows] + done] & _LANE_MASK[np.minimum(left[rows] - done, 8)]
+        h[rows] = mix(h[rows] ^ lane) + lane * begin
+        done += 8
+        rows = rows[left[rows] > done]
+    if short is not None:
+        out[short] = h
+        for i, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+            out[i] = int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8, salt=bytes([second])).digest(), "little")
+    return mix(out)
+
+
 def word_hashes(words: Words, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes; `second` gives an independent one."""
-    table, base = (_BYTE2, 0xA0761D6478BD642F) if second else (_BYTE, _BASE)
-    prefix = prefix_hash(table[words.data], base)
-    length = (words.end - words.start).astype(U64)
-    return mix(range_hash(prefix, words.start, words.end) + length * U64(_ODD))
+    return span_hashes(words.data, words.start, words.end, second)
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(a number for each range of bytes, the distinct ranges): equal numbers mean equal bytes, which
+    are compared and not only hashed."""
+    size = end - start
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    body = data[:0] if not len(size) else data[start[0] : end[-1]] if bounds[-1] == end[-1] - start[0] else data[_spread(start, size, bounds)]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(body))])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _spread(start: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
+
+
+def dense(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for equal rows alone, of columns below 2**32."""
+    out = columns[0].astype(U64)
+    for c in columns[1:]:
+        out = np.unique(out << U64(32) | c.astype(U64), return_inverse=True)[1].astype(U64)
+    return out.astype(np.int64)
+
+
+def window_codes(codes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the first word, number) of every run of `width` words within one text; equal
+    numbers mean equal runs, by the numbers of their words."""
+    at = window_starts(first, width)
+    if not len(at):
+        return at, np.zeros(0, np.int64)
+    out, have = codes, 1
+    while have < width:
+        step = min(have, width - have)
+        out = dense(out[: len(out) - step], out[step:])
+        have += step
+    return at, out[at]
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ entry in a lexicon of the training words, and learned transition scores join nei
 Forward-backward gives each word the probability of each language; a document is labelled by the
 sum over its words with letters. So text that switches languages is labelled word by word.
 
-A sequence is a line; a line of more than MAX_RUN words is cut into runs of that many.
+A sequence is a whole line, however long.
 
 Training uses a bounded sample of labelled documents, TRAIN_ROWS in all, dealt evenly to the
 languages and chosen by a hash of the id. Its sentences are joined to sequences that now and
@@ -28,15 +28,17 @@ from .common import documents, id_array, ids, map_texts, ragged, rewrite_texts,
 
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, second_lang string, second_share double"
 
-#: Labelled documents that training takes at most (about; they are drawn by a hash) and the bytes
-#: of text beyond which a document is not drawn.
-TRAIN_ROWS, TRAIN_BYTES = 600, 200_000
+#: Labelled documents that training takes at most (about; they are drawn by a hash).
+TRAIN_ROWS = 600
 #: Words per training sequence, and sequences, at most.
 SEQUENCE, SEQUENCES = 48, 4000
+#: How often a training sequence may switch its language after a sentence. The learned transitions
+#: reflect it: their size is this choice, not a rate observed in the documents.
 SWITCH = 0.1
 BITS = 15
 LEXICON = 20_000
-MAX_RUN = 256
+#: Words of a long line that are worked at once, with no effect on the result.
+PART = 256
 UNKNOWN = "und"
 #: Bytes of text labelled at once, which bounds the features held.
 SLICE_BYTES = 1 << 20
@@ -73,7 +75,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, lexicon: np.n
         count = np.maximum(size - k + 1, 0)
         at = ragged(start, count)
         add(np.repeat(every, count), at, at + k, 30 + k)
-    word = K.mix(K.range_hash(prefix, start, end) + size.astype(K.U64) * K.U64(K._ODD))
+    word = K.span_hashes(data, start, end)
     if len(lexicon):
         place = np.minimum(np.searchsorted(lexicon, word), len(lexicon) - 1)
         known = lexicon[place] == word
@@ -95,30 +97,71 @@ def emissions(numbers: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> n
 def marginals(scores: np.ndarray, start: np.ndarray, size: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """The probability of each language at each word, by forward-backward over all runs at once.
 
-    A run is the words start, ..., start + size - 1; every word is in one run.
+    A run is the words start, ..., start + size - 1; every word is in one run. Runs of more than PART
+    words are worked in parts: the products of the parts' transfer matrices say what each part hears
+    from those before and after it, so the result is that of the whole run.
     """
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    longest = int(size[0]) if len(size) else 0
-    alive = np.searchsorted(-size, -np.arange(longest), side="left")  # runs of more than t words
-    local = np.exp(scores - scores.max(axis=1, keepdims=True))
+    k = scores.shape[1]
+    local = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else np.zeros((0, k))
     step = np.exp(transitions)
+    parts = -(-size // PART)
+    number = ragged(np.zeros(len(size), np.int64), parts)
+    last = number + 1 == np.repeat(parts, parts)
+    at = np.repeat(start, parts) + number * PART
+    length = np.minimum(np.repeat(start + size, parts) - at, PART)
+    before, after = np.ones((len(at), k)), np.ones((len(at), k))
+    joined = np.flatnonzero(np.repeat(parts, parts) > 1)
+    if len(joined):
+        moved = _transfer(local, step, at[joined], length[joined], number[joined] == 0)
+        place = np.full(len(at), -1)
+        place[joined] = np.arange(len(joined))
+        for t in range(int(parts.max()) - 1):  # from each part to the next
+            own = np.flatnonzero((number == t) & ~last)
+            x = np.einsum("ij,ijk->ik", before[own], moved[place[own]])
+            before[own + 1] = x / x.sum(axis=1, keepdims=True)
+        for t in range(int(parts.max()) - 1, 0, -1):
+            own = np.flatnonzero(number == t)
+            x = np.einsum("ijk,ik->ij", moved[place[own]], after[own])
+            after[own - 1] = x / x.sum(axis=1, keepdims=True)
+    order = np.argsort(-length, kind="stable")
+    at, length, number, before, after = at[order], length[order], number[order], before[order], after[order]
+    longest = int(length[0]) if len(length) else 0
+    alive = np.searchsorted(-length, -np.arange(longest), side="left")  # parts of more than t words
     out = np.empty_like(local)
     for t in range(longest):
-        at = start[: alive[t]] + t
-        a = local[at] if t == 0 else local[at] * (out[at - 1] @ step)
-        out[at] = a / a.sum(axis=1, keepdims=True)
-    beta = np.ones((alive[0] if longest else 0, scores.shape[1]))
-    for t in range(longest - 2, -1, -1):
-        n = alive[t + 1]
-        at = start[:n] + t
-        b = (beta[:n] * local[at + 1]) @ step.T
-        beta[:n] = b / b.sum(axis=1, keepdims=True)
-        both = out[at] * beta[:n]
-        out[at] = both / both.sum(axis=1, keepdims=True)
+        here = at[: alive[t]] + t
+        if t == 0:
+            a = local[here] * np.where(number[:, None] == 0, 1.0, before @ step)
+        else:
+            a = local[here] * (out[here - 1] @ step)
+        out[here] = a / a.sum(axis=1, keepdims=True)
+    beta = after
+    for t in range(longest - 1, -1, -1):
+        n = alive[t]
+        if t < longest - 1:
+            m = alive[t + 1]
+            b = (beta[:m] * local[at[:m] + t + 1]) @ step.T
+            beta[:m] = b / b.sum(axis=1, keepdims=True)
+        here = at[:n] + t
+        both = out[here] * beta[:n]
+        out[here] = both / both.sum(axis=1, keepdims=True)
     return out
 
 
+def _transfer(local: np.ndarray, step: np.ndarray, at: np.ndarray, length: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """The product, but for its scale, of step and local scores over each part; `leads` have no step before."""
+    order = np.argsort(-length, kind="stable")
+    alive = np.searchsorted(-length[order], -np.arange(int(length.max())), side="left")
+    out = np.where(leads[order, None, None], np.eye(len(step)), step) * local[at[order], None, :]
+    for t in range(1, len(alive)):
+        n = alive[t]
+        x = (out[:n] @ step) * local[at[order[:n]] + t, None, :]
+        out[:n] = x / x.sum(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 60, rate: float = 0.35, decay: float = 1e-5) -> Model:
     """A model of (text, language) rows."""
     langs = sorted({lang for _, lang in rows})
@@ -127,14 +170,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 60, rate: floa
         return Model([], np.zeros(0, K.U64), np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
     words = split(pa.array([x for x, _ in rows], pa.string()))
     label = np.array([langs.index(lang) for _, lang in rows])
-    hashes = K.word_hashes(words)
-    distinct, at, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    frequent = distinct[np.argsort(-counts, kind="stable")[:LEXICON]]
-    lexicon = np.sort(frequent[np.isin(frequent, distinct[counts > 2])])
+    inverse, distinct = K.span_codes(words.data, words.start, words.end)
+    data, bounds = K.text_buffer(distinct)
+    counts = np.bincount(inverse, minlength=len(distinct))
+    frequent = np.argsort(-counts, kind="stable")[:LEXICON]
+    frequent = frequent[counts[frequent] > 2]
+    lexicon = np.unique(K.span_hashes(data, bounds[:-1][frequent], bounds[1:][frequent]))
     # sentences of about 8 to 24 words, each mostly followed by one of its own language
     rng = np.random.default_rng(seed)
     pools = [np.flatnonzero(np.repeat(label == i, words.counts)) for i in range(k)]
-    wanted = min(SEQUENCES, max(64, len(hashes) // SEQUENCE))
+    wanted = min(SEQUENCES, max(64, len(inverse) // SEQUENCE))
     place = np.empty((wanted, SEQUENCE), np.int64)
     truth = np.empty((wanted, SEQUENCE), np.int64)
     for i in range(wanted):
@@ -152,7 +197,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, rounds: int = 60, rate: floa
                 return Model([], np.zeros(0, K.U64), np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
     word = inverse[place.ravel()]
     used, word = np.unique(word, return_inverse=True)
-    numbers, sizes = features(words.data, words.start[at[used]], words.end[at[used]], lexicon)
+    numbers, sizes = features(data, bounds[:-1][used], bounds[1:][used], lexicon)
     scale = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
     owner = np.repeat(np.arange(len(used)), sizes)
     weights, transitions = np.zeros(((1 << BITS) + len(lexicon), k)), np.zeros((k, k))
@@ -206,26 +251,22 @@ def predict(column: pa.Array, model: Model) -> dict[str, list | np.ndarray]:
     """The language of each text, its score, and what else PREDICTIONS has of it."""
     n, k = len(column), len(model.langs)
     words = split(column)
-    hashes = K.word_hashes(words)
     letters = np.concatenate([[0], np.cumsum(_LETTER[words.data], dtype=np.int64)])
     lettered = letters[words.end] > letters[words.start]
     out = {"lang_pred": [UNKNOWN] * n, "score": np.zeros(n), "n_words": words.counts, "n_switches": np.zeros(n, np.int64), "second_lang": [None] * n, "second_share": np.zeros(n)}
-    if not k or not len(hashes):
+    if not k or not len(words.start):
         return out
-    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    numbers, sizes = features(words.data, words.start[at], words.end[at], model.lexicon)
+    inverse, distinct = K.span_codes(words.data, words.start, words.end)
+    data, bounds = K.text_buffer(distinct)
+    numbers, sizes = features(data, bounds[:-1], bounds[1:], model.lexicon)
     scores = emissions(numbers, sizes, model.weights)[inverse]
-    # runs: cut at texts, at line feeds and after MAX_RUN words
+    # runs: cut at texts and at line feeds
     feeds = np.concatenate([[0], np.cumsum(words.data == 10)])
-    cut = np.zeros(len(hashes) + 1, dtype=bool)
+    cut = np.zeros(len(inverse) + 1, dtype=bool)
     cut[words.first] = True
     cut[1:-1] |= feeds[words.start[1:]] > feeds[words.start[:-1]]
-    bounds = np.flatnonzero(cut)
-    length = np.diff(bounds)
-    parts = -(-length // MAX_RUN)
-    part = ragged(np.zeros(len(length), np.int64), parts)
-    start = np.repeat(bounds[:-1], parts) + part * MAX_RUN
-    probability = marginals(scores, start, np.minimum(np.repeat(bounds[1:], parts) - start, MAX_RUN), model.transitions)
+    runs = np.flatnonzero(cut)
+    probability = marginals(scores, runs[:-1], np.diff(runs), model.transitions)
     doc = words.doc()
     sums = np.stack([np.bincount(doc, probability[:, j] * lettered, n) for j in range(k)], axis=1)
     total = np.bincount(doc, lettered, n)
@@ -264,7 +305,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each = max(20, rows // len(counts))
     chance = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30) < chance[F.col("lang")]
-    sample = labelled.where(drawn & (F.octet_length("text") <= TRAIN_BYTES)).select("doc_id", "text", "lang").collect()
+    sample = labelled.where(drawn).select("doc_id", "text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["text"]))])
 
 

@@ -8,25 +8,28 @@ bands once in four million times.
 
 Candidates. Documents with equal shingle sets, told by a 128-bit digest of the whole set, are one
 node. Within the nodes of a band key, all are paired with the oldest one alone. Pairs whose
-similarity, estimated from all registers and corrected for chance collisions, is five standard
-errors below the threshold are left out; the others are confirmed on their full sets. Confirmed
-links give components. Then a closure: wherever a band key holds nodes of several components,
-those likely linked across components are compared on their full sets, block by block, and of the
-links that join the same components one is kept. So no link between components is lost, no pairs
-are written out, and a group of copies that agree costs work in proportion to its size.
-
-Everything is a distributed join or aggregate; groups are pre-aggregated, hot pivots salted and
-oversize band keys split to blocks. Only counts come to the driver.
+similarity, estimated from all registers and corrected for chance collisions, is `sigmas` standard
+errors below the threshold are left out (with `sigmas` None no pair is); the others are confirmed on
+their full sets. Confirmed links give components.
+
+Then a closure: wherever a band key holds nodes of several components, its nodes are dealt to blocks,
+a large component to blocks of its own and small ones together, and those likely linked are compared
+on their full sets for each two blocks that hold different components. Blocks of one component never
+meet, so a key that one group of copies fills costs work in proportion to its size, and no link
+between components is lost. Of the links that join the same components one is kept.
+
+Everything is a distributed join or aggregate; groups are pre-aggregated, hot pivots and hot nodes
+salted and oversize band keys split to blocks. Only counts come to the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -40,6 +43,8 @@ COLLISION = 2.0**-MANTISSA / 3
 SIGMAS = 5.0
 #: Members that one task confirms against a pivot, and nodes of a band key compared at once.
 SALT, BLOCK = 64, 512
+#: Links of one node that a task joins with its label.
+HOT = 100_000
 #: Shingles hashed at once, for the cache, and columns of an incidence matrix.
 STRIDE, COLUMNS = 1 << 15, 4096
 
@@ -109,13 +114,15 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return K.mix(packed + K.mix(np.arange(1, REPEATS + 1, dtype=K.U64))).view(np.int64)
 
 
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def likely(a: np.ndarray, b: np.ndarray, sigmas: float | None = SIGMAS) -> np.ndarray:
     """Whether the estimated similarity of sketches (rows) does not rule out the threshold."""
+    if sigmas is None:
+        return np.ones(np.broadcast_shapes(a.shape, b.shape)[:-1], dtype=bool)
     used = ((a != 0) | (b != 0)).sum(axis=-1)
     seen = ((a == b) & (a != 0)).sum(axis=-1) / np.maximum(used, 1)
     estimate = (seen - COLLISION) / (1 - COLLISION)
     t = PERCENT / 100
-    return estimate >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+    return estimate >= t - sigmas * np.sqrt(t * (1 - t) / np.maximum(used, 1))
 
 
 def unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -146,37 +153,45 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), REPEATS)))], names=["key", "node"])
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = likely(unpack(batch.column("sketch_a")), unpack(batch.column("sketch_b")))
-        yield batch.select(["a", "b"]).filter(pa.array(good))
+def _estimated(sigmas: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = likely(unpack(batch.column("sketch_a")), unpack(batch.column("sketch_b")), sigmas)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
 
 
-def _across(part: pa.Table) -> pa.Table:
+def _across(part: pa.Table, sigmas: float | None) -> pa.Table:
     """The rows of two blocks of a band key (or one) that are likely linked across components."""
-    i, j = part["i"][0].as_py(), part["j"][0].as_py()
-    component, block = part["component"].to_numpy(), part["block"].to_numpy()
+    component = part["component"].to_numpy()
     sketch = unpack(part["sketch"])
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    wanted = np.zeros(len(block), dtype=bool)
+    left, right = _sides(part)
+    wanted = np.zeros(len(component), dtype=bool)
     for x in left.tolist():
         others = right[component[right] != component[x]]
         if len(others):
-            others = others[likely(sketch[x][None], sketch[others])]
+            others = others[likely(sketch[x][None], sketch[others], sigmas)]
             wanted[others] = True
             wanted[x] |= len(others) > 0
-    return part.drop_columns(["sketch"]).filter(pa.array(wanted))
+    return part.select(["key", "i", "j", "side", "node", "component"]).filter(pa.array(wanted))
+
+
+def _sides(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks that meet, or twice those of one that meets itself."""
+    side = part["side"].to_numpy()
+    left = np.flatnonzero(side == 0)
+    return left, np.flatnonzero(side == 1) if (side == 1).any() else left
 
 
 def _compare(part: pa.Table) -> pa.Table:
     """Links across components between two blocks of a band key (or within one), confirmed on full
     sets: all intersections at once, as products of incidence matrices over a stretch of shingles.
     Of links that join the same components one is returned."""
-    i, j = part["i"][0].as_py(), part["j"][0].as_py()
-    node, component, block = (part[c].to_numpy() for c in ("node", "component", "block"))
+    node, component = part["node"].to_numpy(), part["component"].to_numpy()
     values, first = shingle_sets(texts(part))
     sizes, owner = np.diff(first), np.repeat(np.arange(len(node)), np.diff(first))
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    left, right = _sides(part)
     _, which, many = np.unique(values, return_inverse=True, return_counts=True)
     column = np.cumsum(many > 1) - 1
     shared = many[which] > 1
@@ -234,12 +249,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([a[r] for r in linked], pa.int64()), pa.array([b[r] for r in linked], pa.int64())], names=["a", "b"])
 
 
-def estimate(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def estimate(pairs: DataFrame, nodes: DataFrame, sigmas: float | None = SIGMAS) -> DataFrame:
     """The distinct pairs (a, b) that sizes and sketches do not rule out."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a long, b long")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimated(sigmas), "a long, b long")
 
 
 def confirm(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -257,12 +272,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the smallest node it is connected to.
 
     Each round takes the smallest label among neighbours and then the label of that label, so stars
-    settle in two rounds and chains in a logarithmic number.
+    settle in two rounds and chains in a logarithmic number. The links of a node that has more than
+    HOT are dealt to several tasks, each with a copy of its label.
     """
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialize(both, "edges")
+    busy = materialize(both.groupBy("b").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1"), "busy")
+    dealt = both.join(busy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        told_by = labels.select(F.col("node").alias("b"), "component").join(busy, "b", "left")
+        told_by = told_by.select("b", "component", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        near = dealt.join(told_by, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         told = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         over = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
         made = materialize(told.join(over, "new").select("node", F.least("new", "next").alias("component"), (F.least("new", "next") != F.col("old")).alias("moved")), "labels")
@@ -271,10 +292,35 @@ def components(edges: DataFrame) -> DataFrame:
         labels = made
         if not moved:
             discard(both)
+            discard(busy)
             return labels.select("node", "component")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def meetings(placed: DataFrame) -> DataFrame:
+    """(key, i, j, side, node, component) for the nodes of each two blocks of a band key that hold
+    different components, or of one block that does. `placed` is (key, node, component).
+
+    A component of at least BLOCK nodes in a key has blocks of its own, numbered by its nodes' hash;
+    smaller ones are dealt whole to blocks that they share.
+    """
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    whole = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("small")).where("components > 1").drop("components")
+    own = sizes.join(whole, "key")
+    large = F.col("c") >= BLOCK
+    own = own.select("key", "component", F.when(large, F.col("component")).otherwise(-1).alias("owner"), F.ceil(F.when(large, F.col("c")).otherwise(F.col("small")) / BLOCK).cast("int").alias("blocks"))
+    number = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number")
+    blocks = own.select("key", "owner", "blocks").distinct().select("key", "owner", number)
+    names = lambda x: blocks.select("key", F.struct("owner", "number").alias(x))
+    pairs = names("i").join(names("j"), "key").where("i <= j and (i.owner != j.owner or i.owner = -1)")
+    dealt = F.when(F.col("owner") == -1, F.xxhash64("component")).otherwise(F.xxhash64("node"))
+    nodes = placed.join(own, ["key", "component"]).select("key", "node", "component", F.struct("owner", F.pmod(dealt, F.col("blocks")).cast("int").alias("number")).alias("block"))
+    sides = pairs.withColumn("side", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    said = lambda x: F.xxhash64(f"{x}.owner", f"{x}.number").alias(x)
+    return nodes.join(sides, ["key", "block"]).select("key", said("i"), said("j"), "side", "node", "component")
+
+
+def grouped(docs: DataFrame, sigmas: float | None = SIGMAS) -> DataFrame:
     """(doc_id, text_key, n_shingles, component, component_id) of each row of (doc_id, text).
 
     A null id is LAST_ID here. A text without shingles has no component.
@@ -292,16 +338,15 @@ def grouped(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rep"), F.xxhash64("text").alias("text_key"), "text")
     partnered = nodes.select("node", "rep", "text_key").join(meeting.select("node").distinct(), "node", "left_semi")
     held = materialize(keyed.join(partnered, ["rep", "text_key"]).select("node", "text"), "texts")
-    links = materialize(confirm(materialize(estimate(pairs, nodes), "pairs"), held), "links")
+    links = materialize(confirm(materialize(estimate(pairs, nodes, sigmas), "pairs"), held), "links")
     labels = components(links)
 
     # closure: band keys that hold several components
-    placed = meeting.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = meeting.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    likely_ = spread.join(nodes.select("node", "sketch"), "node").groupBy("key", "i", "j").applyInArrow(_across, "node long, key long, component long, block int, i int, j int")
+    spread = meetings(materialize(placed.join(mixed, "key"), "placed"))
+    across = lambda part: _across(part, sigmas)
+    likely_ = spread.join(nodes.select("node", "sketch"), "node").groupBy("key", "i", "j").applyInArrow(across, "key long, i long, j long, side int, node long, component long")
     more = materialize(likely_.join(held, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -312,17 +357,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "text_key", "n_shingles", "digest").join(classes, "digest", "left").drop("digest")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sigmas: float | None = SIGMAS) -> DataFrame:
     """One row of CLASSES for each document.
 
     Shingles are SHINGLE words, with A-Z in lower case; a text of fewer words is one shingle. Linked
     are documents with 100 * intersection >= PERCENT * union; component_id is the smallest id that
     links lead to, the own one included. A text without words is linked with nothing. kept says that
-    the id is its component's; rows that repeat that id are all kept.
+    the id is its component's; rows that repeat that id are all kept. `sigmas` None confirms every pair
+    of a band key on full sets, whatever its estimate.
     """
     component = F.coalesce("component_id", "doc_id")
     said = lambda c: F.when(c != LAST_ID, c)
-    return grouped(documents(docs, id_col, text_col)).select(said(F.col("doc_id")).alias("doc_id"), "n_shingles", said(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return grouped(documents(docs, id_col, text_col), sigmas).select(said(F.col("doc_id")).alias("doc_id"), "n_shingles", said(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,11 +378,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = F.struct("doc_id", "text_key").alias("key")
     winners = rows.where("component is not null").groupBy("component").agg(F.min(key).alias("key")).select("key.*")
     stay = winners.unionByName(rows.where("component is null").select("doc_id", "text_key").distinct())
-    *names, row = unused(docs, "doc_id", "text_key", "row")
+    names = unused(docs, "doc_id", "text_key")
     tagged = docs.withColumns({names[0]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)), names[1]: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
     kept = tagged.join(stay.toDF(*names), names, "left_semi")
-    repeats = rows.where("component is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    repeats = rows.where("component is not null").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key").toDF(*names)
     if repeats.limit(1).count():
-        first = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
-        kept = kept.withColumn(row, first).where((F.col(row) == 1) | ~F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop(row)
+        # an aggregate, so copies of a row are combined where they are read
+        once = kept.join(repeats, names, "left_semi").dropDuplicates(names)
+        kept = kept.join(repeats, names, "left_anti").unionByName(once)
     return kept.drop(*names)

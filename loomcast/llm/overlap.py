@@ -37,15 +37,28 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import documents, ids, partitions, ragged, release, texts
 
-#: Bytes of text in a chunk, and in a shuffle partition, that their numbers are chosen for.
-CHUNK_BYTES, PARTITION_BYTES = 4 << 20, 24 << 20
-#: Bytes of text for each bucket of hashes, at least: a chunk sends a row to each bucket it has.
-BUCKET_BYTES = 1 << 20
+#: Bytes of text that a chunk, a shuffle partition and (at least) a bucket of hashes stand for, where a
+#: caller names no Sizes.
+CHUNK_BYTES, PARTITION_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20, 1 << 20
 #: Bytes of text whose windows are hashed at once.
 SLICE_BYTES = 500_000
 LOW = K.U64(0xFFFFFFFF)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of text from which the numbers of chunks, shuffle partitions and buckets are chosen.
+
+    A chunk sends a row to each bucket it has a hash in, and a run that most documents hold once to one
+    bucket, so a bucket can hold as many copies of a run as there are chunks. Larger chunks make both
+    fewer, for more memory of a task: about forty times the bytes of a chunk.
+    """
+
+    chunk: int = CHUNK_BYTES
+    partition: int = PARTITION_BYTES
+    bucket: int = BUCKET_BYTES
+
+
 @dataclass(frozen=True)
 class Scheme:
     """What a window is and how blocks match runs.
@@ -323,7 +336,8 @@ def settle_block(part: pa.Table) -> pa.Table:
     own = np.concatenate(own) if own else np.zeros(0, np.int64)
     first, which = smallest(low, content)
     mixed = np.bincount(which, content != content[first][which])[which] > 0 if len(low) else np.zeros(0, bool)
-    lead, number = smallest(content, own)
+    # copies agree in bucket, anchor and content; anchors that are not mixed have one content
+    lead, number = smallest(which, own)
     copy = ~mixed & (own > own[lead][number])
     rows, chunks = _rows(SETTLED), part["chunk"].to_pylist()
     some = copy | mixed
@@ -371,14 +385,15 @@ def repeated(chunk: Chunk, answer: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def find(docs: DataFrame, scheme: Scheme, payload: str, finish: Callable[[Chunk, tuple[np.ndarray, ...]], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, scheme: Scheme, payload: str, finish: Callable[[Chunk, tuple[np.ndarray, ...]], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes | None = None) -> DataFrame:
     """Run the three passes; `finish` turns a chunk and its repeated stretches into rows of `schema`."""
     spark = docs.sparkSession
+    sizes = sizes or Sizes(CHUNK_BYTES, PARTITION_BYTES, BUCKET_BYTES)
     own = documents(docs, id_col, text_col)
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(partitions(spark), -(-size // PARTITION_BYTES))
-    chunks = max(parts, -(-size // CHUNK_BYTES))
-    buckets = max(1, min(parts, -(-size // BUCKET_BYTES)))
+    parts = max(partitions(spark), -(-size // sizes.partition))
+    chunks = max(parts, -(-size // sizes.chunk))
+    buckets = max(1, min(parts, -(-size // sizes.bucket)))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(parts, "chunk")
 
     def anchors(part: pa.Table) -> pa.Table:

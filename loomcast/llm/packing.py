@@ -103,11 +103,8 @@ class WordTokenizer:
         words = K.split_words(data, offsets, cut=cut)
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        hashes = K.word_hashes(words)
-        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
-        known = self.known
+        inverse, distinct = K.span_codes(data, words.start, words.end)
+        distinct, known = distinct.to_pylist(), self.known
         if new := [w for w in distinct if w not in known]:
             self._learn(new)
         index = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[inverse]

@@ -2,8 +2,8 @@
 
 The suffix array of a text orders its suffixes by prefix doubling, a batch of texts at once:
 suffixes are ranked by their first word, and the ranks of those that tie are refined with the
-ranks 1, 2, 4, ... words ahead until no two are equal. Words are ordered by their hash; any fixed
-order serves. The ranks of all rounds also give the lengths of the common prefixes of
+ranks 1, 2, 4, ... words ahead until no two are equal. Words are ordered by numbers given to
+their bytes; any fixed order serves. The ranks of all rounds also give the lengths of the common prefixes of
 neighbours. Intervals of neighbours with a common prefix of at least MIN_REPEAT words are the
 repeated substrings; every one extends to a maximal one, so the union of the maximal repeats'
 spans is the union of what each suffix shares with its nearer neighbour. Texts in which no
@@ -50,17 +50,17 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: K.Words) -> np
     ends = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, starts)], offsets[doc + 1])
     with_word = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     starts, ends, doc = starts[with_word], ends[with_word], doc[with_word]
-    line = K.range_hash(K.prefix_hash(K._BYTE[data]), starts, ends) + (ends - starts).astype(K.U64) * K.U64(K._ODD)
-    key = K.mix(K.mix(line) + doc.astype(K.U64) * K.U64(0xD1B54A32D192ED03))
-    _, first = np.unique(key, return_index=True)
+    _, first = np.unique(K.dense(doc, K.span_codes(data, starts, ends)[0]), return_index=True)
     return np.bincount(doc, minlength=n) - np.bincount(doc[first], minlength=n)
 
 
-def suffix_repeats(hashes: np.ndarray, first: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray]:
+def suffix_repeats(codes: np.ndarray, first: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, words) of each suffix that shares at least `least` words with another of its text:
-    the most it shares with any, which is what it shares with a neighbour in the suffix array."""
+    the most it shares with any, which is what it shares with a neighbour in the suffix array.
+
+    `codes` are numbers that equal words share. Hashes only choose the texts whose suffixes are sorted."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, gram = K.window_hashes(hashes, first, least)
+    at, gram = K.window_hashes(K.mix(codes.astype(K.U64)), first, least)
     if not len(at):
         return none
     doc = np.searchsorted(first, at, side="right") - 1
@@ -75,7 +75,7 @@ def suffix_repeats(hashes: np.ndarray, first: np.ndarray, least: int = MIN_REPEA
     word = ragged(first[:-1][repeating], sizes)
     n = len(word)
     end = np.repeat(np.cumsum(sizes), sizes)
-    key = K.mix(hashes[word] + np.repeat(repeating, sizes).astype(K.U64) * K.U64(0xD1B54A32D192ED03))
+    key = codes[word]
     order = np.lexsort((key, np.repeat(np.arange(len(sizes)), sizes)))
     rank, levels, width = np.zeros(n + 1, np.int64), [], 1
     tied = _refine(rank, order, [end[order], key[order]], np.zeros(n, np.int64))
@@ -122,16 +122,15 @@ def _refine(rank: np.ndarray, items: np.ndarray, keys: list[np.ndarray], base: n
 def measure_batch(column: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = K.text_buffer(column)
     words = K.split_words(data, offsets)
-    hashes = K.word_hashes(words)
+    codes, _ = K.span_codes(data, words.start, words.end)
     n_words = words.counts
     inside = covered(words.start, words.end - words.start, len(data)) if len(words.start) else np.zeros(len(data), bool)
     out = {"n_words": n_words, "word_chars": per_text(inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": per_text(SYMBOLS[data], offsets), "n_dup_lines": duplicate_lines(data, offsets, words)}
-    at, gram = K.window_hashes(hashes, words.first, 3)
-    doc = np.searchsorted(words.first, at, side="right") - 1
-    _, inverse, counts = np.unique(K.mix(gram + doc.astype(K.U64) * K.U64(0xD1B54A32D192ED03)), return_inverse=True, return_counts=True)
-    out["n_repeat_words"] = per_text(covered(at[counts[inverse] > 1], 3, len(hashes)), words.first)
-    suffix, shared = suffix_repeats(hashes, words.first)
-    out["repeat_cover"] = per_text(covered(suffix, shared, len(hashes)), words.first)
+    at, gram = K.window_codes(codes, words.first, 3)
+    own = K.dense(np.searchsorted(words.first, at, side="right") - 1, gram)
+    out["n_repeat_words"] = per_text(covered(at[np.bincount(own)[own] > 1], 3, len(codes)), words.first)
+    suffix, shared = suffix_repeats(codes, words.first)
+    out["repeat_cover"] = per_text(covered(suffix, shared, len(codes)), words.first)
     longest = np.zeros(len(n_words), np.int64)
     np.maximum.at(longest, np.searchsorted(words.first, suffix, side="right") - 1, shared)
     out["longest_repeat"] = longest

@@ -45,6 +45,9 @@ def _match(runs: overlap.Runs) -> tuple[np.ndarray, ...]:
     place = ragged(np.zeros(len(runs.count), np.int64), runs.count)
     doc, at = runs.ids[run], runs.at[run] + place
     lead, number = overlap.smallest(runs.payload, doc, at)  # the index: phrase to first occurrence
+    if (runs.anchor[run] != runs.anchor[run[lead]][number]).any():  # equal phrases have equal anchors
+        anchor, phrase = (np.unique(x, return_inverse=True)[1] for x in (runs.anchor[run], runs.payload))
+        lead, number = overlap.smallest(K.dense(anchor, phrase), doc, at)
     source, source_at = doc[lead][number], at[lead][number]
     hit = np.flatnonzero(source < doc)
     if not n or not len(hit):
@@ -104,11 +107,11 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, counts: np.ndar
     return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(buffer[keep].tobytes())).cast(pa.string())
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: overlap.Sizes | None = None) -> DataFrame:
     """One row of PARSED for each document.
 
     Removed is each word within a phrase of WIDTH words that also starts in a document with a smaller
     id. kept_text joins the other words by one space; it is empty for a null text. factors are the
     long factors of the parse, with the first document and word that each was found at.
     """
-    return overlap.find(docs, SCHEME, "<u8", _finish, PARSED, id_col, text_col)
+    return overlap.find(docs, SCHEME, "<u8", _finish, PARSED, id_col, text_col, sizes)

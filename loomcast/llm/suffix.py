@@ -207,11 +207,11 @@ def _finish(chunk: overlap.Chunk, stretches: tuple[np.ndarray, ...]) -> pa.Table
     return pa.table({"doc_id": id_array(chunk.doc_ids), "n_bytes": pa.array(sizes), "n_removed": pa.array(sizes - left), "n_spans": pa.array(np.diff(first), pa.int64()), "kept": rest, "spans": pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans)})
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: overlap.Sizes | None = None) -> DataFrame:
     """One row of STRIPPED for each document.
 
     Removed is each byte within WIDTH bytes that also start in a document with a smaller id. `kept` is
     the remaining bytes, which need not be UTF-8; it is empty for a null text. `spans` are the maximal
     removed ranges of bytes.
     """
-    return overlap.find(docs, SCHEME, "u1", _finish, STRIPPED, id_col, text_col)
+    return overlap.find(docs, SCHEME, "u1", _finish, STRIPPED, id_col, text_col, sizes)

@@ -114,11 +114,9 @@ class Counter:
         if not len(ends):
             return np.zeros(n, np.int64), np.zeros(n)
         starts = np.concatenate([[0], ends[:-1]])
-        hashes = K.mix(K.range_hash(K.prefix_hash(K._BYTE[buffer]), starts, ends) + (ends - starts).astype(K.U64) * K.U64(K._ODD))
-        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, known, solved = buffer.tobytes(), self.known, []
-        for a, b in zip(starts[at].tolist(), ends[at].tolist()):
-            unit = raw[a:b]
+        inverse, distinct = K.span_codes(buffer, starts, ends)
+        known, solved = self.known, []
+        for unit in distinct.to_pylist():
             if (found := known.get(unit)) is None:
                 found = known[unit] = self.solve(unit.decode("utf-8", "replace").replace(" ", SPACE))
             solved.append(found)

@@ -85,3 +85,48 @@ def test_blocks_agree(spark):
     items = spark.createDataFrame([(i, f"i{i} " + ITEM + f" t{i}") for i in range(20)], "item_id long, text string")
     shared = D.blocks(items, block_bytes=400)
     assert len(shared) > 1 and sorted(x for b in shared for x in b.value.item_ids.tolist()) == list(range(20))
+
+
+def test_spans_exactly(spark):
+    docs = spark.createDataFrame([(3, "w " * 30000 + ITEM), (4, f"{ITEM} v " + " ".join(ITEM.split()[:13])), (5, "w " * 50)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, "zzz " + ITEM)], "item_id long, text string")
+    got = {r.doc_id: (r.spans, r.n_leaked, r.item_ids, r.contaminated) for r in D.scan(docs, items).collect()}
+    # the token before the item stands where "zzz" may be substituted
+    cover = lambda text, item: sorted(leaks(text, item))
+    for r in docs.collect():
+        marked = sorted(set(cover(r.text, ITEM)) | set(cover(r.text, "zzz " + ITEM))) if r.doc_id != 3 else list(range(29999, 30015))
+        edges = [x for x in marked if x - 1 not in marked], [x + 1 for x in marked if x + 1 not in marked]
+        assert got[r.doc_id] == ([x for pair in zip(*edges) for x in pair], len(marked), [7, 8] if marked else [], bool(marked))
+
+
+def test_passes_over_several_blocks_agree(spark):
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choices([f"v{i}" for i in range(400)], k=n))
+    items = [(i, say(r.choice([5, 9, 30]))) for i in range(30)]
+    docs = [(i // 2, f"{say(9)} {r.choice(items)[1]} {r.choice(items)[1]} {say(4)}" if i % 3 else say(20)) for i in range(60)] + [(None, items[0][1]), (None, None), (9, ""), (9, ""), (3, items[2][1]), (3, items[2][1])]
+    docs = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, text_key string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    say = lambda df: sorted(map(str, df.collect()))
+    assert say(D.scan(docs, items)) == say(D.scan(docs, items, block_bytes=300))
+    kept = D.decontaminate(docs, items, block_bytes=300)
+    assert kept.schema == docs.schema and say(kept) == say(D.decontaminate(docs, items))
+
+
+def test_a_prompt_that_all_items_share():
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    prompt = " ".join(f"p{i}" for i in range(80))
+    items = pa.array([f"{prompt} q{i} r{i} s{i}" for i in range(20000)])
+    block = D.index(np.arange(20000), items)
+    words = D.tokens(pa.array([prompt]))
+    tracemalloc.start()
+    began = time.perf_counter()
+    start, size, window = D.leaking_windows(D.K.word_hashes(words), words.first, block)
+    shared = D.Items(block).of(window)
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert start.min() == 0 and (start + size).max() == 80 and shared == list(range(20000))
+    assert took < 3 and peak < 100 << 20, (took, peak)
