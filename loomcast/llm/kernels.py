@@ -184,19 +184,21 @@ def word_hashes(words: Words, second: bool = False) -> np.ndarray:
 
 def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """(a number for each range of bytes, the distinct ranges): equal numbers mean equal bytes, which
-    are compared and not only hashed."""
+    are compared and not only hashed. Ranges ascend and do not overlap."""
     size = end - start
     bounds = np.concatenate([[0], np.cumsum(size)])
-    body = data[:0] if not len(size) else data[start[0] : end[-1]] if bounds[-1] == end[-1] - start[0] else data[_spread(start, size, bounds)]
+    if len(size) and bounds[-1] == end[-1] - start[0]:
+        body = data[start[0] : end[-1]]
+    else:
+        change = np.zeros(len(data) + 1, np.int8)
+        change[start] += 1
+        change[end] -= 1
+        body = data[np.cumsum(change[:-1], dtype=np.int8).view(bool)]
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(body))])
     coded = column.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _spread(start: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
-
-
 def dense(*columns: np.ndarray) -> np.ndarray:
     """A number for each row, equal for equal rows alone, of columns below 2**32."""
     out = columns[0].astype(U64)

@@ -9,19 +9,28 @@ entities to share. The collision check is that the inverse permutation gives the
 it is made for every surrogate. Case, separators and check digits are put back afterwards, so an
 entity written in another way keeps its identity.
 
-Entities: e-mail addresses, IPv4 addresses, payment card numbers with a valid check digit, phone
-numbers, social security numbers, IBANs with valid check digits, and names after a form of
-address. A given name or surname found so, of whatever length, is replaced by one surrogate wherever
-the document repeats it as a whole word; a word found as both keeps the kind it was found as first.
+Entities: e-mail addresses, IPv4 and IPv6 addresses, payment card numbers with a valid check digit,
+phone numbers, social security numbers, IBANs with valid check digits, and names: after a form of
+address, or a listed given name before a capitalised word. A given name or surname found so, of
+whatever length, is replaced by one surrogate wherever the document repeats it as a whole word; a word
+found as both keeps the kind it was found as first. A listed given name that stands alone everywhere
+in its document is left, as it may be a word; so is a name of neither form.
+
+Given names go to others of their script and gender. Surnames keep endings that tell the gender
+(Иванов and Иванова become one stem with two endings). Letters of no class are replaced from the
+letters of their stretch of 32 code points; a letter that is alone there stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
+import unicodedata
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +46,7 @@ DEFAULT_KEY = b"loomcast surrogate key"
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?!:::)[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::)(?![0-9A-Za-z:]|\.[0-9])")
 IPV4 = re.compile(rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])")
 CARD = re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])")
 PHONE = re.compile(
@@ -46,7 +56,7 @@ SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 
 #: Forms of address, after which a capitalised word is a name.
-ADDRESS = ("Mr", "Mister", "Mrs", "Ms", "Dr", "Prof", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
+ADDRESS = ("Mr", "Mister", "Mrs", "Ms", "Miss", "Mx", "Dr", "Doctor", "Prof", "Professor", "Herr", "Herrn", "Frau", "Fräulein", "Monsieur", "Madame", "Mme", "Mademoiselle", "Mlle", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
 #: Given names by script and gender; a name is replaced by another of its list.
 GIVEN = {
     ("latin", "f"): "Alice Anna Beatriz Carla Carmen Charlotte Clara Elena Emily Emma Eva Hannah Heidi Ines Isabel Jane Julia Karen Laura Lena Louise Lucia Maria Marie Martha Mary Nora Olivia Paula Rosa Sarah Sofia Sophie Susan Ursula".split(),
@@ -59,11 +69,40 @@ GIVEN = {
 #: Letters that may replace each other.
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
 LETTER_CLASS = {c: letters for letters in LETTERS for c in letters}
+#: Endings of surnames that tell the gender, which surrogates keep.
+ENDINGS = ("ова", "ева", "ёва", "ина", "ына", "ская", "цкая", "ов", "ев", "ёв", "ин", "ын", "ский", "цкий", "ская", "ска", "ски", "ová", "ski", "ska", "cki", "cka", "dóttir", "son", "ίδης", "ίδου", "άκης", "άκη", "όπουλος", "οπούλου", "ος", "ου", "ης")
+ENDING = re.compile(f"(?:{'|'.join(sorted(set(ENDINGS), key=lambda x: (-len(x), x)))})$")
 WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
+CAPITAL = r"[A-ZÀ-ÖØ-ÞŠŽÁА-ЯЁΆ-ΏΑ-Ϋ]"
+GIVEN_NAMES = frozenset(name for names in GIVEN.values() for name in names)
+PAIR = re.compile(rf"(?<!\w)({CAPITAL}[^\W\d_]+)(?=[ \t]({CAPITAL}[^\W\d_]*(?:[-'’][^\W\d_]+)?))")
 NAMED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(ADDRESS)})\.?[ \t])+({WORD})(?:[ \t]({WORD}))?")
 POSSESSIVE = re.compile(r"['’]s$")
 NAMED_BYTES = re.compile("|".join(rf"{a}\.?[ \t]" for a in ADDRESS).encode())
 _ANY = "0123456789abcdefghijklmnopqrstuvwxyz"
+_given_hashes = np.sort(K.word_hashes(K.split_words(*K.text_buffer(pa.array(sorted(GIVEN_NAMES))))))
+
+
+@lru_cache(1 << 14)
+def letter_class(c: str) -> str:
+    """The letters that may stand for a lower-case letter, itself among them; '' where there is no other."""
+    if c in LETTER_CLASS:
+        return LETTER_CLASS[c]
+    if not c.isalpha():
+        return ""
+    kind, begin = unicodedata.category(c), ord(c) & ~31
+    near = "".join(x for x in map(chr, range(begin, begin + 32)) if unicodedata.category(x) == kind and x.lower() == x and len(x.upper()) == 1 and x not in LETTER_CLASS)
+    return near if c in near and len(near) > 1 else ""
+
+
+def lower(value: str) -> str:
+    """Lower case, but for letters that become several."""
+    return "".join(x if len(x.lower()) > 1 else x.lower() for x in value)
+
+
+def like(value: str, image: str) -> str:
+    """`image` with capitals where `value` has them."""
+    return "".join(b.upper() if a != a.lower() and len(b.upper()) == 1 else b for a, b in zip(value, image))
 
 
 class Permutation:
@@ -226,24 +265,59 @@ class Surrogates:
         check = 98 - iban_rest(plain[:2] + "00" + body)
         return refill(value, f"{plain[:2]}{check:02d}{body}")
 
+    def ipv6(self, value: str) -> str:
+        """The first group stays, zeros stay zeros and other groups become others, so the form stays."""
+        full = ipaddress.IPv6Address(value).exploded.split(":")
+        numbers = [int(x, 16) for x in full]
+        rest = [x for x in numbers[1:] if x]
+        size, number = 1, 0
+        for x in rest:
+            number, size = number * 65535 + x - 1, size * 65535
+        image = Permutation(self.key, f"ipv6|{full[0]}|{[x > 0 for x in numbers]}", size).move(number)
+        made = []
+        for _ in rest:
+            image, x = divmod(image, 65535)
+            made.append(x + 1)
+        new = iter(reversed(made))
+        groups = [numbers[0], *[next(new) if x else 0 for x in numbers[1:]]]
+        left, gap, right = value.partition("::")
+        sides = [side.split(":") if side else [] for side in (left, right)]
+        out, place = [], 0
+        for side in sides:
+            place = place if side is sides[0] else 8 - len(side)
+            out.append(":".join(f"{groups[place + i]:x}".zfill(len(x) if x[0] == "0" else 1) for i, x in enumerate(side)))
+        said = gap.join(out) if gap else out[0]
+        return said.upper() if any(c.isupper() for c in value) else said
+
     def surname(self, value: str) -> str:
-        low = value.lower()
-        image = self.permute("surname", low, [LETTER_CLASS.get(c, "") for c in low]) if len(low) == len(value) else value
-        return "".join(b.upper() if a.isupper() else b for a, b in zip(value, image))
+        """Its letters from their classes; an ending that tells the gender stays, in all its images."""
+        low = lower(value)
+        ending = ENDING.search(low)
+        kept = ending.start() if ending and ending.start() > 1 else len(low)
+
+        def step(x: str) -> str:
+            return self.permute("surname", x[:kept], [letter_class(c) for c in x[:kept]]) + low[kept:]
+
+        def ends(x: str) -> int:
+            found = ENDING.search(x)
+            return found.start() if found and found.start() > 1 else len(x)
+
+        image = step(low)
+        while ends(image) != kept:  # an image that reads as another kind of surname is passed over
+            image = step(image)
+        return like(value, image)
 
     def given(self, value: str) -> str:
         for names in GIVEN.values():
             if value.capitalize() in names:
                 other = names[Permutation(self.key, "given" + names[0], len(names)).move(names.index(value.capitalize()))]
                 return other.upper() if value.isupper() and len(value) > 1 else other
-        low = value.lower()
-        if len(low) != len(value):
-            return value
         # its last letter, which may tell the gender, stays; listed names stay among themselves
-        image = self.permute("given", low, [LETTER_CLASS.get(c, "") for c in low[:-1]] + [""])
-        while any(image.capitalize() in names for names in GIVEN.values()):
-            image = self.permute("given", image, [LETTER_CLASS.get(c, "") for c in image[:-1]] + [""])
-        return "".join(b.upper() if a.isupper() else b for a, b in zip(value, image))
+        step = lambda x: self.permute("given", x, [letter_class(c) for c in x[:-1]] + [""])
+        image = step(lower(value))
+        while image.capitalize() in GIVEN_NAMES:
+            image = step(image)
+        return like(value, image)
 
 
 def refill(value: str, characters: str) -> str:
@@ -252,12 +326,21 @@ def refill(value: str, characters: str) -> str:
     return "".join(next(new) if c.isalnum() else c for c in value)
 
 
+def is_ipv6(value: str) -> bool:
+    """Whether it is an address of a host: neither the loopback nor without any group to replace."""
+    try:
+        return any(int(x, 16) for x in ipaddress.IPv6Address(value).exploded.split(":")[1:]) and not ipaddress.IPv6Address(value).is_loopback
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[Entity]:
     """The entities of a text, in order and without overlap; earlier kinds have precedence."""
     found: list[Entity] = []
     if "@" in text:
         found += [Entity("email", *m.span()) for m in EMAIL.finditer(text)]
     found += [Entity("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and iban_rest(m[0].replace(" ", "")) == 1]
+    found += [Entity("ipv6", *m.span()) for m in IPV6.finditer(text) if is_ipv6(m[0])]
     found += [Entity("ip", *m.span()) for m in IPV4.finditer(text)]
     found += [Entity("card", *m.span()) for m in CARD.finditer(text) if luhn(re.sub(r"\D", "", m[0])) % 10 == 0 and len(set(m[0])) > 2]
     found += [Entity("ssn", *m.span()) for m in SSN.finditer(text)]
@@ -271,6 +354,11 @@ def detect(text: str) -> list[Entity]:
             name = POSSESSIVE.sub("", m[i])
             kind = known.setdefault(name, "surname" if i == names[-1] else "given")
             found.append(Entity(kind, m.start(i), m.start(i) + len(name)))
+    for m in PAIR.finditer(text):
+        if m[1] in GIVEN_NAMES and m[2] not in ADDRESS:
+            other = POSSESSIVE.sub("", m[2])
+            for i, name, kind in ((1, m[1], "given"), (2, other, "given" if other in GIVEN_NAMES else "surname")):
+                found.append(Entity(known.setdefault(name, kind), m.start(i), m.start(i) + len(name)))
     if known:
         longest = sorted(known, key=lambda name: (-len(name), name))
         found += [Entity(known[m[0]], *m.span()) for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest))})(?!\w)", text)]
@@ -283,12 +371,19 @@ def detect(text: str) -> list[Entity]:
 
 
 def candidates(column: pa.Array) -> np.ndarray:
-    """Which texts can hold an entity: with an at sign, four digits, or a form of address."""
+    """Which texts can hold an entity: with an at sign, four digits, colons, a form of address or a listed name."""
     data, offsets = K.text_buffer(column)
     counts = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[offsets])
     out = (counts((data >= 48) & (data <= 57)) >= 4) | (counts(data == 64) > 0)
-    at = np.array([m.start() for m in NAMED_BYTES.finditer(data.tobytes())], dtype=np.int64)
-    out[np.searchsorted(offsets, at, side="right") - 1] = True
+    raw = data.tobytes()
+    at = np.array([m.start() for m in NAMED_BYTES.finditer(raw)], dtype=np.int64)
+    if b"::" in raw or (counts(data == 58) >= 7).any():  # addresses without four digits
+        out |= counts(data == 58) >= 2
+    words = K.split_words(data, offsets, K.PUNCTUATION)
+    hashes = K.word_hashes(words)
+    listed = _given_hashes[np.minimum(np.searchsorted(_given_hashes, hashes), len(_given_hashes) - 1)] == hashes
+    for found in (at, words.start[listed]):
+        out[np.searchsorted(offsets, found, side="right") - 1] = True
     return out
 
 

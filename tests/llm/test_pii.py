@@ -96,3 +96,108 @@ def test_repeated_names(text, names):
         assert not re.search(rf"(?<!\w){re.escape(name)}(?!\w)", new)
         assert len({e.kind for e in entities if text[e.start : e.end] == name}) == 1
     assert "Lion and Julia" not in text or "Lion and Julia" in new
+
+
+def test_names_without_titles():
+    assert kinds("Alice Johnson wrote to Bob Stone. Johnson left; Alice stayed. Mark my words.") == [("given", "Alice"), ("surname", "Johnson"), ("surname", "Johnson"), ("given", "Alice")]
+    assert kinds("Hello Anna Maria Lopez, Paul Müller's friend") == [("given", "Anna"), ("given", "Maria"), ("surname", "Lopez"), ("given", "Paul"), ("surname", "Müller")]
+    new, _, _ = pii.redact("Мария Иванова и Дмитрий Иванов", S)
+    assert "Иванов" not in new
+    she, he = new.split()[1], new.split()[4]
+    assert she == he + "а" and he.endswith("ов") and S.of("given", "Мария") in pii.GIVEN["cyrillic", "f"]
+
+
+def test_letters_of_no_class():
+    for name in ("İnan", "Łukaszewicz", "Ünlü", "ßß", "Søren", "Жуков", "Παπαδόπουλος", "李明"):
+        other = S.of("surname", name)
+        assert len(other) == len(name) and (other != name or name == "ßß") and [c.isupper() for c in other] == [c.isupper() for c in name]
+    names = {a + b + c for a in "łńşğ" for b in "ae" for c in "bcd"}
+    assert len({S.of("surname", x) for x in names}) == len(names)
+
+
+def test_surnames_stay_distinct():
+    import itertools
+
+    names = ["".join(x) for n in (2, 3, 4) for x in itertools.product("аов", repeat=n)] + ["".join(x) + e for x in itertools.product("бо", repeat=2) for e in ("ов", "ова", "ин", "")]
+    names = sorted(set(names))
+    images = [S.of("surname", x) for x in names]
+    assert len(set(images)) == len(names)
+    ending = lambda x: (m := pii.ENDING.search(x)) and m.start() > 1 and m[0] or ""
+    assert list(map(ending, names)) == list(map(ending, images))
+
+
+def test_ipv6():
+    text = "at 2001:db8::8a2e:370:7334, FE80::1:AB, 2001:0db8:0000:0000:0000:8a2e:0370:7334 but not ::1, 12:30:45, std::vector or a::b::c"
+    assert [x for k, x in kinds(text) if k == "ipv6"] == ["2001:db8::8a2e:370:7334", "FE80::1:AB", "2001:0db8:0000:0000:0000:8a2e:0370:7334"]
+    import ipaddress
+
+    short, full = S.of("ipv6", "2001:db8::8a2e:370:7334"), S.of("ipv6", "2001:0db8:0000:0000:0000:8a2e:0370:7334")
+    assert ipaddress.ip_address(short) == ipaddress.ip_address(full) != ipaddress.ip_address("2001:db8::8a2e:370:7334")
+    assert short.startswith("2001:") and "::" in short and [len(x) for x in full.split(":")] == [4] * 8
+    assert S.of("ipv6", "FE80::1:AB").startswith("FE80::")
+    assert len({S.of("ipv6", f"2001:db8::{i:x}") for i in range(1, 3000)}) == 2999
+
+
+def test_a_clash_is_noticed(monkeypatch):
+    # a permutation that is none: two addresses would share a surrogate
+    monkeypatch.setattr(pii.Permutation, "apply", lambda self, x: x // 2)
+    with pytest.raises(AssertionError, match="share a surrogate"):
+        for i in range(10):
+            pii.Surrogates(b"clash").of("email", f"user{i}@example.com")
+
+
+PLANTED = {
+    "email": ["ann.lee@example.com", "BOB@mail9.test.org", "x_1+y@sub.site.net"],
+    "ip": ["42.144.35.254", "10.0.0.7"],
+    "ipv6": ["2001:db8::8a2e:370:7334"],
+    "card": ["4111 1111 1111 1111", "4755575702902891"],
+    "phone": ["+1 (555) 123-4567", "555-123-4567"],
+    "ssn": ["078-05-1120"],
+    "iban": ["GB82 WEST 1234 5698 7654 32"],
+}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9))
+def test_equal_to_replacing_what_was_planted(seed):
+    import random
+
+    r = random.Random(seed)
+    filler = ["lorem", "ipsum", "dolor", "über", "слово", "12", "v1.2", "it's", "(note)", "Haus"]
+    names = r.sample([("Alice", "Johnson"), ("Иван", "Петров"), ("Otto", "Weiß"), ("Carmen", "Ñuñez")], 2)
+    before, after, want = [], [], []
+    at = 0
+
+    def say(x, y=None, kind=None):
+        nonlocal at
+        if kind:
+            want.append((kind, at, at + len(x)))
+        before.append(x)
+        after.append(x if y is None else y)
+        at += len(x)
+
+    introduced = set()
+    for _ in range(r.randrange(1, 25)):
+        say(r.choice([" ", "\n", ", ", "; "]) if before else "")
+        what = r.randrange(4)
+        if what == 0:
+            kind = r.choice(list(PLANTED))
+            value = r.choice(PLANTED[kind])
+            say(value, S.of(kind, value), kind)
+        elif what == 1:
+            given, surname = r.choice(names)
+            introduced |= {given, surname}
+            say(r.choice(["Dr ", "Frau ", ""]))
+            say(given, S.of("given", given), "given")
+            say(" ")
+            say(surname, S.of("surname", surname), "surname")
+        elif what == 2 and introduced:
+            name = r.choice(sorted(introduced))
+            kind = "given" if name in pii.GIVEN_NAMES else "surname"
+            say(name, S.of(kind, name), kind)
+        else:
+            say(r.choice(filler))
+        say(";")
+    new, entities, distinct = pii.redact("".join(before), S)
+    assert new == "".join(after)
+    assert [(e.kind, e.start, e.end) for e in entities] == want
