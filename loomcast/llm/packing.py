@@ -14,6 +14,7 @@ of its bins, so partitions do not grow from round to round.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, id_array, ids, map_texts, materialize, partitions, ragged, texts
+from .common import documents, id_array, ids, map_texts, materialize, ragged, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long"
+PACKED = f"{PIECES}, sequence_id long, offset long, group_bins long, group_bound long"
+#: Pieces that a partition of the first round packs, for which their number is chosen.
+GROUP_PIECES = 100_000
 #: Distinct words whose ids a worker keeps; the memory of a worker's cache is bounded by it.
 CACHE_WORDS = 500_000
 #: Words tokenised at once, and bytes of text.
@@ -39,8 +42,9 @@ ASCII_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b
 class WordTokenizer:
     """Token ids of whole texts from the ids of their white-space separated words.
 
-    Exact for tokenizers whose pre-tokenizer never lets a token cross ASCII white space and
-    drops it, which `check` verifies from the tokenizer's own settings.
+    Exact for tokenizers whose pre-tokenizer never lets a token cross ASCII white space and drops it.
+    `check` reads that from the tokenizer's settings: its normalisers work within words, its first
+    pre-tokenizer parts at white space and its added tokens hold none; and it tries each separator.
     """
 
     def __init__(self, path: str):
@@ -52,10 +56,18 @@ class WordTokenizer:
         self.clear()
 
     def check(self) -> None:
+        """Refuse a tokenizer whose settings could join words, and see which texts may be simplified."""
+        settings = json.loads(self.tok.to_str())
+        steps = lambda key, inner: (x.get(inner, [x]) if (x := settings.get(key)) else [])
+        normal, pre = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
+        told = all(x["type"] in ("NFC", "NFD", "Lowercase", "BertNormalizer") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in normal)
+        told &= bool(pre) and (pre[0]["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed")
+        told &= not any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in settings.get("added_tokens", ()))
         ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
-        if ids("Ab cd\n\tef") != ids("Ab") + ids("cd") + ids("ef"):
+        if not told or any(ids(f"Ab{s}cd{s}{s}ef") != ids("Ab") + ids("cd") + ids("ef") for s in " \t\n\r\v\f"):
             raise ValueError("the tokenizer's ids depend on white space; words cannot be tokenised apart")
-        self.simple = ids("aB") == ids("ab") and all(ids(f"ab{m}cd") == ids("ab") + ids(f"{m}cd") for m in ",=-|")
+        marks = [chr(b) for b in range(33, 127) if ASCII_MARK[b]]
+        self.simple = any(x["type"] == "Lowercase" for x in normal) and ids("aB") == ids("ab") and all(ids(f"ab{m}cd{m}{m}") == ids("ab") + ids(f"{m}cd") + ids(2 * m) for m in marks)
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -219,8 +231,9 @@ def pack_round(part: pa.Table, capacity: int, number: int, last: bool, fan_in: i
         emptiest = np.argsort(fills, kind="stable")[:share]
         opened[emptiest[fills[emptiest] < capacity]] = True
     group = int(part["part"][0].as_py())
-    sequence = (np.int64(number) << np.int64(58)) + (np.int64(group) << np.int64(32)) + bins
-    return pa.table([*[part[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(offsets), pa.array(opened[bins]), pa.array(np.full(len(bins), bound))], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "bound"])
+    made = {"sequence_id": (np.int64(number) << np.int64(58)) + (np.int64(group) << np.int64(32)) + bins, "offset": offsets, "group_bins": np.full(len(bins), len(fills)), "group_bound": np.full(len(bins), bound), "open": opened[bins]}
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    return pa.table([*[part[c] for c in names], *map(pa.array, made.values())], names=[*names, *made])
 
 
 def _packer(capacity: int, number: int, last: bool, fan_in: int) -> Callable[[pa.Table], pa.Table]:
@@ -230,21 +243,21 @@ def _packer(capacity: int, number: int, last: bool, fan_in: int) -> Callable[[pa
 def pack(pieces: DataFrame, capacity: int = 2048, groups: int | None = None, fan_in: int = 8) -> DataFrame:
     """Place `pieces` (PIECES, none longer than capacity) in sequences.
 
-    Returns PACKED rows. `groups` is the number of partitions of the first round, by default the
-    session's shuffle partitions; each round deals what is open to a `fan_in`-th of them.
+    Returns PACKED rows. group_bins is the number of bins that the partition which placed a piece made
+    of all it had, group_bound the certified least number; where they are equal no packing is better.
+    `groups` is the number of partitions of the first round, by default one for GROUP_PIECES pieces;
+    each round deals what is open to a `fan_in`-th of them.
     """
-    spark = pieces.sparkSession
-    groups = groups or partitions(spark)
-    spread = lambda n: F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)).cast("int")
-    rounds = f"{PACKED}, open boolean, bound long"
-    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "group_bins": F.lit(1).cast("long"), "group_bound": F.lit(1).cast("long")})
     rest, done, number = pieces.where(F.col("length") < capacity), [], 1
+    groups = groups or max(1, -(-rest.count() // GROUP_PIECES))
+    spread = lambda n: F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)).cast("int")
     while True:
         last = groups <= 1
         dealt = rest.withColumn("part", spread(groups)).groupBy("part")
-        packed = materialize(dealt.applyInArrow(_packer(capacity, number, last, fan_in), rounds), f"packed-{number}")
-        done.append(packed.where(~F.col("open")).drop("open", "bound"))
-        rest = packed.where("open").drop("open", "bound", "sequence_id", "offset")
+        packed = materialize(dealt.applyInArrow(_packer(capacity, number, last, fan_in), f"{PACKED}, open boolean"), f"packed-{number}")
+        done.append(packed.where(~F.col("open")).drop("open"))
+        rest = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
         if last:
             break
         groups, number = max(1, groups // fan_in), number + 1

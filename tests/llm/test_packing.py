@@ -83,3 +83,33 @@ def test_pack_documents(spark, tok):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_bounds_are_told(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate([12, 11, 11, 9, 8, 3, 3, 20, 20])], packing.PIECES)
+    got = packing.pack(pieces, 20).collect()
+    short = [r for r in got if r.length < 20]
+    assert {r.group_bound for r in short} == {3} and {r.group_bins for r in short} == {len({r.sequence_id for r in short})} == {3}
+    assert [(r.group_bins, r.group_bound) for r in got if r.length == 20] == [(1, 1)] * 2
+    assert len({r.sequence_id for r in got}) == 5
+
+
+def test_many_groups_lose_little(spark):
+    lengths = np.random.default_rng(5).integers(1, 2047, 6000)
+    pieces = spark.createDataFrame([(int(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    bound = packing.lower_bound(np.bincount(lengths, minlength=2049), 2048)
+    for groups in (1, 5, 40):
+        got = packing.pack(pieces, 2048, groups).collect()
+        assert sorted(r.doc_id for r in got) == list(range(6000))
+        assert len({r.sequence_id for r in got}) <= bound * 1.05
+
+
+def test_settings_that_join_words_are_refused():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = "/tmp/loomcast-joins.json"
+    tok = Tokenizer(models.BPE(vocab={"a": 0}, merges=[]))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tok.save(path)
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(path)
