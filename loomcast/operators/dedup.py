@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .tables import materialize
+from .tables import discard, materialize
 
 BANDS, BAND_BITS = 4, 16
 
@@ -60,8 +60,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         told = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
-        labels = materialize(told.join(jump, "new").select("node", F.least("new", "next").alias("component"), (F.least("new", "next") != F.col("old")).alias("moved")), "labels")
-        if not labels.where("moved").limit(1).count():
+        made = materialize(told.join(jump, "new").select("node", F.least("new", "next").alias("component"), (F.least("new", "next") != F.col("old")).alias("moved")), "labels")
+        moved = made.where("moved").limit(1).count()
+        discard(labels)
+        labels = made
+        if not moved:
+            discard(both)
             return labels.select("node", "component")
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import in_ranges, totals_before
+
 NAN = float("nan")
 
 
@@ -45,10 +47,13 @@ def _negatives_below(counts: DataFrame, score: str, by: Sequence[str], bins: int
 
 
 def average_precision(df: DataFrame, y: str, score: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n_pos, ap): mean precision at the positives, ties in the order of `tie`."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(score).desc(), tie)
-    ranked = df.withColumns({"__tp": F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.row_number().over(order)})
-    out = ranked.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.avg(F.when(F.col(y) == 1, F.col("__tp") / F.col("__n"))).alias("ap"))
+    """(by, n_pos, ap): mean precision at the positives, ties in the order of `tie`.
+
+    Ranks and hits before a row come from ranges of the order, so no task ranks all rows of a block.
+    """
+    hit = (F.col(y) == 1).cast("long")
+    ranked = totals_before(df.select(*by, y, score, tie), [F.col(score).desc(), F.col(tie)], {"__tp": F.coalesce(hit, F.lit(0)), "__n": F.lit(1)}, by)
+    out = ranked.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.avg(F.when(F.col(y) == 1, (F.col("__tp") + 1) / (F.col("__n") + 1))).alias("ap"))
     return out.withColumn("ap", F.coalesce("ap", F.lit(NAN)))
 
 
@@ -132,6 +137,49 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], columns: Sequence[str], stati
     return df.select(*names, *columns).groupBy(*names).applyInPandas(run, f"{schema}, low double, high double")
 
 
+def bootstrap_auc(df: DataFrame, by: Sequence[str], y: str, score: str, reps: int = 1000, seed: int = 0, alpha: float = 0.05, ranges: int | None = None) -> DataFrame:
+    """(by, low, high): the percentile interval of the ROC-AUC over `reps` Poisson resamples.
+
+    Rows are counted by score first. A count is drawn anew in each resample, from a stream seeded by
+    the count's keys, so the order of rows and the number of tasks do not matter. Each range of scores
+    adds up, for all resamples at once, its positives, its negatives and the pairs won within it; of
+    the other pairs, range totals tell all. Resamples of one class are skipped; without any, the
+    interval is null.
+    """
+    names = list(by)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+    kinds = kinds + ", " if kinds else ""
+    counts = df.groupBy(*names, score).agg(F.count_if(F.col(y) == 1).alias("__p"), F.count_if(F.col(y) != 1).alias("__q"))
+    counts = counts.withColumn("__seed", F.xxhash64(*names, F.col(score).cast("double"), F.lit(seed)))
+    placed = in_ranges(counts.select(*names, F.col(score).cast("double").alias("__score"), "__p", "__q", "__seed"), [*map(F.col, names), F.col("__score")], ranges)
+
+    def totals(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("__score")
+        p, q, won = np.zeros(reps), np.zeros(reps), np.zeros(reps)
+        for x, z, s in zip(part["__p"].to_pylist(), part["__q"].to_pylist(), part["__seed"].to_pylist()):
+            rng = np.random.default_rng(s & (1 << 64) - 1)
+            more, below = rng.poisson(x, reps), rng.poisson(z, reps)
+            won += more * (q + below / 2)
+            p, q = p + more, q + below
+        return pa.table([*[[k] for k in key], [p], [q], [won]], names=[*names, "__range", "p", "q", "won"])
+
+    sums = placed.groupBy(*names, "__range").applyInArrow(totals, f"{kinds}__range int, p array<double>, q array<double>, won array<double>")
+
+    def interval(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("__range")
+        p, q, won = (np.array(part[c].to_pylist()).reshape(-1, reps) for c in ("p", "q", "won"))
+        total = (won + p * (np.cumsum(q, 0) - q)).sum(0)
+        pairs = p.sum(0) * q.sum(0)
+        found = total[pairs > 0] / pairs[pairs > 0]
+        low, high = np.quantile(found, [alpha / 2, 1 - alpha / 2]) if len(found) else (NAN, NAN)
+        return pa.table([*[[k] for k in key], [float(low)], [float(high)]], names=[*names, "low", "high"])
+
+    if not names:
+        sums = sums.withColumn("__all", F.lit(0))
+        return sums.groupBy("__all").applyInArrow(lambda key, part: interval((), part), "low double, high double")
+    return sums.groupBy(*names).applyInArrow(interval, f"{kinds}low double, high double")
+
+
 def auc_of(rows: np.ndarray) -> float:
     """ROC-AUC of (y, score) rows."""
     y, s = rows[:, 0] == 1, rows[:, 1]
@@ -226,15 +274,22 @@ def threshold_search(df: DataFrame, value: str, label: str, names: Sequence[str]
     `names` (below a, below b, the rest) agree most with `label`; of equals the smallest a, then b.
 
     Rows without a label do not count; fewer than `least` labelled rows give no row. Rows are counted
-    by class between neighbouring quantiles, so pairs meet at most a hundred counts each and no rows.
+    by class between neighbouring quantiles; running sums of these counts tell what each threshold gets
+    right by itself, and a running maximum the best partner below it, so no pairs are listed.
     """
     rows = df.where(F.col(label).isNotNull()).select(F.col(value).alias("v"), F.col(label).alias("label"))
     whole = rows.agg(F.percentile("v", [float(q) for q in quantiles]).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
     whole = whole.select(F.array_sort(F.array_distinct("q")).alias("q"), "n")
     place = F.size(F.filter("q", lambda x: x <= F.col("v")))
     counts = rows.join(F.broadcast(whole)).groupBy(place.alias("place")).agg(*[F.count_if(F.col("label") == name).alias(f"n{i}") for i, name in enumerate(names)])
-    grid = whole.select("n", F.posexplode("q").alias("i", "x"))
-    pairs = grid.select("n", F.col("i").alias("ia"), F.col("x").alias("a")).join(grid.select(F.col("i").alias("ib"), F.col("x").alias("b")), F.col("ia") <= F.col("ib"))
-    right = F.when(F.col("place") <= F.col("ia"), F.col("n0")).when(F.col("place") <= F.col("ib"), F.col("n1")).otherwise(F.col("n2"))
-    found = F.broadcast(pairs).join(counts).groupBy("a", "b", "n").agg(F.sum(right).alias("right"))
+    # of each quantile, the rows of each class below it: those at a place up to its own
+    grid = whole.select("n", F.posexplode("q").alias("place", "x")).join(counts, "place", "full")
+    upto = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(F.lit(0))
+    below = [F.coalesce(F.sum(f"n{i}").over(upto), F.lit(0)).alias(f"b{i}") for i in range(3)]
+    told = grid.select("place", "x", F.max("n").over(every).alias("n"), *below, F.coalesce(F.sum("n2").over(every), F.lit(0)).alias("last")).where("x is not null")
+    # right = below a of the first + between of the second + from b on of the third; the best a up to each b
+    lower = F.max(F.struct((F.col("b0") - F.col("b1")).alias("f"), (-F.col("place")).alias("minus"), F.col("x").alias("a"))).over(upto)
+    found = told.select(lower.alias("lower"), F.col("x").alias("b"), (F.col("b1") - F.col("b2") + F.col("last")).alias("g"), "n")
+    found = found.select("lower.a", "b", "n", (F.col("lower.f") + F.col("g")).alias("right"))
     return found.orderBy(F.desc("right"), "a", "b").limit(1).select("a", "b", (F.col("right") / F.col("n")).alias("agreement"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ordering import totals_before
 
 
 def keep_with(df: DataFrame, keep: Column, unit: Column) -> DataFrame:
@@ -95,20 +96,9 @@ def source_capped_weights(df: DataFrame, train: Column, source: str, caps: Mappi
     return df.withColumn("weight", F.when(train, F.col("raw_weight") * factor / F.lit(total / count if count else 1.0)).otherwise(0.0))
 
 
-def running_total(df: DataFrame, id_col: str, value: str, block: int = 1024) -> DataFrame:
-    """`df` with upto, the sum of `value` over smaller ids.
-
-    Sums are taken within blocks of ids, over the blocks of a superblock, and over superblocks, so
-    that only one row for `block` squared ids meets in one task.
-    """
-    blocks = df.withColumn("__b", F.floor(F.col(id_col) / block)).withColumn("__s", F.floor(F.col("__b") / block))
-    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    of_blocks = blocks.groupBy("__s", "__b").agg(F.sum(value).alias("__sum"))
-    of_supers = of_blocks.groupBy("__s").agg(F.sum("__sum").alias("__sum")).withColumn("__before_s", F.coalesce(F.sum("__sum").over(before([F.lit(0)], "__s")), F.lit(0.0))).drop("__sum")
-    of_blocks = of_blocks.withColumn("__before_b", F.coalesce(F.sum("__sum").over(before(["__s"], "__b")), F.lit(0.0))).drop("__sum")
-    own = F.coalesce(F.sum(value).over(before(["__s", "__b"], id_col)), F.lit(0.0))
-    out = blocks.withColumn("__own", own).join(of_blocks, ["__s", "__b"]).join(of_supers, "__s")
-    return out.withColumn("upto", F.col("__own") + F.col("__before_b") + F.col("__before_s")).drop("__own", "__before_b", "__before_s", "__b", "__s")
+def running_total(df: DataFrame, id_col: str, value: str, ranges: int | None = None) -> DataFrame:
+    """`df` with upto, the sum of `value` over smaller ids, which are distinct; by ranges of ids."""
+    return totals_before(df, [F.col(id_col)], {"upto": F.col(value)}, ranges=ranges)
 
 
 def weighted_draws(df: DataFrame, id_col: str, weight: str, draws: int, seed: int, epoch: int = 0, start: int = 0, rank: int = 0, world: int = 1) -> DataFrame:
@@ -134,12 +124,9 @@ def weighted_draws(df: DataFrame, id_col: str, weight: str, draws: int, seed: in
 def batches(df: DataFrame, order: Column, id_col: str, size: int, sizes: Sequence[int], seed: int) -> DataFrame:
     """`df` with batch and, the same for a whole batch, resolution.
 
-    Rows are numbered by `order` through hash blocks, as running_total does.
+    Rows are numbered along `order`, by ranges of it.
     """
-    numbered = df.withColumn("__o", F.floor(order * F.lit(1 << 20)).cast("long")).withColumn("__one", F.lit(1.0))
-    blocks = numbered.groupBy("__o").agg(F.sum("__one").alias("__n"))
-    first = running_total(blocks, "__o", "__n").select("__o", F.col("upto").alias("__first"))
-    row = F.row_number().over(Window.partitionBy("__o").orderBy(order, id_col)) - 1
-    out = numbered.join(first, "__o").withColumn("batch", F.floor((F.col("__first") + row) / size).cast("long"))
+    numbered = totals_before(df.withColumn("__order", order), [F.col("__order"), F.col(id_col)], {"__first": F.lit(1)})
+    out = numbered.withColumn("batch", F.floor(F.col("__first") / size).cast("long"))
     pick = F.floor(C.hash01(seed, "resolution", F.col("batch")) * len(sizes)).cast("int")
-    return out.withColumn("resolution", F.element_at(F.array(*map(F.lit, sizes)), pick + 1)).drop("__o", "__one", "__first")
+    return out.withColumn("resolution", F.element_at(F.array(*map(F.lit, sizes)), pick + 1)).drop("__order", "__first")

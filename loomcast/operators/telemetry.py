@@ -6,10 +6,13 @@ take the same key and order share both.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .planner import posterior_rate
 
@@ -120,19 +123,37 @@ def best_row(df: DataFrame, keys: Sequence[str], score: Column, time: str, tie:
     return df.groupBy(*keys).agg(F.min_by(time, F.struct(-score, F.col(time), F.col(tie))).alias("best_t"), F.max(score).alias("best_score"))
 
 
+def over_median(df: DataFrame, key: str, time: str, tie: str, value: str, history: int = 200, least: int = 10) -> DataFrame:
+    """Rows with novelty, their value over the median of up to `history` values before; rows with fewer
+    than `least` values before, or with a median that is not above 0, are left out."""
+    w = _order(key, time, tie).rowsBetween(-history, -1)
+    rows = df.withColumns({"__m": F.percentile(value, 0.5).over(w), "__n": F.count(value).over(w)})
+    return rows.where((F.col("__n") >= least) & (F.col("__m") > 0)).withColumn("novelty", F.col(value) / F.col("__m")).drop("__m", "__n")
+
+
 def smoothed(df: DataFrame, key: str, time: str, tie: str, value: str, tau: float) -> DataFrame:
     """`df` with ema, x += (1 - exp(-dt / tau)) (value - x), from the first value on.
 
-    The fold is x_n = v_n - sum over k of (v_k+1 - v_k) exp(-(t_n - t_k) / tau), up to n; taken over
-    a bounded stretch of 40 tau, beyond which a change weighs less than 1e-17. Of rows of one time,
-    those up to this one count.
+    One pass over the rows of each key in order, with nothing kept but the last time and value. Rows of
+    one time follow each other with no time between; a row without a value or time has no ema.
     """
-    w = _order(key, time, tie)
-    steps = df.withColumns({"__jump": F.col(value) - F.lag(value).over(w), "__from": F.lag(time).over(w), "__n": F.row_number().over(w)})
-    jump = "CASE WHEN __jump IS NOT NULL THEN struct(__from AS t, __jump AS j, __n AS n) END"
-    jumps = F.expr(f"collect_list({jump}) OVER (PARTITION BY `{key}` ORDER BY `{time}` RANGE BETWEEN {40.0 * tau}D PRECEDING AND CURRENT ROW)")
-    lag = F.aggregate(F.col("__jumps"), F.lit(0.0), lambda s, x: s + F.when(x["n"] <= F.col("__n"), x["j"] * F.exp(-(F.col(time) - x["t"]) / F.lit(float(tau)))).otherwise(0.0))
-    return steps.withColumn("__jumps", jumps).withColumn("ema", F.col(value) - lag).drop("__jump", "__from", "__n", "__jumps")
+    schema = T.StructType([*df.schema, T.StructField("ema", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before, x = object(), 0.0, 0.0
+        for batch in batches:
+            out: list[float | None] = []
+            for k, t, v in zip(*(batch.column(c).to_pylist() for c in (key, time, value))):
+                if t is None or v is None:
+                    out.append(None)
+                    continue
+                x = float(v) if k != own else x - math.expm1(-(t - before) / tau) * (v - x)
+                own, before = k, t
+                out.append(x)
+            yield batch.append_column("ema", pa.array(out, pa.float64()))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key, time, tie).mapInArrow(run, schema)
 
 
 def rolling_percentiles(df: DataFrame, key: str, time: str, tie: str, value: str, rows: int, quantiles: Sequence[float]) -> DataFrame:

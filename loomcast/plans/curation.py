@@ -72,21 +72,13 @@ def join_one_to_many_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_three_way_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("clip"))
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("key"))
-    clips = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("clip"), (F.col("c_mktsegment") == "BUILDING").alias("completed"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_quantity").alias("most")).where("most > 45").select("key")
+    clips = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment") == "BUILDING").alias("completed"))
     return joins.three_way(orders, lines, clips, "key", "clip", "completed").groupBy("outcome").agg(F.count("*").alias("n"), F.sum("key").alias("sum_keys"))
 
 
 def join_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) / 86400.0
-    left = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", "o_custkey", day("o_orderdate").alias("a")).withColumn("b", F.col("a") + 3.0)
-    right = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.monotonically_increasing_id().alias("x"), F.col("l_orderkey"), "l_linenumber", day("l_shipdate").alias("c")).withColumn("d", F.when(F.col("l_linenumber") < 7, F.col("c") + F.col("l_linenumber"))).drop("x")
-    both = joins.interval_overlap(left, right, ("a", "b"), ("c", "d"), 8.0)
-    return both.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("sum_keys"), F.round(F.sum(joins.overlap_offset(F.col("a"), F.col("c"))), 3).alias("offset_days"))
-
-
-def join_interval_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """join_interval_overlap of all orders and all lines, by totals and not by pairs."""
+    """Intervals of all orders against those of all lines, by totals and not by pairs."""
     day = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) / 86400.0
     left = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("a")).withColumn("b", F.col("a") + 3.0)
     right = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", day("l_shipdate").alias("c")).withColumn("d", F.when(F.col("l_linenumber") < 7, F.col("c") + F.col("l_linenumber")))
@@ -101,14 +93,6 @@ def join_nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_grid_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "embeddings").select("vec_id", (F.element_at("embedding", 1).cast("double") * 100).alias("x"), (F.element_at("embedding", 2).cast("double") * 100).alias("y"))
-    cars, animals = points.where("vec_id % 10 = 0"), points.select(F.col("vec_id").alias("animal"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    both = joins.within_radius(cars, animals, ("x", "y"), ("ax", "ay"), 6.0)
-    return both.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("animal").alias("sum_ids"), F.round(F.max("distance"), 4).alias("farthest"))
-
-
-def join_grid_radius_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """join_grid_radius of all points."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", (F.element_at("embedding", 1).cast("double") * 100).alias("x"), (F.element_at("embedding", 2).cast("double") * 100).alias("y"))
     cars, animals = points, points.select(F.col("vec_id").alias("animal"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     both = joins.within_radius(cars, animals, ("x", "y"), ("ax", "ay"), 6.0)
@@ -125,25 +109,22 @@ def dedup_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_latest(rows, ["user_id", "event_type"], [F.col("event_id").desc()])
 
 
-def _short_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of few distinct bits, so that some are close: 32 bits of md5 under a mask."""
-    h = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x0F0F0F0F))
-    return table(spark, sf_dir, "documents").select("doc_id", h.alias("h"))
+def _near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit hashes that are alike for documents of one source and length: md5 of both, with up to
+    four bits turned by the id."""
+    id_ = F.col("doc_id")
+    turned = F.expr("shiftleft(1L, CAST(doc_id % 64 AS INT)) ^ shiftleft(1L, CAST(doc_id * 7 % 64 AS INT)) ^ shiftleft(1L, CAST(doc_id * 13 % 61 AS INT)) ^ shiftleft(1L, CAST(doc_id % 59 AS INT))")
+    base = F.conv(F.substring(F.md5(F.concat_ws("|", "source", F.col("n_chars").cast("string"))), 1, 16), 16, -10).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(id_.isNotNull(), base.bitwiseXOR(turned)).alias("h"))
 
 
 def dedup_near_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.hamming_pairs(_short_hashes(spark, sf_dir), "doc_id", "h", 1)
+    return dedup.hamming_pairs(_near_hashes(spark, sf_dir), "doc_id", "h", 6)
 
 
 def components_min_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b"))
-    return dedup.components(edges)
-
-
-def components_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """components_min_label over every line; a recursive CTE is too slow for that, so a test has a union-find."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b"))
-    return dedup.components(edges)
+    """Orders and parts joined by every line; a recursive CTE is too slow for that, so a test has a union-find."""
+    return dedup.components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b")))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,16 +232,6 @@ def agg_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair of thresholds that tells three classes best, of nine quantiles of the labelled rows."""
-    rows = records(spark, sf_dir).where("labeled").select("lum_mean", F.when(F.col("toxic") == 1, "dark").when(F.col("frame_label") == 0, "dim").otherwise("bright").alias("label"))
-    grid = rows.agg(F.percentile("lum_mean", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q")).select(F.explode(F.array_distinct("q")).alias("v"))
-    pairs = grid.select(F.col("v").alias("a")).join(grid.select(F.col("v").alias("b")), F.col("a") <= F.col("b"))
-    told = rows.join(F.broadcast(pairs))
-    right = F.when(F.col("lum_mean") < F.col("a"), "dark").when(F.col("lum_mean") < F.col("b"), "dim").otherwise("bright") == F.col("label")
-    return told.groupBy("a", "b").agg(F.avg(right.cast("int")).alias("agreement")).orderBy(F.desc("agreement"), "a", "b").limit(1).select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("agreement", 6).alias("agreement"))
-
-
-def agg_threshold_search_99(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of thresholds of 99 quantiles that tell light and clarity best."""
     rows = records(spark, sf_dir).where("labeled")
     out = []
@@ -272,15 +243,7 @@ def agg_threshold_search_99(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_array_explode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sides in patches of boxes at several input sizes; a box is a pair of neighbouring components."""
-    sizes = F.explode(F.array(*map(F.lit, (112, 160, 224, 448)))).alias("input")
-    boxes = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).where("i < 8")
-    sides = boxes.select("label", (F.abs(F.col("v").cast("double")) * 4).alias("side"), sizes).withColumn("patches", F.col("side") * F.col("input") / 16.0)
-    return sides.groupBy("input").agg(F.count("*").alias("n"), F.round(F.avg((F.col("patches") < 1).cast("int")), 6).alias("below_patch"), F.round(F.median("patches"), 5).alias("median_patches"))
-
-
-def agg_array_explode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agg_array_explode_sizes of whole arrays."""
+    """Sides in patches of boxes at several input sizes; each component of a vector is a side."""
     sizes = F.explode(F.array(*map(F.lit, (112, 160, 224, 448)))).alias("input")
     boxes = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("v"))
     sides = boxes.select("label", (F.abs(F.col("v").cast("double")) * 4).alias("side"), sizes).withColumn("patches", F.col("side") * F.col("input") / 16.0)
@@ -288,11 +251,11 @@ def agg_array_explode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_threshold_count_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clear rows if there are at least 50, else all; at most 80 of them by hash."""
+    """Clear rows if there are at least 50, else all; at most 800 of them by hash."""
     rows = bucketed(spark, sf_dir).select("doc_id", "slice")
     clear = rows.where("slice = 'clear'")
     base = clear if clear.limit(50).count() >= 50 else rows
-    return sampling.uniform(base, C.hash01(0, "underwater", F.col("doc_id")), "doc_id", 80)
+    return sampling.uniform(base, C.hash01(0, "underwater", F.col("doc_id")), "doc_id", 800)
 
 
 def agg_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +263,8 @@ def agg_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "bin").agg(F.count("*").alias("n"))
 
 
-_SHORT = "(('0x' || substr(md5(text), 1, 8))::BIGINT & 252645135)"
+_TURNED = "xor(xor(1::UBIGINT << (doc_id % 64)::UBIGINT, 1::UBIGINT << (doc_id * 7 % 64)::UBIGINT), xor(1::UBIGINT << (doc_id * 13 % 61)::UBIGINT, 1::UBIGINT << (doc_id % 59)::UBIGINT))"
+_NEAR = f"xor(('0x' || substr(md5(source || '|' || n_chars), 1, 16))::UBIGINT, {_TURNED})"
 _SURVIVORS = f"""{BUCKETED},
 clustered AS (SELECT *, min(doc_id) OVER (PARTITION BY text_md5) AS dup_cluster FROM bucketed),
 ranked AS (
@@ -355,12 +319,6 @@ QUERIES = {
     ),
     "join_interval_overlap": Query(
         join_interval_overlap,
-        """WITH l AS (SELECT o_orderkey, epoch(o_orderdate) / 86400.0::DOUBLE AS a, epoch(o_orderdate) / 86400.0::DOUBLE + 3 AS b FROM orders WHERE o_orderkey % 50 = 0),
-        r AS (SELECT l_orderkey, epoch(l_shipdate) / 86400.0::DOUBLE AS c, CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE + l_linenumber END AS d FROM lineitem WHERE l_quantity >= 48)
-        SELECT o_orderkey, count(*) AS n, sum(l_orderkey)::BIGINT AS sum_keys, round(sum(greatest(0.0::DOUBLE, a - c)), 3) AS offset_days FROM l JOIN r ON c <= b AND (d IS NULL OR d >= a) GROUP BY 1""",
-    ),
-    "join_interval_overlap_all": Query(
-        join_interval_overlap_all,
         """WITH l AS (SELECT o_orderkey, epoch(o_orderdate) / 86400.0::DOUBLE AS a, epoch(o_orderdate) / 86400.0::DOUBLE + 3 AS b FROM orders),
         r AS (SELECT l_orderkey, epoch(l_shipdate) / 86400.0::DOUBLE AS c, CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE + l_linenumber END AS d FROM lineitem)
         SELECT o_orderkey, count(*) AS n, sum(l_orderkey)::BIGINT AS sum_keys, round(sum(greatest(0.0::DOUBLE, a - c)), 3) AS offset_days FROM l JOIN r ON c <= b AND (d IS NULL OR d >= a) GROUP BY 1""",
@@ -375,28 +333,16 @@ QUERIES = {
         join_grid_radius,
         """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings)
         SELECT a.vec_id, count(*) AS n, sum(b.vec_id)::BIGINT AS sum_ids, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS farthest
-        FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6.0 WHERE a.vec_id % 10 = 0 GROUP BY 1""",
-    ),
-    "join_grid_radius_all": Query(
-        join_grid_radius_all,
-        """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings)
-        SELECT a.vec_id, count(*) AS n, sum(b.vec_id)::BIGINT AS sum_ids, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS farthest
         FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6.0 GROUP BY 1""",
     ),
     "dedup_exact": Query(dedup_exact, "SELECT doc_id, source, text_md5 FROM (SELECT doc_id, source, md5(text) AS text_md5, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"),
     "dedup_keep_latest": Query(dedup_keep_latest, "SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "dedup_near_bands": Query(
         dedup_near_bands,
-        f"""WITH h AS (SELECT min(doc_id) AS id, {_SHORT} AS h FROM documents GROUP BY 2)
-        SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 1""",
-    ),
-    "components_min_label": Query(
-        components_min_label,
-        """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_orderkey % 7 = 0),
-        s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
-        SELECT node, min(seen) AS component FROM r GROUP BY 1""",
+        f"""WITH h AS (SELECT min(doc_id) AS id, {_NEAR} AS h FROM documents GROUP BY 2)
+        SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 6""",
     ),
-    "components_all_edges": Query(components_all_edges, None),
+    "components_min_label": Query(components_min_label, None),
     "dedup_survivor_leakage": Query(dedup_survivor_leakage, f"WITH {_SURVIVORS} SELECT doc_id, dup_cluster, split, removed_reason FROM survivors"),
     "split_grouped_hash": Query(split_grouped_hash, f"WITH {BUCKETED} SELECT doc_id, group_id, split FROM bucketed"),
     "split_official": Query(split_official, f"WITH {_OFFICIAL} SELECT doc_id, split FROM official"),
@@ -448,13 +394,6 @@ QUERIES = {
     ),
     "agg_threshold_search": Query(
         agg_threshold_search,
-        f"""WITH {RECORDS}, r AS (SELECT lum_mean, CASE WHEN toxic = 1 THEN 'dark' WHEN frame_label = 0 THEN 'dim' ELSE 'bright' END AS label FROM records WHERE labeled),
-        g AS (SELECT DISTINCT unnest(quantile_cont(lum_mean, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS v FROM r)
-        SELECT round(a, 6) AS a, round(b, 6) AS b, round(agreement, 6) AS agreement FROM (SELECT x.v AS a, y.v AS b, avg((CASE WHEN lum_mean < x.v THEN 'dark' WHEN lum_mean < y.v THEN 'dim' ELSE 'bright' END = label)::INTEGER) AS agreement
-        FROM r, g x, g y WHERE x.v <= y.v GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1)""",
-    ),
-    "agg_threshold_search_99": Query(
-        agg_threshold_search_99,
         f"""WITH {RECORDS}, m AS (SELECT 'lum_mean' AS measure, lum_mean AS v, toxic, frame_label FROM records WHERE labeled UNION ALL SELECT 'clarity', clarity, toxic, frame_label FROM records WHERE labeled),
         r AS (SELECT measure, v, CASE WHEN toxic = 1 THEN 0 WHEN frame_label = 0 THEN 1 ELSE 2 END AS label FROM m),
         g AS (SELECT DISTINCT measure, unnest(quantile_cont(v, [{', '.join(f'{i / 100}' for i in range(1, 100))}])) AS v FROM r GROUP BY measure),
@@ -463,18 +402,13 @@ QUERIES = {
     ),
     "agg_array_explode_sizes": Query(
         agg_array_explode_sizes,
-        """WITH s AS (SELECT abs(unnest(embedding[1:8])::DOUBLE) * 4 AS side FROM embeddings), i AS (SELECT unnest([112, 160, 224, 448])::INTEGER AS input)
-        SELECT input, count(*) AS n, round(avg((side * input / 16.0::DOUBLE < 1)::INTEGER), 6) AS below_patch, round(median(side * input / 16.0::DOUBLE), 5) AS median_patches FROM s, i GROUP BY 1""",
-    ),
-    "agg_array_explode_all": Query(
-        agg_array_explode_all,
         """WITH s AS (SELECT abs(unnest(embedding)::DOUBLE) * 4 AS side FROM embeddings), i AS (SELECT unnest([112, 160, 224, 448])::INTEGER AS input)
         SELECT input, count(*) AS n, round(avg((side * input / 16.0::DOUBLE < 1)::INTEGER), 6) AS below_patch, round(median(side * input / 16.0::DOUBLE), 5) AS median_patches FROM s, i GROUP BY 1""",
     ),
     "agg_threshold_count_switch": Query(
         agg_threshold_count_switch,
         f"""WITH {BUCKETED}, c AS (SELECT count(*) FILTER (slice = 'clear') AS n FROM bucketed)
-        SELECT doc_id, slice FROM bucketed, c WHERE slice = 'clear' OR n < 50 ORDER BY {hash_sql('underwater', 'doc_id')}, doc_id LIMIT 80""",
+        SELECT doc_id, slice FROM bucketed, c WHERE slice = 'clear' OR n < 50 ORDER BY {hash_sql('underwater', 'doc_id')}, doc_id LIMIT 800""",
     ),
     "agg_histogram": Query(agg_histogram, f"WITH {RECORDS} SELECT source, least(39, floor(lum_mean * 40))::INTEGER AS bin, count(*) AS n FROM records GROUP BY 1, 2"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import metrics as M
-from .base import Query, table
+from .base import LICENSE_LINE, Query, table
 
 SCORED = """
 scored AS (SELECT l.doc_id, l.quality::INTEGER AS y, l.toxic::INTEGER AS toxic, d.source, d.lang, (d.n_chars % 101) / 100.0::DOUBLE AS score FROM labels l JOIN documents d USING (doc_id))"""
@@ -54,8 +54,7 @@ def agg_grouping_sets_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("block", F.lit("all"))
-    return M.bootstrap_ci(rows, ["block"], ["y", "score"], M.auc_of, reps=200)
+    return M.bootstrap_auc(scored(spark, sf_dir), ["lang"], "y", "score", reps=1000)
 
 
 def metric_rankme(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +78,11 @@ def logreg_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str_normalize_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "region").limit(0).select(F.lit("").alias("raw"))
-    cases = spark.createDataFrame([(x,) for x in LICENSE_CASES], "raw string").unionByName(cases)
-    return cases.select("raw", C.normalize_license(F.col("raw")).alias("license"), C.commercial_ok(C.normalize_license(F.col("raw"))).alias("commercial"))
+    """Licences that the lines of all documents tell, and a list of other ways to say them."""
+    lines = table(spark, sf_dir, "documents").select(F.regexp_extract("text", LICENSE_LINE, 1).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    cases = spark.createDataFrame([(x, 0) for x in LICENSE_CASES if x], "raw string, n long")
+    named = lines.unionByName(cases).withColumn("license", C.normalize_license(F.col("raw")))
+    return named.select("raw", "n", "license", C.commercial_ok(F.col("license")).alias("commercial"))
 
 
 #: Strings and the licences they tell.
@@ -196,7 +197,10 @@ QUERIES = {
     "logreg_probe": Query(logreg_probe, None),
     "str_normalize_license": Query(
         str_normalize_license,
-        "SELECT raw, license, license NOT IN ('unknown', 'CC-BY-NC-4.0', 'CC-BY-NC-SA-4.0', 'CC-BY-NC-ND-4.0') AS commercial FROM (VALUES " + ", ".join(f"('{raw}', '{lic}')" for raw, lic in LICENSE_CASES.items()) + ") t(raw, license)",
+        f"""WITH lines AS (SELECT regexp_extract(text, '{LICENSE_LINE}', 1) AS raw, count(*) AS n FROM documents GROUP BY 1),
+        named AS (SELECT raw, n, CASE raw WHEN 'CC BY-NC 4.0' THEN 'CC-BY-NC-4.0' WHEN 'CC BY 4.0' THEN 'CC-BY-4.0' WHEN 'CC0' THEN 'CC0-1.0' ELSE 'unknown' END AS license FROM lines
+          UNION ALL SELECT raw, 0, license FROM (VALUES {", ".join(f"('{raw}', '{lic}')" for raw, lic in LICENSE_CASES.items() if raw)}) t(raw, license))
+        SELECT raw, n, license, license NOT IN ('unknown', 'CC-BY-NC-4.0', 'CC-BY-NC-SA-4.0', 'CC-BY-NC-ND-4.0') AS commercial FROM named""",
     ),
     "str_url_parse": Query(
         str_url_parse,

@@ -58,12 +58,6 @@ def win_decay_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_sorted_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h"))
-    out = T.sorted_neighbourhood(rows, "source", "h", "doc_id", 3)
-    return out
-
-
-def win_sorted_neighbourhood_64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours up to 64 places apart."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h"))
     out = T.sorted_neighbourhood(rows, "source", "h", "doc_id", 64)
@@ -81,39 +75,18 @@ def win_best_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.smoothed(telemetry(spark, sf_dir).where("vehicle < 20"), "vehicle", "t", "event_id", "depth", 0.8)
-    return out.select("event_id", F.round("ema", 5).alias("ema"))
-
-
-def win_smoothed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """win_smoothed over every vehicle; recursive SQL is too slow for that, so a test folds by hand."""
     out = T.smoothed(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 0.8)
     return out.select("event_id", F.round("ema", 5).alias("ema"))
 
 
 def win_rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.rolling_percentiles(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 20, (0.5, 0.95))
-    return rows.select("event_id", F.round(F.col("rolling")[0], 5).alias("p50"), F.round(F.col("rolling")[1], 5).alias("p95"))
-
-
-def win_rolling_latency_200(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the last 200 rows."""
     rows = T.rolling_percentiles(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 200, (0.5, 0.95))
     return rows.select("event_id", F.round(F.col("rolling")[0], 5).alias("p50"), F.round(F.col("rolling")[1], 5).alias("p95"))
 
 
 def win_running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each score over the median of the scores before it, once there are 10."""
-    w = Window.partitionBy("vehicle").orderBy("t", "event_id").rowsBetween(-30, -1)
-    rows = telemetry(spark, sf_dir).withColumns({"m": F.percentile("depth", 0.5).over(w), "n": F.count("*").over(w)})
-    return rows.where("n >= 10 and m > 0").select("event_id", F.round(F.col("depth") / F.col("m"), 5).alias("novelty"))
-
-
-def win_running_median_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each score over the median of up to 200 scores before it, once there are 10."""
-    w = Window.partitionBy("vehicle").orderBy("t", "event_id").rowsBetween(-200, -1)
-    rows = telemetry(spark, sf_dir).withColumns({"m": F.percentile("depth", 0.5).over(w), "n": F.count("*").over(w)})
-    return rows.where("n >= 10 and m > 0").select("event_id", F.round(F.col("depth") / F.col("m"), 5).alias("novelty"))
+    return T.over_median(telemetry(spark, sf_dir), "vehicle", "t", "event_id", "depth", 200, 10).select("event_id", F.round("novelty", 5).alias("novelty"))
 
 
 def win_prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,14 +172,6 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400.0
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t0"), (F.col("l_quantity") * 10).cast("long").alias("bytes"), F.when(F.col("l_linenumber") < 7, day).alias("t1"), (F.col("l_returnflag") == "R").alias("animal"))
-    rows = rows.groupBy("l_suppkey", "t0").agg(F.max("bytes").alias("bytes"), F.max("t1").alias("t1"), F.max("animal").alias("animal"))
-    return T.retention(rows, "l_suppkey", "t0", "bytes", "t1", F.col("animal"), 100.0, 1500.0, 11000.0).select("l_suppkey", "t0", "delete")
-
-
-def retention_policy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """retention_policy of all segments."""
     day = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400.0
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t0"), (F.col("l_quantity") * 10).cast("long").alias("bytes"), F.when(F.col("l_linenumber") < 7, day).alias("t1"), (F.col("l_returnflag") == "R").alias("animal"))
     rows = rows.groupBy("l_suppkey", "t0").agg(F.max("bytes").alias("bytes"), F.max("t1").alias("t1"), F.max("animal").alias("animal"))
@@ -271,11 +236,6 @@ QUERIES = {
     "win_sorted_neighbourhood": Query(
         win_sorted_neighbourhood,
         """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS rn FROM documents)
-        SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.source = b.source AND b.rn - a.rn BETWEEN 1 AND 3""",
-    ),
-    "win_sorted_neighbourhood_64": Query(
-        win_sorted_neighbourhood_64,
-        """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS rn FROM documents)
         SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.source = b.source AND b.rn - a.rn BETWEEN 1 AND 64""",
     ),
     "win_debounce": Query(
@@ -287,29 +247,18 @@ QUERIES = {
     "win_best_frame": Query(win_best_frame, f"WITH {TELEMETRY}, n AS (SELECT *, row_number() OVER (PARTITION BY vehicle, state ORDER BY round(depth, 0) DESC, event_id) AS rn FROM telemetry) SELECT vehicle, state, event_id AS best_t, round(depth, 0) AS best_score FROM n WHERE rn = 1"),
     "win_smoothed": Query(
         win_smoothed,
-        f"""WITH RECURSIVE {TELEMETRY}, n AS (SELECT event_id, vehicle, t, depth, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry WHERE vehicle < 20),
+        f"""WITH RECURSIVE {TELEMETRY}, n AS (SELECT event_id, vehicle, t, depth, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry),
         r AS (SELECT event_id, vehicle, t, rn, depth AS ema FROM n WHERE rn = 1 UNION ALL
           SELECT n.event_id, n.vehicle, n.t, n.rn, r.ema + (1 - exp(-(n.t - r.t) / 0.8::DOUBLE)) * (n.depth - r.ema) FROM r JOIN n ON n.vehicle = r.vehicle AND n.rn = r.rn + 1)
         SELECT event_id, round(ema, 5) AS ema FROM r""",
     ),
-    "win_smoothed_all": Query(win_smoothed_all, None),
     "win_rolling_latency": Query(
         win_rolling_latency,
         f"""WITH {TELEMETRY} SELECT event_id, round(quantile_cont(depth, 0.5) OVER w, 5) AS p50, round(quantile_cont(depth, 0.95) OVER w, 5) AS p95 FROM telemetry
-        WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    ),
-    "win_rolling_latency_200": Query(
-        win_rolling_latency_200,
-        f"""WITH {TELEMETRY} SELECT event_id, round(quantile_cont(depth, 0.5) OVER w, 5) AS p50, round(quantile_cont(depth, 0.95) OVER w, 5) AS p95 FROM telemetry
         WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
     ),
     "win_running_median": Query(
         win_running_median,
-        f"""WITH {TELEMETRY}, m AS (SELECT event_id, depth, median(depth) OVER w AS m, count(*) OVER w AS n FROM telemetry WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
-        SELECT event_id, round(depth / m, 5) AS novelty FROM m WHERE n >= 10 AND m > 0""",
-    ),
-    "win_running_median_200": Query(
-        win_running_median_200,
         f"""WITH {TELEMETRY}, m AS (SELECT event_id, depth, median(depth) OVER w AS m, count(*) OVER w AS n FROM telemetry WINDOW w AS (PARTITION BY vehicle ORDER BY t, event_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))
         SELECT event_id, round(depth / m, 5) AS novelty FROM m WHERE n >= 10 AND m > 0""",
     ),
@@ -367,12 +316,6 @@ QUERIES = {
     ),
     "retention_policy": Query(
         retention_policy,
-        """WITH s AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS t0, max((l_quantity * 10)::BIGINT) AS bytes, max(CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE END) AS t1, bool_or(l_returnflag = 'R') AS animal FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2),
-        o AS (SELECT *, coalesce(t1 < 11000 AND NOT animal, FALSE) AS open FROM s)
-        SELECT l_suppkey, t0, open AND 100 + coalesce(sum(CASE WHEN open THEN bytes ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY t0, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1500 AS delete FROM o""",
-    ),
-    "retention_policy_all": Query(
-        retention_policy_all,
         """WITH s AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS t0, max((l_quantity * 10)::BIGINT) AS bytes, max(CASE WHEN l_linenumber < 7 THEN epoch(l_shipdate) / 86400.0::DOUBLE END) AS t1, bool_or(l_returnflag = 'R') AS animal FROM lineitem GROUP BY 1, 2),
         o AS (SELECT *, coalesce(t1 < 11000 AND NOT animal, FALSE) AS open FROM s)
         SELECT l_suppkey, t0, open AND 100 + coalesce(sum(CASE WHEN open THEN bytes ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY t0, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1500 AS delete FROM o""",

@@ -38,7 +38,7 @@ def test_smoothed_all_vehicles(spark):
     from loomcast.plans.base import telemetry
 
     rows = [tuple(r) for r in telemetry(spark, SF).select("vehicle", "t", "event_id", "depth").collect()]
-    got = {r.event_id: r.ema for r in catalogue.queries()["win_smoothed_all"](spark, SF).collect()}
+    got = {r.event_id: r.ema for r in catalogue.queries()["win_smoothed"](spark, SF).collect()}
     assert len(got) == 10000 and got == pytest.approx(folded(rows, 0.8), abs=2e-5)
 
 
@@ -60,7 +60,7 @@ def test_overlap_totals(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name, rows", [("join_interval_overlap_all", 15000), ("retention_policy_all", 60000)])
+@pytest.mark.parametrize("name, rows", [("join_interval_overlap", 15000), ("retention_policy", 60000)])
 def test_all_rows(spark, name, rows):
     from .oracle import compare, connect
 
@@ -95,10 +95,10 @@ def test_components_hard(spark):
 
 
 @needs_tables
-def test_components_all_edges(spark):
+def test_components_min_label(spark):
     small = SF.replace("sf0.01", "sf0.001")
     edges = [(r.l_orderkey, r.l_partkey + 10000000) for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
-    got = catalogue.queries()["components_all_edges"](spark, small).collect()
+    got = catalogue.queries()["components_min_label"](spark, small).collect()
     assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == union_find(edges)
 
 
@@ -109,9 +109,9 @@ def test_whole_arrays_and_points(spark):
     con, rows = connect(SF), spark.read.parquet(f"{SF}/embeddings.parquet")
     n, components = rows.count(), rows.selectExpr("sum(size(embedding))").first()[0]
     queries, sql = catalogue.queries(), catalogue.oracle_sql()
-    assert {r.n for r in queries["agg_array_explode_all"](spark, SF).collect()} == {components}
-    assert compare(queries["agg_array_explode_all"](spark, SF), con, sql["agg_array_explode_all"]) == 4
-    assert compare(queries["join_grid_radius_all"](spark, SF), con, sql["join_grid_radius_all"]) == n
+    assert {r.n for r in queries["agg_array_explode_sizes"](spark, SF).collect()} == {components}
+    assert compare(queries["agg_array_explode_sizes"](spark, SF), con, sql["agg_array_explode_sizes"]) == 4
+    assert compare(queries["join_grid_radius"](spark, SF), con, sql["join_grid_radius"]) == n
 
 
 def test_threshold_search(spark):
@@ -135,7 +135,7 @@ def test_threshold_search(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["agg_threshold_search_99", "win_sorted_neighbourhood_64", "win_rolling_latency_200", "win_running_median_200"])
+@pytest.mark.parametrize("name", ["agg_threshold_search", "win_sorted_neighbourhood", "win_rolling_latency", "win_running_median"])
 def test_reference_sizes(spark, name):
     from .oracle import compare, connect
 
