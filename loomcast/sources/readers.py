@@ -6,6 +6,7 @@ be of any store that Spark reads.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -117,7 +118,7 @@ def make_record(df: DataFrame, source: str, license_clause: bool = False, **valu
 
 COCO = T.StructType(
     [
-        T.StructField("images", T.ArrayType(T.StructType([*[T.StructField(n, T.StringType()) for n in ("file_name", "mask_file", "group", "location", "datetime")], T.StructField("id", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))),
+        T.StructField("images", T.ArrayType(T.StructType([*[T.StructField(n, T.StringType()) for n in ("file_name", "mask_file", "group", "split", "condition", "location", "datetime")], T.StructField("has_animal", T.BooleanType()), T.StructField("id", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))),
         T.StructField("annotations", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("image_id", T.StringType()), T.StructField("category_id", T.StringType()), T.StructField("bbox", BOX), T.StructField("iscrowd", T.IntegerType())]))),
         T.StructField("categories", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())]))),
     ]
@@ -129,29 +130,42 @@ def _coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return tuple(raw.select(F.inline(F.col(c))) for c in ("images", "annotations", "categories"))
 
 
-def read_coco(spark: SparkSession, path: str, source: str, license: str, animals: Sequence[str] | None = None, exhaustive: bool = True, split: str | None = None, clause: bool = False) -> DataFrame:
+def below(folder: str, file: Column) -> Column:
+    """The path of a file relative to a folder above it, however either writes its scheme."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/")
+    return F.regexp_replace(file, rf"^.*?{re.escape(plain)}/+", "")
+
+
+def read_coco(spark: SparkSession, path: str, source: str, license: str, animals: Sequence[str] | None = None, exhaustive: bool = True, split: str | None = None, clause: bool = False, images_dir: str | None = None, prefix: str = "") -> DataFrame:
     """Images and boxes of a COCO file. Crowds and annotations without a box are left out; all
-    categories are animals unless some are named. Boxes become normalised corners."""
+    categories are animals unless some are named. Boxes become normalised corners.
+
+    An image is known by `prefix` and its file name, as numbers start anew in each file; its own split
+    goes before `split`. With `images_dir`, images and masks that are not there are left out, and sizes
+    that the file does not tell are those of the images.
+    """
     images, annotations, categories = _coco_tables(spark, path)
     named = F.lit(True) if animals is None else F.col("name").isin(*animals)
     boxes = annotations.where((F.coalesce("iscrowd", F.lit(0)) == 0) & (F.size("bbox") == 4)).select(F.col("image_id"), F.col("category_id"), F.col("id").alias("annotation_id"), "bbox")
     boxes = boxes.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id", "left").withColumn("animal", F.coalesce(named, F.lit(False)))
     gathered = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("annotation_id", "bbox", F.coalesce("name", F.col("category_id")).alias("name"), "animal"))).alias("found"))
+    if images_dir is not None:
+        images = _present(spark, images, images_dir)
     rows = images.withColumnRenamed("id", "image_key").join(gathered, F.col("image_key") == F.col("image_id"), "left").withColumn("found", F.coalesce("found", F.array().cast(gathered.schema["found"].dataType)))
-    path_ = C.safe_relative(F.col("file_name"))
+    path_ = C.safe_relative(F.concat(F.lit(prefix), F.col("file_name")))
     base = C.stem(path_)
     video = C.video_id(path_)
     return make_record(
         rows,
         source,
         clause,
-        image_id=F.concat(F.lit(f"{source}:"), F.col("image_key")),
+        image_id=F.concat(F.lit(f"{source}:{prefix}"), F.col("file_name")),
         path=path_,
         group_id=F.concat(F.lit(f"{source}:"), F.coalesce("group", video)),
         license=F.lit(license),
         width=F.col("width"),
         height=F.col("height"),
-        split_hint=F.lit(split),
+        split_hint=F.coalesce("split", F.lit(split)),
         boxes=F.transform("found", lambda x: C.xywh_to_corners(x["bbox"], F.col("width"), F.col("height"))),
         box_labels=F.transform("found", lambda x: x["name"]),
         box_is_animal=F.transform("found", lambda x: x["animal"]),
@@ -159,9 +173,23 @@ def read_coco(spark: SparkSession, path: str, source: str, license: str, animals
         frame_label=C.frame_label(F.exists("found", lambda x: x["animal"]), F.lit(exhaustive)),
         mask_path=F.col("mask_file"),
         video_id=F.when(video != base, video),
+        extra=F.to_json(F.struct("condition", "has_animal")),
     )
 
 
+def _present(spark: SparkSession, images: DataFrame, folder: str) -> DataFrame:
+    """The listed images that `folder` holds, with masks and sizes that are known."""
+    there = list_files(spark, folder, IMAGE_ENDINGS).select(below(folder, F.col("file")).alias("file_name"))
+    found = images.join(there, "file_name", "left_semi")
+    masks = there.select(F.col("file_name").alias("mask_file"), F.lit(True).alias("__mask"))
+    found = found.join(masks, "mask_file", "left").withColumn("mask_file", F.when(F.col("__mask"), F.col("mask_file"))).drop("__mask")
+    unsized = F.col("width").isNull() | F.col("height").isNull()
+    if not found.where(unsized).limit(1).count():
+        return found
+    sizes = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder).select(below(folder, F.col("image.origin")).alias("file_name"), F.col("image.width").alias("__w"), F.col("image.height").alias("__h"))
+    return found.join(sizes, "file_name", "left").withColumns({"width": F.coalesce("width", "__w"), "height": F.coalesce("height", "__h")}).drop("__w", "__h")
+
+
 #: Category names that say a camera saw nothing.
 EMPTY_NAMES = ("empty", "blank", "none")
 
@@ -190,11 +218,16 @@ def read_camera_traps(spark: SparkSession, path: str, source: str, license: str,
     )
 
 
-def read_yolo(spark: SparkSession, folder: str, source: str, license: str, names: Mapping[int, str], animals: Sequence[str] | None = None, exhaustive: bool = True) -> DataFrame:
-    """Label files of `class cx cy w h` lines beside images of the same name. Shorter lines are skipped;
-    a class without a name is told by its number. Boxes are cut to the image. Spark does not read
-    files of no bytes; an image without objects needs a line feed."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def read_yolo(spark: SparkSession, folder: str, source: str, license: str, names: Mapping[int, str], animals: Sequence[str] | None = None, exhaustive: bool = False, images_dir: str | None = None, split: str | None = None) -> DataFrame:
+    """Label files of `class cx cy w h` lines. Shorter lines are skipped; a class without a name is told
+    by its number. Boxes are cut to the image.
+
+    With `images_dir`, a row for each image there, with the labels of the same path below `folder` if
+    there are any; without, a row for each label file. An image is known by its path below its folder.
+    One without an animal is negative only if boxes are `exhaustive` and it has a label file; Spark
+    reads no files of no bytes, so there an image without objects needs a line feed.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(below(folder, F.col("_metadata.file_path")).alias("file"), "value")
     tokens = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.split(F.trim(x), r"\s+")), lambda t: F.size(t) >= 5)
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in (str(pair[0]), pair[1])]) if names else F.create_map().cast("map<string,string>")
     name = lambda t: F.coalesce(F.try_element_at(table, t[0]), t[0])
@@ -204,22 +237,28 @@ def read_yolo(spark: SparkSession, folder: str, source: str, license: str, names
         cx, cy, w, h = (t[i].try_cast("double") for i in range(1, 5))
         return F.array(edge(cx - w / 2), edge(cy - h / 2), edge(cx + w / 2), edge(cy + h / 2))
 
-    rows = files.withColumn("tokens", tokens)
+    bare = F.regexp_replace("file", r"\.[^./]*$", "").alias("bare")
+    labels = files.select(bare, tokens.alias("tokens"), F.lit(True).alias("labelled"))
+    if images_dir is not None:
+        images = list_files(spark, images_dir, IMAGE_ENDINGS).select(F.col("file").alias("path"), below(images_dir, F.col("file")).alias("file"))
+        rows = images.withColumn("bare", bare).join(labels, "bare", "left")
+        rows = rows.withColumns({"tokens": F.coalesce("tokens", F.array().cast("array<array<string>>")), "labelled": F.coalesce("labelled", F.lit(False)), "known": F.col("file")})
+    else:
+        rows = labels.withColumns({"known": F.col("bare"), "path": F.lit(None).cast("string")})
     is_animal = (lambda t: F.lit(True)) if animals is None else (lambda t: name(t).isin(*animals))
-    base = C.stem(F.col("file"))
     return make_record(
         rows,
         source,
-        image_id=F.concat(F.lit(f"{source}:"), base),
-        path=F.regexp_replace("file", r"\.txt$", ".jpg"),
-        group_id=F.concat(F.lit(f"{source}:"), C.video_id(F.col("file"))),
+        image_id=F.concat(F.lit(f"{source}:"), F.col("known")),
+        path=F.col("path"),
+        group_id=F.concat(F.lit(f"{source}:"), C.video_id(F.col("known"))),
         license=F.lit(license),
-        split_hint=C.split_from_path(F.col("file")),
+        split_hint=F.coalesce(F.lit(split), C.split_from_path(F.concat(F.lit("/"), F.col("known")))),
         boxes=F.transform("tokens", corners),
         box_labels=F.transform("tokens", name),
         box_is_animal=F.transform("tokens", is_animal),
         boxes_exhaustive=F.lit(exhaustive),
-        frame_label=C.frame_label(F.exists("tokens", is_animal), F.lit(exhaustive)),
+        frame_label=C.frame_label(F.exists("tokens", is_animal), F.lit(exhaustive) & F.col("labelled")),
     )
 
 
@@ -339,7 +378,7 @@ REGISTRY = {"coco": read_coco, "camera_traps": read_camera_traps, "yolo": read_y
 
 
 def read_source(spark: SparkSession, kind: str, path: str, source: str, license: str, terms: Mapping[str, bool] | None = None, accepted: Sequence[str] = (), **options) -> DataFrame:
-    """The records of one source of a registered kind, once its terms are accepted."""
+    """The records of one source of a registered layout, once its terms are accepted."""
     require_terms(source, terms or {}, accepted)
     if kind not in REGISTRY:
         raise KeyError(f"no reader for {kind}; there are {', '.join(REGISTRY)}")

@@ -23,11 +23,11 @@ def test_coco(spark, tmp_path):
         },
     )
     rows = {r.image_id: r for r in readers.read_coco(spark, path, "s", "CC BY 4.0", ["fish"], split="train").collect()}
-    one, two = rows["s:1"], rows["s:2"]
+    one, two = rows["s:v_frame_001.jpg"], rows["s:b\\c.jpg"]
     assert one.boxes == [[0.1, 0.1, 0.3, 0.3], [0.0, 0.0, 1.0, 0.2]] and one.box_is_animal == [True, False] and one.box_labels == ["fish", "rock"]
     assert (one.frame_label, one.group_id, one.video_id, one.license, one.train_commercial_ok, one.labeled) == (1, "s:g", "v", "CC-BY-4.0", True, True)
     assert (two.frame_label, two.boxes, two.path, two.group_id, two.split_hint) == (0, [], "b/c.jpg", "s:c", "train")
-    loose = readers.read_coco(spark, path, "s", "x", ["fish"], exhaustive=False).where("image_id = 's:2'").first()
+    loose = readers.read_coco(spark, path, "s", "x", ["fish"], exhaustive=False).where("path = 'b/c.jpg'").first()
     assert loose.frame_label == -1 and not loose.labeled and loose.license == "unknown"
 
 
@@ -44,9 +44,9 @@ def test_camera_traps(spark, tmp_path):
 def test_yolo(spark, tmp_path):
     write(tmp_path / "labels/train/a.txt", "0 0.5 0.5 0.2 0.4\n7 0.0 0.0 0.5 0.5\nbroken 1 2\n")
     write(tmp_path / "labels/train/b.txt", "\n")
-    rows = {r.image_id: r for r in readers.read_yolo(spark, str(tmp_path / "labels"), "y", "CC0", {0: "fish"}, ["fish"]).collect()}
-    assert rows["y:a"].boxes == [[0.4, 0.3, 0.6, 0.7], [0.0, 0.0, 0.25, 0.25]] and rows["y:a"].box_labels == ["fish", "7"]
-    assert (rows["y:a"].frame_label, rows["y:b"].frame_label, rows["y:a"].split_hint) == (1, 0, "train")
+    rows = {r.image_id: r for r in readers.read_yolo(spark, str(tmp_path / "labels"), "y", "CC0", {0: "fish"}, ["fish"], exhaustive=True).collect()}
+    assert rows["y:train/a"].boxes == [[0.4, 0.3, 0.6, 0.7], [0.0, 0.0, 0.25, 0.25]] and rows["y:train/a"].box_labels == ["fish", "7"]
+    assert (rows["y:train/a"].frame_label, rows["y:train/b"].frame_label, rows["y:train/a"].split_hint) == (1, 0, "train")
 
 
 def test_manifest_and_listing(spark, tmp_path):
@@ -126,3 +126,48 @@ def test_reports(spark, tmp_path):
     writers.fan_out([lambda b: seen.append(b.count()), lambda b: writers.append_log(b, str(tmp_path / "log"))])(df, 0)
     assert seen == [3] and spark.read.json(str(tmp_path / "log")).count() == 3
     assert json.loads(writers.curation_log({"a": 1}, {}, [{"step": "x"}]))["steps"] == [{"step": "x"}]
+
+
+def png(path, rows):
+    """A small colour PNG file."""
+    import struct
+    import zlib
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in rows)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_named_sources(spark, tmp_path):
+    from loomcast.sources import dispatch
+
+    assert len(dispatch.SOURCES) == 11
+    with pytest.raises(readers.LicenseNotAccepted):
+        dispatch.fetch(spark, "kakadu", "/nowhere")
+    with pytest.raises(KeyError):
+        dispatch.fetch(spark, "nothing")
+    rows = dispatch.fetch(spark, "synthetic", n=9).collect()
+    assert len(rows) == 9 and {r.frame_label for r in rows} == {0, 1} and all(r.labeled for r in rows)
+    for split in ("train", "val"):  # two files with the same numbers, one image missing, one without a size
+        png(tmp_path / f"k/{split}_0001.png", [[(1, 2, 3)] * 4] * 2)
+        write(tmp_path / f"k/{split}.json", {"images": [{"id": 1, "file_name": f"{split}_0001.png", "split": "test" if split == "val" else None}, {"id": 2, "file_name": "gone.png", "width": 4, "height": 2}], "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [1, 0, 2, 1]}], "categories": [{"id": 1, "name": "fish"}]})
+    out = dispatch.fetch(spark, "kakadu", str(tmp_path / "k"), "CC-BY-3.0-AU")
+    got = {r.image_id: (r.width, r.height, r.boxes, r.split_hint, r.frame_label) for r in readers.union_sources([out], "image_id").collect()}
+    assert got == {"kakadu:train/train_0001.png": (4, 2, [[0.25, 0.0, 0.75, 0.5]], "train", 1), "kakadu:val/val_0001.png": (4, 2, [[0.25, 0.0, 0.75, 0.5]], "test", 1)}
+    pages = spark.createDataFrame([(json.dumps(x),) for x in ({"uuid": "u1", "url": "http://h/EX1_frame_3.png", "width": 100, "height": 50, "boundingBoxes": [{"x": 10, "y": 5, "width": 20, "height": 10, "concept": "squid"}, {"x": 0, "y": 0, "width": 1, "height": 1, "concept": "kelp", "rejected": True}]}, {"uuid": "u1", "url": "http://h/again.png"}, {"uuid": "u2"}, {"uuid": "u3", "url": "http://h/a/1234.png", "latitude": 36.74, "longitude": -122.01, "timestamp": "2020-05-01T10:00", "contributorsEmail": "a@b", "license": "CC0"})], "value string")
+    found = {r.image_id: r for r in dispatch.site_images(pages, "fathomnet", dispatch.SOURCES["fathomnet"]).collect()}
+    assert set(found) == {"fathomnet:u1", "fathomnet:u3"} and found["fathomnet:u3"].license == "CC0-1.0" and found["fathomnet:u3"].train_commercial_ok
+    manifest = write(tmp_path / "m.csv", "url,dive,notes\nhttp://h/EX2107_DIVE03_20210711T1.mp4,,x\n")
+    one = dispatch.fetch(spark, "noaa_oer", manifest, "public-domain-us-gov").first()
+    assert one.group_id == "noaa_oer:EX2107:DIVE03" and one.url.endswith(".mp4")
+
+
+def test_yolo_images_without_labels(spark, tmp_path):
+    for name in ("train/1", "val/1", "val/2"):
+        png(tmp_path / f"images/{name}.png", [[(1, 2, 3)] * 2])
+    write(tmp_path / "labels/train/1.txt", "0 0.5 0.5 0.2 0.4\n")
+    write(tmp_path / "labels/val/1.txt", "\n")
+    read = lambda **o: {r.image_id: r.frame_label for r in readers.read_yolo(spark, str(tmp_path / "labels"), "y", "CC0", {0: "fish"}, images_dir=str(tmp_path / "images"), **o).collect()}
+    assert read() == {"y:train/1.png": 1, "y:val/1.png": -1, "y:val/2.png": -1}
+    assert read(exhaustive=True) == {"y:train/1.png": 1, "y:val/1.png": 0, "y:val/2.png": -1}
