@@ -209,7 +209,7 @@ def site_group(prefix: str, url: Column, timestamp_text: Column, latitude: Colum
     """The video an image is a frame of, else contributor, day and place rounded to a tenth of a degree."""
     name = url_basename(url)
     video = video_id(name)
-    place = lambda c: F.when(c.isNull(), "na").otherwise(F.format_string("%.1f", c))
+    place = lambda c: F.when(c.isNull(), "na").otherwise(F.format_string("%.1f", F.bround(c, 1)))
     where = F.concat(F.coalesce(contributor, F.lit("na")), F.lit(":"), day_of(timestamp_text), F.lit(":"), place(latitude), F.lit(","), place(longitude))
     return F.concat(F.lit(f"{prefix}:"), F.when((video != stem(name)) | F.startswith(F.upper(name), F.lit("EX")), video).otherwise(where))
 
@@ -329,6 +329,30 @@ def warmup_cosine(step: Column, warmup: int, total: int, peak: float, start: flo
     return F.when(step < warmup, up).otherwise(final + (peak - final) * 0.5 * (1.0 + F.cos(F.lit(3.141592653589793) * share)))
 
 
+def cosine_between(step: Column, total: int, start: float, end: float) -> Column:
+    """Half a cosine from `start` to `end`, as of a weight decay."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), step / float(max(1, total))))
+    return end + (start - end) * 0.5 * (1.0 + F.cos(F.lit(3.141592653589793) * share))
+
+
+def linear_between(step: Column, total: int, start: float, end: float) -> Column:
+    """A straight line from `start` to `end`, as of the momentum of averaged weights."""
+    return start + (end - start) * F.least(F.lit(1.0), step / float(max(1, total)))
+
+
+def habitat(id_: Column) -> Column:
+    """The last folder of an image's id that names no class, else its first part."""
+    parts = F.filter(F.split(id_, "/"), lambda p: ~F.lower(p).isin("valid", "empty", "images", "masks"))
+    return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(parts[0])
+
+
+def date_in_name(name: Column) -> Column:
+    """The first date and time, yyyymmdd and hhmmss in any punctuation, that a file name holds, as
+    `yyyy-mm-dd hh:mm:ss`; null without one."""
+    found = lambda i: F.regexp_extract(name, r"(20\d{2})[-_.]?(\d{2})[-_.]?(\d{2})[-_. T]?(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})", i)
+    return F.when(found(1) != "", F.format_string("%s-%s-%s %s:%s:%s", *[found(i) for i in range(1, 7)]))
+
+
 def storage_hours(free_bytes: Column, bits_per_s: float) -> Column:
     return free_bytes * 8.0 / bits_per_s / 3600.0
 

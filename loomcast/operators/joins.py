@@ -186,3 +186,16 @@ def three_way(parents: DataFrame, children: DataFrame, clips: DataFrame, key: st
     out = parents.join(boxed, key, "left").join(listed, clip, "left")
     outcome = F.when(F.col("__completed").isNull(), "dropped").when(F.coalesce("__boxed", F.lit(False)), "boxed").when(F.col("__completed"), "empty").otherwise("dropped")
     return out.withColumn("outcome", outcome).drop("__boxed", "__completed")
+
+
+def pick_near(found: DataFrame, keys: list[str], x: str, y: str, mass: str, tie: str, at: tuple[Column, Column] | None = None, gate: float = 0.35) -> DataFrame:
+    """One of the places `found` of each key: the nearest to `at` within `gate`, else the heaviest; of
+    equals the first by `tie`. One aggregate, as the order of preference is one value."""
+    rows = found
+    if at is None:
+        worth = F.struct(F.lit(0).alias("near"), F.lit(0.0).alias("off"), F.col(mass).alias("mass"), (-F.col(tie)).alias("tie"))
+    else:
+        off = F.hypot(F.col(x) - at[0], F.col(y) - at[1])
+        near = off <= gate
+        worth = F.struct(near.cast("int").alias("near"), F.when(near, -off).otherwise(0.0).alias("off"), F.when(near, 0.0).otherwise(F.col(mass)).alias("mass"), (-F.col(tie)).alias("tie"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(tie, x, y, mass), worth).alias("__p")).select(*keys, "__p.*")

@@ -53,3 +53,15 @@ def choose_bands(df: DataFrame, key: str, seed: int, prior_per_min: float = PRIO
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, "band", "events", "exposure", "prior", "reachable").groupBy(key).applyInPandas(run, f"`{key}` {kind}, band double")
+
+
+def reachable(band: Column, low: Column, high: Column, width: float = 10.0) -> Column:
+    """Whether a band's middle is within half a band of the depths that can be reached."""
+    return band.between(low - width / 2, high + width / 2)
+
+
+def best_band(df: DataFrame, key: str, prior_per_min: float = PRIOR_PER_MIN, prior_s: float = PRIOR_S) -> DataFrame:
+    """(key, band): choose_bands without the draw: the reachable band with the largest expected rate, the
+    shallowest of equals; where none is reachable, of all."""
+    rate = (F.col("events") + prior_per_min / 60.0 * prior_s * F.col("prior")) / (F.col("exposure") + prior_s)
+    return df.groupBy(key).agg(F.max_by("band", F.struct(F.col("reachable").cast("int"), rate, -F.col("band"))).alias("band"))

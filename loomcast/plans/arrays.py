@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import images, patches
 from .base import Query, table
+from .evaluation import _AUC
 
 
 def _heat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +89,24 @@ QUERIES = {
         b AS (SELECT *, CASE WHEN sqrt(x * x + y * y) > 1e-12 THEN tan(asin(sin(atan(sqrt(x * x + y * y))) / 1.333::DOUBLE)) / sqrt(x * x + y * y) ELSE 1 END AS s FROM p)
         SELECT vec_id, round(degrees(atan(x * s)), 5) AS yaw, round(degrees(atan2(-y * s, sqrt(1 + x * s * x * s))), 5) AS pitch FROM b""",
     ),
-    "metric_patch_block": Query(metric_patch_block, None),
+    "metric_patch_block": Query(
+        metric_patch_block,
+        f"""WITH {_HEAT}, c AS (SELECT vec_id, label, unnest(heat) AS score, generate_subscripts(heat, 1) - 1 AS i FROM heat),
+        r AS (SELECT *, (i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5)::INTEGER AS y, greatest(0, score - 0.1::DOUBLE) ** 2 AS w FROM c),
+        pooled AS ({_AUC.format(by="label, ", part="label", table="r", group="GROUP BY label")}),
+        each AS ({_AUC.format(by="label, vec_id, ", part="label, vec_id", table="r", group="GROUP BY label, vec_id").replace("round(won / (p * q), 6)", "won / (p * q)")}),
+        within AS (SELECT label, avg(auc) AS w FROM each WHERE NOT isnan(auc) GROUP BY 1),
+        place AS (SELECT label, vec_id, CASE WHEN sum(w) > 1e-12 THEN sum(w * (i % 8 + 0.5::DOUBLE) / 8) / sum(w) END AS cx, CASE WHEN sum(w) > 1e-12 THEN sum(w * (i // 8 + 0.5::DOUBLE) / 8) / sum(w) END AS cy, sqrt(avg((score >= 0.5)::INTEGER)) AS size, arg_max(y, score) AS hit FROM r GROUP BY 1, 2),
+        told AS (SELECT *, sqrt(((cx - 0.5::DOUBLE) * 102) ** 2 + ((cy - 0.5::DOUBLE) * 67) ** 2) AS err, CASE WHEN size > 0 AND cx IS NOT NULL THEN abs(ln(size / 0.5::DOUBLE)) END AS off FROM place),
+        errs AS (SELECT label, avg((cx IS NOT NULL)::INTEGER) AS found, median(err) AS m, quantile_cont(err, 0.9) AS p, median(off) AS s, avg(hit) FILTER (cx IS NOT NULL) AS h FROM told GROUP BY 1)
+        SELECT label, round(auc, 5) AS patch_auc, round(w, 5) AS within_auc, round(found, 5) AS found, round(m, 5) AS error_median, round(p, 5) AS error_p90, round(s, 5) AS size_error, round(h, 5) AS hit_rate FROM pooled JOIN within USING (label) JOIN errs USING (label)""",
+    ),
     "array_blobs": Query(array_blobs, None),
-    "array_coverage": Query(array_coverage, None),
+    "array_coverage": Query(
+        array_coverage,
+        """WITH b AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS x0, abs(embedding[2]::DOUBLE) AS y0, least(1.0::DOUBLE, abs(embedding[1]::DOUBLE) + 0.3::DOUBLE) AS x1, least(1.0::DOUBLE, abs(embedding[2]::DOUBLE) + abs(embedding[3]::DOUBLE)) AS y1 FROM embeddings),
+        c AS (SELECT (range + 0.5::DOUBLE) / 64 AS u FROM range(64))
+        SELECT vec_id, round((SELECT count(*) FROM c WHERE u >= x0 AND u < x1) * (SELECT count(*) FROM c WHERE u >= y0 AND u < y1) / 256.0::DOUBLE, 5) AS patches FROM b""",
+    ),
     "image_metrics": Query(image_metrics, None),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrays, curation, evaluation, ordered, streams
+from . import arrays, curation, evaluation, ordered, rows, streams
 
-ALL = {**curation.QUERIES, **ordered.QUERIES, **evaluation.QUERIES, **streams.QUERIES, **arrays.QUERIES}
+ALL = {**curation.QUERIES, **ordered.QUERIES, **evaluation.QUERIES, **streams.QUERIES, **arrays.QUERIES, **rows.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

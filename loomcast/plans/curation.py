@@ -363,7 +363,16 @@ QUERIES = {
     ),
     "cap_per_group": Query(cap_per_group, f"WITH {RECORDS} SELECT doc_id, group_id FROM (SELECT doc_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {hash_sql('cap', 'doc_id')}, doc_id) AS rn FROM records) WHERE rn <= 2"),
     "weights_bucket": Query(weights_bucket, f"WITH {_WEIGHTS} SELECT doc_id, split, round(raw_weight, 6) AS raw_weight FROM weighted"),
-    "weights_source_cap": Query(weights_source_cap, None),
+    "weights_source_cap": Query(
+        weights_source_cap,
+        f"""WITH RECURSIVE {_WEIGHTS},
+        sums AS (SELECT sum(raw_weight) FILTER (source = 'src0') AS a, sum(raw_weight) FILTER (source = 'src1') AS b, sum(raw_weight) FILTER (source NOT IN ('src0', 'src1')) AS o, count(*) AS n FROM weighted WHERE split = 'train'),
+        steps(k, a, b, o, tot) AS (SELECT 0, a, b, o, a + b + o FROM sums UNION ALL
+          SELECT k + 1, CASE WHEN k % 2 = 0 AND a / tot > 0.02::DOUBLE + 1e-9 THEN 0.02::DOUBLE * (tot - a) / (1 - 0.02::DOUBLE) ELSE a END,
+                 CASE WHEN k % 2 = 1 AND b / tot > 0.03::DOUBLE + 1e-9 THEN 0.03::DOUBLE * (tot - b) / (1 - 0.03::DOUBLE) ELSE b END, o, CASE WHEN k % 2 = 1 THEN a + CASE WHEN b / tot > 0.03::DOUBLE + 1e-9 THEN 0.03::DOUBLE * (tot - b) / (1 - 0.03::DOUBLE) ELSE b END + o ELSE tot END FROM steps WHERE k < 10),
+        told AS (SELECT s.a / z.a AS fa, s.b / z.b AS fb, (s.a + s.b + s.o) / z.n AS mean FROM steps s, sums z WHERE s.k = 10)
+        SELECT source, round(sum(CASE WHEN split = 'train' THEN raw_weight * CASE source WHEN 'src0' THEN fa WHEN 'src1' THEN fb ELSE 1 END / mean ELSE 0 END), 4) AS weight, count(*) AS n FROM weighted, told GROUP BY 1""",
+    ),
     "weighted_draw": Query(
         weighted_draw,
         f"""WITH w AS (SELECT doc_id, (n_chars % 50)::DOUBLE AS w FROM documents WHERE n_chars % 50 > 0),

@@ -83,7 +83,15 @@ QUERIES = {
     "stream_dedup": Query(stream_dedup, "SELECT DISTINCT event_id, user_id, event_type FROM events"),
     "state_phases": Query(state_phases, None),
     "stream_phases": Query(stream_phases, None),
-    "state_gate": Query(state_gate, None),
+    "state_gate": Query(
+        state_gate,
+        f"""WITH RECURSIVE {TELEMETRY}, n AS (SELECT event_id, vehicle, t, k * 7919 AS h, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry),
+        r AS (SELECT event_id, vehicle, rn, CASE WHEN t + 1e-6 < 0 THEN 0.0::DOUBLE ELSE greatest(1.0::DOUBLE, t + 0.5::DOUBLE) END AS due, CASE WHEN t + 1e-6 >= 0 THEN h END AS last, CASE WHEN t + 1e-6 < 0 THEN 'rate' END AS why FROM n WHERE rn = 1 UNION ALL
+          SELECT n.event_id, n.vehicle, n.rn, CASE WHEN n.t + 1e-6 < r.due THEN r.due ELSE greatest(r.due + 1, n.t + 0.5::DOUBLE) END,
+            CASE WHEN n.t + 1e-6 < r.due OR bit_count(xor(r.last, n.h)) <= 3 THEN r.last ELSE n.h END, CASE WHEN n.t + 1e-6 < r.due THEN 'rate' WHEN bit_count(xor(r.last, n.h)) <= 3 THEN 'near_dup' END
+          FROM r JOIN n ON n.vehicle = r.vehicle AND n.rn = r.rn + 1)
+        SELECT event_id, why IS NULL AS kept, why FROM r""",
+    ),
     "state_decimate": Query(
         state_decimate,
         f"""WITH RECURSIVE {TELEMETRY}, n AS (SELECT event_id, vehicle, t, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry),

@@ -289,8 +289,7 @@ def read_habitat_csv(spark: SparkSession, csv: str, files: DataFrame, source: st
     """Classification rows `ID, labels` whose image exists among `files`(file); others are skipped.
     The group is the habitat, the last folder of the id that is not a class."""
     rows = spark.read.schema(HABITAT_CSV).option("header", True).csv(csv).where(F.col("ID").isNotNull())
-    parts = F.filter(F.split(F.col("ID"), "/"), lambda p: ~F.lower(p).isin("valid", "empty", "images", "masks"))
-    rows = rows.withColumns({"habitat": F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(parts[0]), "base": C.stem(F.col("ID"))})
+    rows = rows.withColumns({"habitat": C.habitat(F.col("ID")), "base": C.stem(F.col("ID"))})
     there = files.select(C.stem(F.col("file")).alias("base"), F.col("file"))
     return make_record(rows.join(there, "base"), source, image_id=F.concat(F.lit(f"{source}:"), F.col("ID")), path=F.col("file"), group_id=F.concat(F.lit(f"{source}:"), F.col("habitat")), license=F.lit(license), frame_label=F.when(F.col("labels") > 0, 1).otherwise(0))
 
