@@ -49,7 +49,7 @@ def metric_patch_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = patches.labelled(rows, "heat", "cover", F.lit(True))
     truth = rows.select("vec_id", F.lit(0.5).alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.5).alias("size"))
     out = patches.block(cells, truth, "vec_id", 8, 8, ["label"])
-    return out.select("label", *[F.round(c, 5).alias(c) for c in out.columns if c != "label"])
+    return out.select("label", *[F.round(c, 4).alias(c) for c in out.columns if c != "label"])
 
 
 def array_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ QUERIES = {
         place AS (SELECT label, vec_id, CASE WHEN sum(w) > 1e-12 THEN sum(w * (i % 8 + 0.5::DOUBLE) / 8) / sum(w) END AS cx, CASE WHEN sum(w) > 1e-12 THEN sum(w * (i // 8 + 0.5::DOUBLE) / 8) / sum(w) END AS cy, sqrt(avg((score >= 0.5)::INTEGER)) AS size, arg_max(y, score) AS hit FROM r GROUP BY 1, 2),
         told AS (SELECT *, sqrt(((cx - 0.5::DOUBLE) * 102) ** 2 + ((cy - 0.5::DOUBLE) * 67) ** 2) AS err, CASE WHEN size > 0 AND cx IS NOT NULL THEN abs(ln(size / 0.5::DOUBLE)) END AS off FROM place),
         errs AS (SELECT label, avg((cx IS NOT NULL)::INTEGER) AS found, median(err) AS m, quantile_cont(err, 0.9) AS p, median(off) AS s, avg(hit) FILTER (cx IS NOT NULL) AS h FROM told GROUP BY 1)
-        SELECT label, round(auc, 5) AS patch_auc, round(w, 5) AS within_auc, round(found, 5) AS found, round(m, 5) AS error_median, round(p, 5) AS error_p90, round(s, 5) AS size_error, round(h, 5) AS hit_rate FROM pooled JOIN within USING (label) JOIN errs USING (label)""",
+        SELECT label, round(auc, 4) AS patch_auc, round(w, 4) AS within_auc, round(found, 4) AS found, round(m, 4) AS error_median, round(p, 4) AS error_p90, round(s, 4) AS size_error, round(h, 4) AS hit_rate FROM pooled JOIN within USING (label) JOIN errs USING (label)""",
     ),
     "array_blobs": Query(array_blobs, None),
     "array_coverage": Query(
