@@ -6,6 +6,8 @@ last return documents with the columns they came with; the last returns the pack
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomcast.llm import decontaminate, langid, nearduplicates, packing, pii
@@ -29,9 +31,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: Setting of the session that holds the key of the surrogates, as text.
+KEY_SETTING = "spark.loomcast.surrogateKey"
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data."""
-    return pii.replace_texts(docs)
+    """All documents, with surrogates for personal data under the session's key. Without one the public
+    default serves, which anyone can undo: that is for tests, and is warned of."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a public key and can be undone", stacklevel=2)
+    return pii.replace_texts(docs, key.encode() if key else pii.DEFAULT_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
