@@ -80,3 +80,49 @@ def test_features_are_of_the_word_alone():
     numbers, sizes = langid.features(data, np.array([0, 6]), np.array([5, 10]), np.zeros(0, K.U64))
     again, _ = langid.features(data[6:], np.array([0]), np.array([4]), np.zeros(0, K.U64))
     assert sorted(numbers[sizes[0] :]) == sorted(again)
+
+
+def plainly(text, model):
+    """The language of a text, word by word, from the model's arrays alone."""
+    import re
+
+    from loomcast.llm import kernels as K
+
+    k, total, weight = len(model.langs), np.zeros(len(model.langs)), 0
+    for line in (text or "").split("\n"):
+        words = [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", K.fold(np.frombuffer(line.encode(), np.uint8)).tobytes()) if w]
+        if not words:
+            continue
+        scores = []
+        for w in words:
+            data = np.frombuffer(w, np.uint8)
+            numbers, counts = langid.features(data, np.array([0]), np.array([len(w)]), model.lexicon)
+            scores.append(model.weights[numbers].astype(float).sum(0) / np.sqrt(counts[0]))
+        alpha = [np.array(scores[0])]
+        for s in scores[1:]:
+            alpha.append(s + np.array([np.logaddexp.reduce(alpha[-1] + model.transitions[:, j]) for j in range(k)]))
+        beta = [np.zeros(k)]
+        for s in reversed(scores[1:]):
+            beta.append(np.array([np.logaddexp.reduce(model.transitions[i] + s + beta[-1]) for i in range(k)]))
+        for w, a, b in zip(words, alpha, reversed(beta)):
+            if any(c >= 128 or chr(c).isalpha() for c in w):
+                p = np.exp(a + b - np.logaddexp.reduce(a + b))
+                total, weight = total + p, weight + 1
+    if not weight:
+        return "und", 0.0
+    return model.langs[int(np.argmax(total))], float(total.max() / weight)
+
+
+def test_predictions_equal_a_plain_version(monkeypatch):
+    import random
+
+    monkeypatch.setattr(langid, "PART", 7)
+    r = random.Random(3)
+    vocabulary = {"aa": "die der und haus ich straße über".split(), "bb": "the and house of under when".split(), "cc": "la maison été où les rue".split()}
+    say = lambda lang, n: " ".join(r.choices(vocabulary[lang], k=n))
+    model = langid.fit([(say(lang, 120), lang) for lang in vocabulary for _ in range(8)], rounds=15)
+    texts = [say(lang, n) for lang in vocabulary for n in (1, 3, 40)] + [f"{say('aa', 9)}, {say('bb', 9)}!\n{say('cc', 30)}", "", None, "123 -", "x\n\n9 y", "Straße 12 ÜBER", say("aa", 60) + " " + say("bb", 60)]
+    got = langid.predict(pa.array(texts, pa.string()), model)
+    for text, lang, score in zip(texts, got["lang_pred"], got["score"]):
+        want = plainly(text, model)
+        assert (lang, round(float(score), 6)) == (want[0], round(want[1], 6)), text

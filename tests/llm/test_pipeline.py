@@ -60,3 +60,22 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, at).collect()
     ids = [r.doc_id for r in got]
     assert len(ids) == len(set(ids)) and not set(ids) & {100, 108, 200, 208, 300, 301, 302} and {0, 59, 303} <= set(ids)
+
+
+def test_an_empty_table(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, at).collect() == []
+
+
+def test_the_key_is_the_sessions(spark, folder):
+    at, rows, _ = folder
+    docs = spark.createDataFrame([r for r in rows if r[0] == 303], COLUMNS)
+    public = corpus_pipeline.personal_data(spark, docs, at).first().text
+    spark.conf.set(corpus_pipeline.KEY_SETTING, "a secret")
+    try:
+        own = corpus_pipeline.personal_data(spark, docs, at).first().text
+    finally:
+        spark.conf.unset(corpus_pipeline.KEY_SETTING)
+    assert public != own and "jo@mail8" not in own and own == pii.redact(rows[-1][1], pii.Surrogates(b"a secret"))[0]
