@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import socket
 import time
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 
 class FrameSource(DataSource):
@@ -98,3 +100,76 @@ def paged_source(get: Callable[[str], tuple[int, bytes]], kind: str = "paged") -
             return Reader(self.options["url"], int(self.options["total"]), int(self.options.get("page", 100)))
 
     return Paged
+
+
+#: What a navigation datagram may hold.
+NAVIGATION = ("depth_m", "heading_deg", "yaw_rate_dps", "altitude_m", "temp_c")
+
+
+def datagram(data: bytes) -> dict[str, float | None] | None:
+    """The fields that a datagram names, null ones too; None for one that cannot be read."""
+    try:
+        told = json.loads(data)
+        if not isinstance(told, dict):
+            return None
+        return {k: None if told[k] is None else float(told[k]) for k in NAVIGATION if k in told}
+    except (ValueError, TypeError, KeyError):
+        return None
+
+
+class UdpNavigation(DataSource):
+    """Navigation datagrams as a stream: (n, t, fields), fields null for one that cannot be read. Options:
+    host, port. What arrives between two batches is one batch; nothing waits, and what was read stays
+    until its batch is committed. Navigation in `machines` merges the fields."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "loomcast-udp"
+
+    def schema(self) -> str:
+        return "n long, t double, fields map<string,double>"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return UdpReader(self.options.get("host", "0.0.0.0"), int(self.options.get("port", 14601)))
+
+
+class UdpReader(SimpleDataSourceStreamReader):
+    def __init__(self, host: str, port: int):
+        self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        self.socket.bind((host, port))
+        self.socket.setblocking(False)
+        self.kept: dict[int, tuple] = {}
+        self.n = 0
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def _drain(self) -> None:
+        while True:
+            try:
+                data = self.socket.recv(65536)
+            except OSError:  # nothing more for now
+                return
+            self.kept[self.n] = self.n, time.time(), datagram(data)
+            self.n += 1
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        self._drain()
+        return iter([r for n, r in sorted(self.kept.items()) if n >= start["n"]]), {"n": self.n}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([r for n, r in sorted(self.kept.items()) if start["n"] <= n < end["n"]])
+
+    def commit(self, end: dict) -> None:
+        self.kept = {n: r for n, r in self.kept.items() if n >= end["n"]}
+
+
+def navigation(spark, spec: dict | None) -> DataFrame | None:
+    """The navigation stream of a setting: none, or udp with host and port."""
+    kind = (spec or {}).get("kind") or "none"
+    if kind == "none":
+        return None
+    if kind != "udp":
+        raise ValueError(f"no navigation input {kind}; there are none and udp")
+    spark.dataSource.register(UdpNavigation)
+    return spark.readStream.format("loomcast-udp").options(**{k: str(v) for k, v in spec.items() if k != "kind"}).load()

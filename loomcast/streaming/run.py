@@ -121,3 +121,33 @@ def rotate(df: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
     """`df` with segment, the tumbling file of its session that a row falls in, from the key's first row."""
     start = F.min(time).over(Window.partitionBy(key))
     return df.withColumn("segment", F.floor((F.col(time) - start) / seconds).cast("long"))
+
+
+def recordings(frames: DataFrame, key: str, time: str, events: str, preroll_s: float = 5.0) -> DataFrame:
+    """(key, file, t0, t1) of the files that a recorder makes of events: from preroll_s before a
+    start_recording to the next stop_recording; t1 is null while a file is open. A stop and a start
+    in one row end one file and begin the next."""
+    each = frames.select(key, F.col(time).alias("__t"), F.posexplode(events).alias("__i", "__e")).where(F.col("__e").isin("start_recording", "stop_recording"))
+    w = Window.partitionBy(key).orderBy("__t", "__i")
+    files = each.withColumns({"file": F.sum((F.col("__e") == "start_recording").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "t1": F.when(F.lead("__e").over(w) == "stop_recording", F.lead("__t").over(w))})
+    return files.where("__e = 'start_recording'").select(key, "file", (F.col("__t") - preroll_s).alias("t0"), "t1")
+
+
+def encounter_files(encounters: DataFrame, files: DataFrame, key: str, width: float = 300.0) -> DataFrame:
+    """Encounters (key, id, t_start, t_end) with the files that hold them and where in those they begin:
+    files is an array of (file, offset_s), empty where nothing was recorded."""
+    from ..operators.joins import interval_overlap, overlap_offset
+
+    told = encounters.select(key, "id", "t_start", "t_end")
+    both = interval_overlap(told, files.select(key, "file", "t0", "t1"), ("t_start", "t_end"), ("t0", "t1"), width, [key])
+    one = F.struct("file", F.round(overlap_offset(F.col("t_start"), F.col("t0")), 2).alias("offset_s"))
+    held = both.groupBy(key, "id").agg(F.array_sort(F.collect_list(one)).alias("files"))
+    return encounters.join(held, [key, "id"], "left").withColumn("files", F.coalesce("files", F.array().cast(held.schema["files"].dataType)))
+
+
+def on_close(files: DataFrame, key: str, sinks: Sequence[Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the encounters that a batch ended, with their files, to all sinks."""
+    from ..sources.writers import fan_out
+
+    send = fan_out(sinks)
+    return lambda batch, n: send(encounter_files(batch, files, key), n)

@@ -332,7 +332,8 @@ class Steer:
     per_s: float = 2.0
     dead_deg: float = 2.0
     size: float = 0.22
-    standoff: float = 0.45
+    standoff: float = 0.40
+    ahead: float = 0.5
     t: float | None = None
     last: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
@@ -341,12 +342,12 @@ class Steer:
         return math.copysign(max(0.0, abs(degrees) - self.dead_deg), degrees)
 
     def _track(self, row: dict[str, Any]) -> tuple[float, float, float]:
-        yaw = within(0.02 * self._off(row["yaw"]) + 0.005 * (row.get("yaw_rate") or 0.0), 0.8)
-        heave = within(0.02 * self._off(row["pitch"]), 0.6)
+        yaw = within(0.035 * self._off(row["yaw"]) + 0.004 * (row.get("yaw_rate") or 0.0), 0.8)
+        heave = within(0.03 * self._off(row["pitch"]), 0.6)
         if row["size"] > self.standoff:
             return yaw, heave, -0.3  # too near, wherever it is
         ahead = max(abs(row["yaw"]), abs(row["pitch"])) < 15.0 and row.get("approach", True)
-        return yaw, heave, within(2.0 * (self.size - row["size"]), 0.5, -0.3) if ahead else 0.0
+        return yaw, heave, within(3.0 * (self.size - row["size"]), self.ahead, -0.3) if ahead else 0.0
 
     def _release(self, row: dict[str, Any]) -> tuple[float, float, float]:
         if row["elapsed"] < 1.5:

@@ -103,11 +103,11 @@ def test_steering():
     go = lambda t, **row: s.step({"t": t} | row)
     assert go(0.0, mode="track", yaw=1.0, pitch=-1.0, size=0.22) == {"yaw": 0.0, "heave": 0.0, "surge": 0.0}
     right = [go(0.1 * i, mode="track", yaw=30.0, pitch=0.0, size=0.1) for i in range(1, 20)]
-    assert right[0]["yaw"] == pytest.approx(0.2) and right[-1]["yaw"] == pytest.approx(0.02 * 28) and right[-1]["surge"] == 0
+    assert right[0]["yaw"] == pytest.approx(0.2) and right[-1]["yaw"] == pytest.approx(0.8) and right[-1]["surge"] == 0
     near = [go(2.0 + 0.1 * i, mode="track", yaw=30.0, pitch=0.0, size=0.9) for i in range(1, 20)]
     assert near[-1]["surge"] == pytest.approx(-0.3)
     ahead = [go(5.0 + i, mode="track", yaw=3.0, pitch=0.0, size=0.1) for i in range(3)]
-    assert ahead[-1]["surge"] == pytest.approx(0.24)
+    assert ahead[-1]["surge"] == pytest.approx(0.36)
     assert go(10.0, mode="lost", yaw=-5.0)["yaw"] == pytest.approx(-0.3)
     assert go(12.0, mode="release", elapsed=0.5, away=1.0)["surge"] == pytest.approx(-0.2)
     assert go(14.0, mode="release", elapsed=3.0, away=-1.0)["yaw"] == pytest.approx(-0.6)
