@@ -71,6 +71,40 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spark_hash(keys: np.ndarray) -> np.ndarray:
+    """The hash by which Spark partitions rows on one long column: Murmur3 of 32 bits, seed 42."""
+    keys = np.asarray(keys, dtype=np.int64).view(np.uint64)
+    h = np.full(len(keys), 42, np.uint32)
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    for half in (keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)):
+        h ^= turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h.view(np.int32)
+
+
+def even_keys(n: int, parts: int) -> np.ndarray:
+    """n distinct longs, ascending within each residue: the i-th falls into partition i modulo `parts`
+    where rows are dealt to so many by it. So a few keys to a partition stay a few."""
+    rounds = -(-n // parts)
+    found: list[list[np.ndarray]] = [[] for _ in range(2)]
+    have, at = np.zeros(parts, np.int64), 0
+    while have.min() < rounds:
+        keys = np.arange(at, at + max(1024, 2 * n))
+        at = int(keys[-1]) + 1
+        where = np.mod(spark_hash(keys).astype(np.int64), parts)
+        found[0].append(keys)
+        found[1].append(where)
+        have += np.bincount(where, minlength=parts)
+    keys, where = (np.concatenate(x) for x in found)
+    order = np.argsort(where, kind="stable")
+    first = np.searchsorted(where[order], np.arange(parts))
+    i = np.arange(n)
+    return keys[order[first[i % parts] + i // parts]]
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """The id (long) and text (string) of each row, and any further columns asked for."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in more])

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, ids, partitions, ragged, release, texts
+from .common import documents, even_keys, ids, partitions, ragged, release, texts
 
 #: Bytes of text that a chunk, a shuffle partition and (at least) a bucket of hashes stand for, where a
 #: caller names no Sizes.
@@ -394,16 +395,25 @@ def find(docs: DataFrame, scheme: Scheme, payload: str, finish: Callable[[Chunk,
     parts = max(partitions(spark), -(-size // sizes.partition))
     chunks = max(parts, -(-size // sizes.chunk))
     buckets = max(1, min(parts, -(-size // sizes.bucket)))
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(parts, "chunk")
+    dealt = _dealt(own, chunks, parts).repartition(parts, "chunk")
 
     def anchors(part: pa.Table) -> pa.Table:
-        return release(anchors_of(part, scheme, buckets))
+        return release(keyed(anchors_of(part, scheme, buckets)))
 
     def runs(part: pa.Table, shared: pa.Table) -> pa.Table:
-        return release(send_runs(part, shared, scheme, buckets))
+        return release(keyed(send_runs(part, numbered(shared), scheme, buckets)))
 
     def contents(part: pa.Table, shared: pa.Table) -> pa.Table:
-        return release(send_contents(part, shared, scheme, buckets))
+        return release(keyed(send_contents(part, numbered(shared), scheme, buckets)))
+
+    # on the way, a bucket is known by a key that Spark deals to a partition of its own
+    def keyed(table: pa.Table) -> pa.Table:
+        return table.set_column(0, "bucket", pa.array(_names(buckets, parts)[0][table["bucket"].to_numpy()], pa.int64()))
+
+    def numbered(table: pa.Table) -> pa.Table:
+        at = table.column_names.index("bucket")
+        keys, order = _names(buckets, parts)
+        return table.set_column(at, "bucket", pa.array(order[np.searchsorted(keys, table["bucket"].to_numpy(), sorter=order)], pa.int64()))
 
     def block(part: pa.Table) -> pa.Table:
         return release(match_block(part, scheme, payload))
@@ -430,6 +440,33 @@ def find(docs: DataFrame, scheme: Scheme, payload: str, finish: Callable[[Chunk,
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, schema)
 
 
+@lru_cache(4)
+def _names(buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the key of each bucket, buckets by their keys), made once in each worker."""
+    keys = even_keys(buckets, parts)
+    return keys, np.argsort(keys)
+
+
+#: Chunks up to which their keys are a constant of the plan.
+LISTED = 4096
+
+
+def _dealt(own: DataFrame, chunks: int, parts: int) -> DataFrame:
+    """(chunk, doc_id, text): documents dealt to chunks by a hash, evenly many chunks to a partition."""
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    if chunks <= LISTED:
+        return own.withColumn("chunk", F.element_at(F.lit(even_keys(chunks, parts).tolist()), number + 1).cast("long"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = even_keys(chunks, parts)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every[batch.column(0).to_numpy()], pa.int64())], names=["number", "chunk"])
+
+    # 16 bytes a chunk: a few MB for a million
+    named = own.sparkSession.range(0, chunks, 1, 1).mapInArrow(keys, "number long, chunk long")
+    return own.withColumn("number", number.cast("long")).join(F.broadcast(named), "number").select("doc_id", "text", "chunk")
+
+
 def merge(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges as (start, end) of its maximal ranges, ascending."""
     if not len(start):

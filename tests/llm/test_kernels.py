@@ -77,3 +77,29 @@ def test_long_lines_are_whole(monkeypatch):
     for part in (1, 2, 7, 64, 400):
         monkeypatch.setattr(langid, "PART", part)
         assert np.allclose(langid.marginals(scores, start, size, transitions), whole, atol=1e-12)
+
+
+def test_keys_fall_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from loomcast.llm import common
+
+    keys = [0, 1, -1, 42, 1 << 40, -(1 << 62), (1 << 63) - 1]
+    want = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.hash("k")).collect()]
+    assert common.spark_hash(np.array(keys)).tolist() == want
+    for n, parts in ((1, 1), (7, 3), (51, 51), (206, 51), (5, 200), (1000, 211)):
+        keys = common.even_keys(n, parts)
+        assert len(set(keys.tolist())) == n
+        rows = spark.createDataFrame([(int(k),) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(parts)))
+        assert [r[0] for r in rows.collect()] == [i % parts for i in range(n)]
+
+
+def test_many_chunks(spark, monkeypatch):
+    from loomcast.llm import overlap
+
+    monkeypatch.setattr(overlap, "LISTED", 2)
+    rows = [(i, " ".join(f"w{(i % 7) * 3 + k}" for k in range(20))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted((r.doc_id, r.n_removed) for r in rlz.deduplicate(docs, sizes=overlap.Sizes(200, 400, 100)).collect())
+    monkeypatch.setattr(overlap, "LISTED", 4096)
+    assert few == sorted((r.doc_id, r.n_removed) for r in rlz.deduplicate(docs).collect()) and any(n for _, n in few)
