@@ -53,7 +53,8 @@ def metric_patch_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def array_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.find_blobs(_heat(spark, sf_dir), "vec_id", "heat", 8, 8, 0.65, 0.55)
+    out = images.find_blobs(_heat(spark, sf_dir), "vec_id", "heat", 8, 8, 0.65, 0.55)
+    return out.select("id", "rank", *[F.round(c, 5).alias(c) for c in ("cx", "cy", "size", "mass", "peak")])
 
 
 def array_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,14 @@ QUERIES = {
         errs AS (SELECT label, avg((cx IS NOT NULL)::INTEGER) AS found, median(err) AS m, quantile_cont(err, 0.9) AS p, median(off) AS s, avg(hit) FILTER (cx IS NOT NULL) AS h FROM told GROUP BY 1)
         SELECT label, round(auc, 4) AS patch_auc, round(w, 4) AS within_auc, round(found, 4) AS found, round(m, 4) AS error_median, round(p, 4) AS error_p90, round(s, 4) AS size_error, round(h, 4) AS hit_rate FROM pooled JOIN within USING (label) JOIN errs USING (label)""",
     ),
-    "array_blobs": Query(array_blobs, None),
+    "array_blobs": Query(
+        array_blobs,
+        f"""WITH RECURSIVE {_HEAT}, c AS (SELECT vec_id, unnest(heat) AS p, generate_subscripts(heat, 1) - 1 AS i FROM heat),
+        r(vec_id, i, part) USING KEY (vec_id, i) AS (SELECT vec_id, i, i FROM c WHERE p >= 0.55 UNION
+          (SELECT u.vec_id, u.i, min(v.part) FROM recurring.r u JOIN r v ON v.vec_id = u.vec_id AND abs(v.i // 8 - u.i // 8) <= 1 AND abs(v.i % 8 - u.i % 8) <= 1 WHERE v.part < u.part GROUP BY 1, 2)),
+        b AS (SELECT vec_id, part, sum(p * p * (i % 8 + 0.5::DOUBLE) / 8) / sum(p * p) AS cx, sum(p * p * (i // 8 + 0.5::DOUBLE) / 8) / sum(p * p) AS cy, sqrt(count(*) / 64.0::DOUBLE) AS size, sum(p) AS mass, max(p) AS peak FROM r JOIN c USING (vec_id, i) GROUP BY 1, 2)
+        SELECT vec_id AS id, (row_number() OVER (PARTITION BY vec_id ORDER BY mass DESC, part) - 1)::INTEGER AS rank, round(cx, 5) AS cx, round(cy, 5) AS cy, round(size, 5) AS size, round(mass, 5) AS mass, round(peak, 5) AS peak FROM b WHERE peak >= 0.65 AND mass >= 0.6""",
+    ),
     "array_coverage": Query(
         array_coverage,
         """WITH b AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS x0, abs(embedding[2]::DOUBLE) AS y0, least(1.0::DOUBLE, abs(embedding[1]::DOUBLE) + 0.3::DOUBLE) AS x1, least(1.0::DOUBLE, abs(embedding[2]::DOUBLE) + abs(embedding[3]::DOUBLE)) AS y1 FROM embeddings),

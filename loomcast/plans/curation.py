@@ -123,7 +123,7 @@ def dedup_near_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components_min_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and parts joined by every line; a recursive CTE is too slow for that, so a test has a union-find."""
+    """Orders and parts joined by every line."""
     return dedup.components(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b")))
 
 
@@ -342,7 +342,13 @@ QUERIES = {
         f"""WITH h AS (SELECT min(doc_id) AS id, {_NEAR} AS h FROM documents GROUP BY 2)
         SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 6""",
     ),
-    "components_min_label": Query(components_min_label, None),
+    "components_min_label": Query(
+        components_min_label,
+        """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION
+          (SELECT u.node, min(v.component) FROM recurring.r u JOIN s ON s.a = u.node JOIN r v ON v.node = s.b WHERE v.component < u.component GROUP BY u.node))
+        SELECT node, component FROM r""",
+    ),
     "dedup_survivor_leakage": Query(dedup_survivor_leakage, f"WITH {_SURVIVORS} SELECT doc_id, dup_cluster, split, removed_reason FROM survivors"),
     "split_grouped_hash": Query(split_grouped_hash, f"WITH {BUCKETED} SELECT doc_id, group_id, split FROM bucketed"),
     "split_official": Query(split_official, f"WITH {_OFFICIAL} SELECT doc_id, split FROM official"),

@@ -67,6 +67,30 @@ def state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("vehicle", "segment").agg(F.count("*").alias("n"), F.round(F.max("t"), 5).alias("last"))
 
 
+#: The phase machine a row at a time. `act` names what a row does to the state it finds.
+_PHASES = f"""WITH RECURSIVE {TELEMETRY},
+n AS (SELECT event_id, vehicle, t, depth > 30 AS hit, k % 4 > 0 AS confirmed, k % 10 > 0 AS active, k % 5 AS misses, depth < 60 AS framed, CASE WHEN k > 96 THEN 'budget' END AS release,
+  row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry),
+r AS (SELECT NULL::BIGINT AS event_id, vehicle, 0::BIGINT AS rn, 'SEARCH' AS state, 0.0::DOUBLE AS since, []::BOOLEAN[] AS hits, NULL::DOUBLE AS held, NULL::DOUBLE AS file, NULL::DOUBLE AS idle, NULL::VARCHAR AS reason, '' AS events FROM n GROUP BY vehicle
+UNION ALL
+SELECT event_id, vehicle, rn, now, CASE WHEN act IN ('leave', 'acquire', 'track', 'forget', 'lose', 'again', 'end', 'rest') OR now <> state THEN t ELSE since END, CASE WHEN act IN ('forget', 'end', 'rest') THEN []::BOOLEAN[] ELSE hs END, held2,
+  CASE WHEN on_ THEN CASE WHEN file IS NULL OR t - file > 300 THEN t ELSE file END WHEN rec = 'stop_recording' THEN NULL ELSE file END, CASE WHEN on_ THEN NULL WHEN file IS NOT NULL THEN coalesce(idle, t) ELSE idle END,
+  CASE act WHEN 'leave' THEN release WHEN 'track' THEN NULL WHEN 'end' THEN 'lost' ELSE reason END,
+  concat_ws(',', CASE WHEN act IN ('leave', 'end') THEN 'encounter_end' WHEN act = 'track' THEN 'encounter_start' END, rec, CASE WHEN now <> state THEN 'state:' || now END)
+FROM (SELECT *, CASE WHEN on_ THEN CASE WHEN file IS NULL THEN 'start_recording' WHEN t - file > 300 THEN 'stop_recording,start_recording' END WHEN file IS NOT NULL AND t - coalesce(idle, t) >= 3 THEN 'stop_recording' END AS rec
+FROM (SELECT *, now IN ('TRACK', 'FILM', 'LOST') AS on_
+FROM (SELECT *, CASE act WHEN 'leave' THEN 'RELEASE' WHEN 'acquire' THEN 'ACQUIRE' WHEN 'track' THEN 'TRACK' WHEN 'forget' THEN 'SEARCH' WHEN 'lose' THEN 'LOST' WHEN 'off' THEN 'TRACK' WHEN 'hold' THEN CASE WHEN state = 'TRACK' AND t - held2 >= 1 THEN 'FILM' ELSE state END
+    WHEN 'again' THEN 'TRACK' WHEN 'end' THEN 'SEARCH' WHEN 'rest' THEN 'SEARCH' ELSE state END AS now
+FROM (SELECT *, CASE WHEN act IN ('leave', 'off') THEN NULL WHEN act = 'hold' THEN coalesce(held, t) ELSE held END AS held2
+FROM (SELECT *, CASE WHEN state IN ('TRACK', 'FILM', 'LOST') AND release IS NOT NULL THEN 'leave'
+    WHEN state = 'SEARCH' THEN CASE WHEN len(list_filter(hs, lambda x: x)) >= 3 THEN 'acquire' END
+    WHEN state = 'ACQUIRE' THEN CASE WHEN confirmed THEN 'track' WHEN t - since > 3 OR NOT active THEN 'forget' END
+    WHEN state IN ('TRACK', 'FILM') THEN CASE WHEN NOT active OR misses > 2 THEN 'lose' WHEN NOT framed THEN 'off' ELSE 'hold' END
+    WHEN state = 'LOST' THEN CASE WHEN active AND confirmed AND misses = 0 THEN 'again' WHEN t - since > 4 THEN 'end' END
+    WHEN t - since >= 12 THEN 'rest' END AS act
+FROM (SELECT n.event_id, n.vehicle, n.rn, n.t, n.confirmed, n.active, n.misses, n.framed, n.release, r.state, r.since, list_concat(r.hits, [n.hit])[-5:] AS hs, r.held, r.file, r.idle, r.reason FROM r JOIN n ON n.vehicle = r.vehicle AND n.rn = r.rn + 1)))))))
+SELECT event_id, state, events, file IS NOT NULL AS recording, reason FROM r WHERE rn > 0"""
+
 QUERIES = {
     "stream_tumbling": Query(
         stream_tumbling,
@@ -81,8 +105,8 @@ QUERIES = {
         HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
     ),
     "stream_dedup": Query(stream_dedup, "SELECT DISTINCT event_id, user_id, event_type FROM events"),
-    "state_phases": Query(state_phases, None),
-    "stream_phases": Query(stream_phases, None),
+    "state_phases": Query(state_phases, _PHASES),
+    "stream_phases": Query(stream_phases, _PHASES),
     "state_gate": Query(
         state_gate,
         f"""WITH RECURSIVE {TELEMETRY}, n AS (SELECT event_id, vehicle, t, k * 7919 AS h, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) AS rn FROM telemetry),
