@@ -65,7 +65,9 @@ def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("doc_id", "n_tokens", "n_leaked", joined("item_ids"), joined("spans"), "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -161,10 +163,30 @@ least AS (SELECT doc_id, min(seen) AS m FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(s, 0) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+_TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+#: Windows that differ at no more places than allowed agree in one of so many parts and one.
+LEAKS_SQL = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS ws FROM documents), b AS (SELECT item_id, {_TOKENS} AS ws FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(ws), {decontaminate.WINDOW}) AS size, CASE WHEN len(ws) >= {decontaminate.WINDOW} THEN {decontaminate.ALLOWED} WHEN len(ws) >= 6 THEN 1 ELSE 0 END AS allowed FROM b WHERE len(ws) > 0),
+iw AS (SELECT item_id, size, allowed, ws[j : j + size - 1] AS g FROM (SELECT item_id, ws, size, allowed, unnest(range(1, len(ws) - size + 2)) AS j FROM b JOIN sizes ON size = least(len(ws), {decontaminate.WINDOW}))),
+ik AS (SELECT *, array_to_string(g[size * k // (allowed + 1) + 1 : size * (k + 1) // (allowed + 1)], ' ') AS part FROM (SELECT *, unnest(range(0, allowed + 1)) AS k FROM iw)),
+dw AS (SELECT doc_id, size, allowed, i, ws[i : i + size - 1] AS g FROM (SELECT doc_id, ws, size, allowed, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes)),
+dk AS (SELECT doc_id, size, allowed, i, g, k, array_to_string(g[size * k // (allowed + 1) + 1 : size * (k + 1) // (allowed + 1)], ' ') AS part FROM (SELECT *, unnest(range(0, allowed + 1)) AS k FROM dw)),
+hits AS (SELECT DISTINCT doc_id, i, dk.size AS size, item_id FROM dk JOIN ik ON dk.size = ik.size AND dk.k = ik.k AND dk.part = ik.part
+  WHERE len(list_filter(range(1, dk.size + 1), lambda x: dk.g[x] <> ik.g[x])) <= dk.allowed),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i - 1, i - 1 + size)) AS pos FROM hits),
+runs AS (SELECT doc_id, min(pos) AS a, max(pos) + 1 AS e, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM cover) GROUP BY doc_id, run),
+spans AS (SELECT doc_id, sum(n)::BIGINT AS n_leaked, string_agg(a || ',' || e, ',' ORDER BY a) AS spans FROM runs GROUP BY 1),
+named AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_tokens, coalesce(n_leaked, 0) AS n_leaked, coalesce(item_ids, '') AS item_ids, coalesce(spans, '') AS spans, n_leaked IS NOT NULL AS contaminated FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries whose whole result SQL can say; the others are tested against plain versions."""
     return {
         "op1_rlz_substring_dedup": RLZ_SQL,
+        "op3_spaced_seed_decontamination": LEAKS_SQL,
         "op5_suffix_array_quality": QUALITY_SQL,
         "op8_suffix_array_dedup": SUFFIX_SQL,
         "op9_hyperminhash_near_dedup": NEAR_SQL,
