@@ -144,6 +144,19 @@ def online(rows: DataFrame, height: int, width: int, decay: float = 1e-3, most:
     return {f"probe/{k}": float(v) for k, v in out.items()}
 
 
+def runner_measures(outputs: DataFrame, height: int, width: int) -> DataFrame:
+    """(runner, auc, patch_auc, centroid_deg) of each runner's outputs (runner, image_id, frame_logit,
+    heat_logits, frame_label, coverage, patch_valid, cx, cy, size), for reports.parity; a measure that a
+    runner's rows cannot tell is null."""
+    rows = outputs.withColumn("heat", F.transform("heat_logits", lambda x: C.sigmoid(x)))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    frames = metrics.roc_auc(rows.where("frame_label >= 0"), "frame_label", "frame_logit", ["runner"]).select("runner", known("auc").alias("auc"))
+    cells = patches.labelled(rows.select("runner", F.concat_ws("|", "runner", "image_id").alias("image_id"), "heat", "coverage", "patch_valid"), "heat", "coverage", F.col("patch_valid"))
+    truth = rows.where("cx is not null").select(F.concat_ws("|", "runner", "image_id").alias("image_id"), "cx", "cy", "size")
+    told = patches.block(cells, truth, "image_id", height, width, ["runner"]).select("runner", known("patch_auc").alias("patch_auc"), F.col("error_median").alias("centroid_deg"))
+    return rows.select("runner").distinct().join(frames, "runner", "left").join(told, "runner", "left")
+
+
 def heat_threshold(prob: Column, threshold: float = 0.5) -> Column:
     """Whether a heat map has any patch over a threshold."""
     return F.exists(prob, lambda p: p >= threshold)

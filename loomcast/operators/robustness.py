@@ -186,3 +186,23 @@ def coverage_of_masks(rows: int, cols: int, batches: int, spark: SparkSession, s
 
     cells = rows_to_rows(spark.range(batches), each, "cell int, t long, c long")
     return cells.groupBy("cell").agg((F.sum("t") / (size * batches)).alias("target"), (F.sum("c") / (size * batches)).alias("context"))
+
+
+def ingest(pictures: DataFrame, stored: DataFrame, short_side: int = 384) -> DataFrame:
+    """Decoded pictures that are not stored yet, by path, their short side at most `short_side`, with the
+    size they had (full_height, full_width). None is enlarged."""
+
+    def each(row: dict) -> list[dict]:
+        image = to_array(row["height"], row["width"], row["channels"], row["data"])
+        w, h = saved_size(image.shape[1], image.shape[0], False, short_side)
+        small = image if (h, w) == image.shape[:2] else N.resize(image, h, w).round().clip(0, 255).astype(np.uint8)
+        return [as_row(row["path"], small) | {"full_height": row["height"], "full_width": row["width"]}]
+
+    new = pictures.join(stored.select("path"), "path", "left_anti").select("path", "height", "width", "channels", "data")
+    return rows_to_rows(new, each, f"{PICTURE}, full_height int, full_width int")
+
+
+def fit_mask(mask: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """A mask of 0 and 1 at another size, each cell that of the nearest pixel."""
+    at = [((np.arange(m) + 0.5) * n / m).astype(int) for n, m in zip(np.shape(mask)[:2], (rows, cols))]
+    return (np.asarray(mask)[np.ix_(*at)] > 0).astype(np.uint8)

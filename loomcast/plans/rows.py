@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import curation, dive, experiments, joins, patches, planner, probes, selection
 from .base import BUCKETED, TELEMETRY, Query, bucketed, table, telemetry, timed
+from .curation import _NEAR
 
 E = lambda i: F.element_at("embedding", i).cast("double")
 
@@ -224,6 +225,29 @@ def robustness_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("operation", "level", "n", F.round("auc", 6).alias("auc"))
 
 
+def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.label_stats(frames(spark, sf_dir))
+
+
+def layer_and_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The migrating layer and the light at the surface at the hour of each event."""
+    from ..operators import simulate
+
+    hour = F.col("k") % 24 + F.col("depth") / 1000
+    rows = telemetry(spark, sf_dir).select("event_id", hour.alias("hour"))
+    return rows.select("event_id", F.round(simulate.layer_depth(simulate.Sea(), F.col("hour")), 4).alias("layer"), F.round(F.log10(simulate.surface_light(F.col("hour"))), 6).alias("light"))
+
+
+def dedup_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of near hashes whose lengths confirm the pair."""
+    from ..operators import dedup
+    from .curation import _near_hashes
+
+    rows = _near_hashes(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    confirm = (F.abs(F.col("a_n_chars") - F.col("b_n_chars")) <= 10) & (F.col("a_lang") == F.col("b_lang"))
+    return dedup.near_duplicate_clusters(rows, "doc_id", "h", 6, confirm).select("doc_id", "dup_cluster")
+
+
 _TAX = ["Teleostei", "Cephalopoda", "Siphonophorae", "Ctenophora", "Hydrozoa", "Mysida", "Decapoda", "Brachyura", "Porifera", "Chondrichthyes", "Scyphozoa"]
 _GROUPS = "CASE WHEN list_has_any(a, ['Teleostei', 'Chondrichthyes']) THEN 'fish' WHEN list_has_any(a, ['Cephalopoda']) THEN 'squid' WHEN list_has_any(a, ['Siphonophorae']) THEN 'siphonophore' WHEN list_has_any(a, ['Ctenophora']) THEN 'ctenophore' WHEN list_has_any(a, ['Scyphozoa', 'Hydrozoa']) THEN 'medusa' WHEN list_has_any(a, ['Mysida']) THEN 'shrimp' WHEN list_has_any(a, ['Decapoda']) AND NOT list_has_any(a, ['Brachyura']) THEN 'shrimp' END"
 _PRIOR = lambda hour, band: f"CASE WHEN {_CROSS(hour)} THEN CASE WHEN {band} BETWEEN 100 AND 200 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END WHEN {hour} < 6.5 OR {hour} >= 18.5 THEN exp(-0.5::DOUBLE * (({band} - 60) / 40.0::DOUBLE) ** 2) * 2 + 0.5::DOUBLE ELSE 1.0::DOUBLE END"
@@ -334,6 +358,24 @@ QUERIES = {
         r AS (SELECT y, (rank() OVER (ORDER BY top) + count(*) OVER (PARTITION BY top) / 2.0::DOUBLE - 0.5::DOUBLE) AS rk FROM h)
         SELECT count(*) AS n, count(*) FILTER (y = 1) AS n_pos, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM r""",
     ),
+    "label_stats": Query(
+        label_stats,
+        f"""WITH {FRAMES} SELECT source, split, count(*) AS images, count(*) FILTER (frame_label = 1) AS positive, count(*) FILTER (frame_label = 0) AS negative, count(*) FILTER (frame_label = -1) AS unknown,
+        sum(boxed::INTEGER)::BIGINT AS boxes, count(*) FILTER (mask_path <> '') AS masks FROM frames GROUP BY 1, 2""",
+    ),
+    "layer_and_light": Query(
+        layer_and_light,
+        f"""WITH {TELEMETRY}, h AS (SELECT event_id, k % 24 + depth / 1000 AS hour FROM telemetry), u AS (SELECT event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(hour - 6.5::DOUBLE, 18.5::DOUBLE - hour) / 1.5::DOUBLE + 0.5)) AS u, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (least(hour - 6.5::DOUBLE, 18.5::DOUBLE - hour) + 1) / 2)) AS d FROM h)
+        SELECT event_id, round(70 + 430 * u * u * (3 - 2 * u), 4) AS layer, round(-6 * (1 - d), 6) AS light FROM u""",
+    ),
+    "dedup_verified": Query(
+        dedup_verified,
+        f"""WITH RECURSIVE d AS (SELECT doc_id, n_chars, lang, {_NEAR} AS h FROM documents), m AS (SELECT h, min(doc_id) AS id FROM d GROUP BY 1), p AS (SELECT m.id, m.h, n_chars, lang FROM m JOIN d ON d.doc_id = m.id),
+        e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.lang = b.lang AND abs(a.n_chars - b.n_chars) <= 10 AND bit_count(xor(a.h, b.h)) <= 6 UNION ALL SELECT id, doc_id FROM m JOIN d USING (h) WHERE id <> doc_id),
+        s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(node, part) USING KEY (node) AS (SELECT doc_id, doc_id FROM d UNION (SELECT u.node, min(v.part) FROM recurring.r u JOIN s ON s.a = u.node JOIN r v ON v.node = s.b WHERE v.part < u.part GROUP BY 1))
+        SELECT node AS doc_id, part AS dup_cluster FROM r""",
+    ),
     "mask_cells": Query(mask_cells, None),
     "robustness_sweep": Query(robustness_sweep, None),
 }

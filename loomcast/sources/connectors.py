@@ -67,6 +67,24 @@ def fetch_retrying(get: Callable[[str], tuple[int, bytes]], url: str, tries: int
     raise OSError(f"{url}: status {status}")
 
 
+def fetch_mirror(get: Callable[[str], tuple[int, bytes]], urls: Sequence[str], sha256: str | None = None, wait_s: float = 0.5) -> bytes:
+    """The body of the first of `urls` that gives it whole: one that fails, or whose checksum is another,
+    is passed over."""
+    import hashlib
+
+    problems = []
+    for url in urls:
+        try:
+            body = fetch_retrying(get, url, wait_s=wait_s)
+        except OSError as problem:
+            problems.append(str(problem))
+            continue
+        if sha256 is None or hashlib.sha256(body).hexdigest() == sha256.lower():
+            return body
+        problems.append(f"{url}: another checksum")
+    raise OSError("no mirror served: " + "; ".join(problems))
+
+
 def paged_source(get: Callable[[str], tuple[int, bytes]], kind: str = "paged") -> type[DataSource]:
     """A data source over a service whose `url` with offset and limit answers JSON lists. Options: url,
     total, page. Each page is a partition; rows are the objects as JSON text, for from_json."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,23 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
+def write_file(spark, path: str, data: bytes | str) -> None:
+    """One file in place of another, whole or not at all: it is written beside and then renamed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside)
+    try:
+        out.write(bytearray(data.encode() if isinstance(data, str) else data))
+        out.hsync()
+    finally:
+        out.close()
+    if files.exists(at):
+        files.delete(at, False)
+    if not files.rename(beside, at):
+        raise OSError(f"{path} could not be written")
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

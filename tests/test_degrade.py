@@ -122,3 +122,13 @@ def test_video_frames(spark):
 def test_mask_coverage(spark):
     rows = robustness.coverage_of_masks(6, 6, 4, spark, 8).collect()
     assert len(rows) == 36 and sum(r.target for r in rows) > 4
+
+
+def test_ingest(spark):
+    rows = images.scenes(spark, 4)
+    out = robustness.ingest(rows, rows.where("path = 'scene-0'"), 48).collect()
+    assert {r.path for r in out} == {"scene-1", "scene-2", "scene-3"} and {(r.height, r.width, r.full_height, r.full_width) for r in out} == {(48, 64, 96, 128)}
+    assert robustness.ingest(rows.limit(1), rows.limit(0), 500).first().height == 96
+    mask = np.zeros((6, 6))
+    mask[:3, :3] = 9
+    assert robustness.fit_mask(mask, 2, 2).tolist() == [[1, 0], [0, 0]] and robustness.fit_mask(mask, 12, 12).sum() == 36

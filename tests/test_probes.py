@@ -90,3 +90,10 @@ def test_reports(spark, rows, tmp_path):
     log.log(2, {"loss": np.float32(0.25)})
     log.log(3, {})
     assert sorted(map(tuple, log.read().collect())) == [(1, "loss", 0.5), (2, "loss", 0.25)]
+
+
+def test_runner_measures(rows):
+    said = rows.where("split = 'test'").selectExpr("image_id", "frame_label", "coverage", "patch_valid", "cx", "cy", "size", "frame_label * 4.0D - 2 AS frame_logit", "transform(coverage, x -> x * 8 - 4) AS heat_logits")
+    both = said.selectExpr("'a' AS runner", "*").unionByName(said.selectExpr("'b' AS runner", "*").withColumn("frame_label", probes.F.lit(1)))
+    got = {r.runner: r for r in probes.runner_measures(both, 4, 4).collect()}
+    assert got["a"].auc == 1 and got["a"].patch_auc == 1 and got["a"].centroid_deg < 1 and got["b"].auc is None

@@ -117,3 +117,21 @@ def test_recordings_and_encounters(spark):
     seen = []
     run.on_close(files, "vehicle", [lambda b: seen.extend(b.collect())])(encounters, 0)
     assert len(seen) == 4
+
+
+def test_mirrors():
+    import hashlib
+
+    pages = {"a": (404, b""), "b": (200, b"half"), "c": (200, b"whole")}
+    get = lambda url: pages[url]
+    assert connectors.fetch_mirror(get, ["a", "b", "c"], hashlib.sha256(b"whole").hexdigest()) == b"whole"
+    assert connectors.fetch_mirror(get, ["a", "b"]) == b"half"
+    with pytest.raises(OSError, match="another checksum"):
+        connectors.fetch_mirror(get, ["a", "b"], "00")
+
+
+def test_files_appear_whole(spark, tmp_path):
+    for text in ("first", "zweite ü"):
+        writers.write_file(spark, str(tmp_path / "x/a.json"), text)
+        assert (tmp_path / "x/a.json").read_text() == text
+    assert [p.name for p in (tmp_path / "x").iterdir() if not p.name.startswith(".")] == ["a.json"]
