@@ -338,18 +338,22 @@ def grouped(docs: DataFrame, sigmas: float | None = SIGMAS) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rep"), F.xxhash64("text").alias("text_key"), "text")
     partnered = nodes.select("node", "rep", "text_key").join(meeting.select("node").distinct(), "node", "left_semi")
     held = materialize(keyed.join(partnered, ["rep", "text_key"]).select("node", "text"), "texts")
-    links = materialize(confirm(materialize(estimate(pairs, nodes, sigmas), "pairs"), held), "links")
+    told = materialize(estimate(pairs, nodes, sigmas), "pairs")
+    links = materialize(confirm(told, held), "links")
     labels = components(links)
 
     # closure: band keys that hold several components
     placed = meeting.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    spread = meetings(materialize(placed.join(mixed, "key"), "placed"))
+    placed = materialize(placed.join(mixed, "key"), "placed")
+    spread = meetings(placed)
     across = lambda part: _across(part, sigmas)
     likely_ = spread.join(nodes.select("node", "sketch"), "node").groupBy("key", "i", "j").applyInArrow(across, "key long, i long, j long, side int, node long, component long")
     more = materialize(likely_.join(held, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
+    for table in (meeting, held, told, links, placed, more):  # the result reads sketches, nodes and labels
+        discard(table)
 
     named = nodes.select("node", "rep", "digest").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     oldest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
