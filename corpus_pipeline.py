@@ -11,7 +11,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 
 from loomcast.llm import decontaminate, langid, nearduplicates, packing, pii
-from loomcast.llm.common import materialize, small_batches
+from loomcast.llm.common import discard, materialize, small_batches
 from loomcast.llm.queries import WORD_TOKENIZER, table, tokenizer_path
 
 
@@ -65,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table; each is written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # the documents table is none of ours and stays
     return STAGES[-1][1](spark, docs, sf_dir)
